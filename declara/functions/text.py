@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from declara import constants as K
+from declara.functions.vectors import let
 
 
 def char_class(characters: str) -> str:
@@ -18,7 +19,9 @@ def char_class(characters: str) -> str:
 
 # ASCII marks are padded by both lists of the cleaning rule, '^' by one only.
 PAD_TWICE = char_class(K.ASCII_PUNCTUATION.replace("^", ""))
-PAD_ONCE = char_class(K.PADDED_CHARACTERS + "^")
+PAD_ONCE = char_class(K.PADDED_CHARACTERS)
+# A class of many wide characters is tested one by one, so ASCII characters are ruled out first.
+NOT_ASCII = "(?=[^\\x00-\\x7F])"
 ANY_MARK = char_class(K.PADDED_CHARACTERS + K.ASCII_PUNCTUATION)
 
 
@@ -55,13 +58,15 @@ def clean_text(text: Column) -> Column:
     for article in K.ELIDED_ARTICLES:
         text = F.replace(text, F.lit(article), F.lit(""))
     text = F.regexp_replace(text, f"({PAD_TWICE})", "  $1  ")
-    text = F.regexp_replace(text, f"({PAD_ONCE})", " $1 ")
+    text = F.replace(text, F.lit("^"), F.lit(" ^ "))
+    text = F.regexp_replace(text, f"{NOT_ASCII}({PAD_ONCE})", " $1 ")
     return F.replace(text, F.lit("\x85"), F.lit(""))
 
 
 def strip_marks(text: Column) -> Column:
     """The variant that removes the marks and keeps the articles."""
-    return F.replace(F.regexp_replace(_repair(text), ANY_MARK, ""), F.lit("\x85"), F.lit(""))
+    text = F.regexp_replace(_repair(text), char_class(K.ASCII_PUNCTUATION), "")
+    return F.replace(F.regexp_replace(text, f"{NOT_ASCII}{PAD_ONCE}", ""), F.lit("\x85"), F.lit(""))
 
 
 def drop_numbers(text: Column) -> Column:
@@ -133,42 +138,32 @@ def parse_terms(text: Column) -> Column:
     return F.transform(rows, lambda r: r[0])
 
 
-def join_phrases(words: Column, starts_phrase: Column, glue: str = "_") -> Column:
-    """Left-to-right greedy merge: word i and i+1 become one where ``starts_phrase[i]`` holds,
-    unless word i was already merged into the word before."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-    pairs = F.arrays_zip(words.alias("w"), starts_phrase.alias("p"))
-
-    def step(acc, x):
-        glued = F.concat(
-            F.slice(acc["out"], 1, F.size(acc["out"]) - 1),
-            F.array(F.concat(F.element_at(acc["out"], -1), F.lit(glue), x["w"])),
-        )
-        out = F.when(acc["open"], glued).otherwise(F.concat(acc["out"], F.array(x["w"])))
-        return F.struct(out.alias("out"), (~acc["open"] & x["p"]).alias("open"))
-
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-
-
 def head_tail(words: Column, budget: int) -> Column:
     """First and last words within a budget; the head takes the larger half."""
     head = (budget + 1) // 2
     tail = budget - head
-    cut = F.slice(words, 1, head)
-    if tail:
-        cut = F.concat(cut, F.slice(words, -tail, tail))
-    return F.when(F.size(words) <= budget, words).otherwise(cut)
+
+    def cut(w):
+        ends = F.concat(F.slice(w, 1, head), F.slice(w, -tail, tail)) if tail else F.slice(w, 1, head)
+        return F.when(F.size(w) <= budget, w).otherwise(ends)
+
+    return let(words, cut)
 
 
 def pad_right(ids: Column, length: int, fill: int = 0) -> Column:
-    return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(ids))))
+    return let(ids, lambda a: F.concat(
+        F.slice(a, 1, length), F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(a)))
+    ))
 
 
 def pad_left(ids: Column, length: int, fill: int = 0) -> Column:
-    last = F.slice(ids, F.greatest(F.lit(1), F.size(ids) - length + 1), F.lit(length))
-    return F.concat(F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(ids))), last)
+    return let(ids, lambda a: F.concat(
+        F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(a))),
+        F.slice(a, F.greatest(F.lit(1), F.size(a) - length + 1), F.lit(length)),
+    ))
 
 
 def attention_mask(ids: Column, length: int) -> Column:
-    used = F.least(F.size(ids), F.lit(length))
-    return F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), length - used))
+    return let(F.least(F.size(ids), F.lit(length)), lambda used: F.concat(
+        F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), length - used)
+    ))

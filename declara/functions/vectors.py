@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression mentioned inside a lambda
+    would otherwise run again for every element."""
+    return F.transform(F.array(value), lambda bound: use(bound))[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -40,10 +46,18 @@ def mixed_distance(num_a: Column, num_b: Column, cat_a: Column, cat_b: Column, g
     return squared_distance(num_a, num_b) + F.lit(float(gamma)) * hamming(cat_a, cat_b)
 
 
+def scaled(v: Column, by: Column) -> Column:
+    """Every element divided by ``by``."""
+    return let(by, lambda total: F.transform(v, lambda x: x / total))
+
+
+def unit(v: Column) -> Column:
+    return scaled(v, norm(v))
+
+
 def to_shares(v: Column) -> Column:
     """Absolute values scaled to sum 1: a topic-like distribution."""
-    total = _sum(F.transform(v, lambda x: F.abs(x)))
-    return F.transform(v, lambda x: F.abs(x) / total)
+    return let(F.transform(v, lambda x: F.abs(x)), lambda a: scaled(a, _sum(a)))
 
 
 def soft_weights(distances: Column, m: float = 2.0) -> Column:
@@ -52,19 +66,22 @@ def soft_weights(distances: Column, m: float = 2.0) -> Column:
     Distances are scaled by the smallest one first, so that large powers neither
     overflow nor vanish; zero distances share the whole weight.
     """
-    power = 2.0 / (m - 1.0)
-    nearest = F.array_min(distances)
-    scores = F.when(
-        nearest == 0, F.transform(distances, lambda d: F.when(d == 0, 1.0).otherwise(0.0))
-    ).otherwise(F.transform(distances, lambda d: F.pow(nearest / d, F.lit(power))))
-    total = _sum(scores)
-    return F.transform(scores, lambda s: s / total)
+    power = F.lit(2.0 / (m - 1.0))
+
+    def scores(d, nearest):
+        return F.when(
+            nearest == 0, F.transform(d, lambda x: F.when(x == 0, 1.0).otherwise(0.0))
+        ).otherwise(F.transform(d, lambda x: F.pow(nearest / x, power)))
+
+    return let(distances, lambda d: let(
+        let(F.array_min(d), lambda nearest: scores(d, nearest)), lambda s: scaled(s, _sum(s))
+    ))
 
 
 def argmax(values: Column) -> Column:
     """Zero-based position of the first largest value."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def argmin(values: Column) -> Column:
-    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))

@@ -201,9 +201,8 @@ def novel(assigned: DataFrame, delta: float) -> DataFrame:
 def nearest_centroid_cosine(df: DataFrame, num: Column, model: DataFrame) -> Column:
     """Cluster of largest cosine: on unit vectors the squared distance is 2 - 2 cos, so the
     nearest unit centroid is the answer."""
-    unit = model.select("cluster", F.transform("num", lambda x: x / V.norm(F.col("num"))).alias("num"), "cat")
-    scaled = F.transform(num, lambda x: x / V.norm(num))
-    return V.argmin(distances(scaled, no_categories(), unit, 0.0))
+    centres = model.select("cluster", V.unit(F.col("num")).alias("num"), "cat")
+    return V.argmin(distances(V.unit(num), no_categories(), centres, 0.0))
 
 
 def centroid_pairs(model: DataFrame, kind: str = "mixed", gamma: float = 1.0) -> DataFrame:
@@ -363,7 +362,7 @@ def centroids_of_statistics(stats: tuple[DataFrame, DataFrame], previous: DataFr
     cat = modes.groupBy("cluster").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("a", "code"))), lambda s: s["code"]).alias("cat")
     )
-    num = sums.select("cluster", F.transform("sums", lambda x: x / F.col("n")).alias("num"), "n")
+    num = sums.select("cluster", V.scaled(F.col("sums"), F.col("n")).alias("num"), "n")
     return num.join(cat, "cluster", "left").select("cluster", "num", F.coalesce("cat", no_categories()).alias("cat"), "n")
 
 

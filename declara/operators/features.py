@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from declara.functions.vectors import let
 from declara.runtime import skew_safe_lookup, with_global_rank
 
 
@@ -59,38 +60,35 @@ def tfidf(bow: DataFrame, row: str, terms: DataFrame, n_docs: Column, norm: str
     return weighted.withColumn("value", F.col("value") / scale)
 
 
+def _windows(length: Column, n: int, cut) -> Column:
+    """cut(i) for every start i of an n-wide window; empty when nothing fits."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), length - n + 1))
+    return F.when(length >= n, F.transform(starts, lambda i: cut(i))).otherwise(F.array().cast("array<string>"))
+
+
 def character_grams(text: Column, low: int, high: int, in_words: bool = False) -> Column:
     """Character n-grams of a text, optionally word by word with a space on both sides."""
 
+    def grams_of(size):
+        return lambda part: _windows(F.length(part), size, lambda i: F.substr(part, i, F.lit(size)))
+
     def grams(part: Column) -> Column:
-        sizes = [
-            F.when(
-                F.length(part) >= n,
-                F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - n + 1)), lambda i, n=n: F.substr(part, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*sizes)
+        return F.concat(*[grams_of(n)(part) for n in range(low, high + 1)])
 
     if not in_words:
-        return grams(text)
+        return let(text, grams)
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit(" "), w, F.lit(" ")))))
+    spaced = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(spaced, lambda w: grams(w)))
 
 
 def word_grams(words: Column, low: int, high: int) -> Column:
     """Word n-grams, joined by a space."""
-    sizes = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)),
-                lambda i, n=n: F.array_join(F.slice(words, i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*sizes)
+
+    def grams_of(size):
+        return lambda w: _windows(F.size(w), size, lambda i: F.array_join(F.slice(w, i, size), " "))
+
+    return let(words, lambda w: F.concat(*[grams_of(n)(w) for n in range(low, high + 1)]))
 
 
 def column_features(df: DataFrame, row: str, specs: dict[str, dict]) -> DataFrame:
@@ -112,17 +110,15 @@ def column_features(df: DataFrame, row: str, specs: dict[str, dict]) -> DataFram
 
 
 def adjacent_pairs(words: Column) -> Column:
-    """Array of (pos, a, b) for neighbouring words."""
-    return F.transform(
-        F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            i.alias("pos"), F.element_at(words, i).alias("a"), F.element_at(words, i + 1).alias("b")
-        ),
-    )
+    """Array of (a, b) for neighbouring words."""
+    return let(words, lambda w: F.arrays_zip(
+        F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)).alias("a"), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)).alias("b")
+    ))
 
 
 def pair_counts(df: DataFrame, words: Column) -> DataFrame:
-    return df.select(F.inline(adjacent_pairs(words))).groupBy("a", "b").agg(F.count("*").alias("n_ab"))
+    pairs = df.select(F.explode(adjacent_pairs(words)).alias("p"))
+    return pairs.select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
 
 
 def phrases(df: DataFrame, words: Column, min_count: int = 1, threshold: float = 2.0) -> DataFrame:
@@ -140,25 +136,32 @@ def phrases(df: DataFrame, words: Column, min_count: int = 1, threshold: float =
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "n_a", "n_b", "score")
 
 
-def apply_phrases(df: DataFrame, row: str, words: Column, phrase_table: DataFrame) -> DataFrame:
-    """(row, words) with learned pairs merged left to right.
+def apply_phrases(df: DataFrame, row: str, words: Column, phrase_table: DataFrame, glue: str = "_") -> DataFrame:
+    """(row, words) with learned pairs merged left to right; a word merged into the one before
+    cannot open a pair itself, so in a run of pairs every second one counts.
 
-    The phrase table may be as large as the corpus, so every adjacent pair is looked up by a
-    join that keeps frequent pairs map-side; the words of a row then come back together.
+    The phrase table may be as large as the corpus: adjacent pairs meet it in a join that serves
+    frequent pairs map-side, and one shuffle by row then orders the words of a row.
     """
-    from declara.functions.text import join_phrases
-
-    following = F.transform(words, lambda w, i: F.try_element_at(words, i + 2))
-    pairs = df.select(row, F.posexplode_outer(F.arrays_zip(words.alias("a"), following.alias("b"))).alias("pos", "_p"))
+    with_next = let(words, lambda w: F.arrays_zip(
+        w.alias("a"), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)).alias("b")
+    ))
+    pairs = df.select(row, F.posexplode_outer(with_next).alias("pos", "_p"))
     pairs = pairs.select(row, "pos", "_p.a", "_p.b")
     looked_up = skew_safe_lookup(
         pairs, phrase_table.select("a", "b", "n_ab"), ["a", "b"], "n_ab", F.xxhash64(row, "pos"), inner=False
     )
-    placed = F.struct("pos", "a", F.col("n_ab").isNotNull().alias("hit"))
-    by_row = looked_up.groupBy(row).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), placed))).alias("x"))
-    return by_row.select(
-        row, join_phrases(F.transform("x", lambda s: s["a"]), F.transform("x", lambda s: s["hit"])).alias("words")
+    in_row = Window.partitionBy(row).orderBy("pos")
+    hit = F.col("n_ab").isNotNull()
+    run = F.col("pos") - F.coalesce(F.max(F.when(~hit, F.col("pos"))).over(in_row), F.lit(-1))
+    opened = looked_up.withColumn("_opens", hit & (run % 2 == 1))
+    merged = opened.withColumn("_inside", F.lag("_opens", 1, False).over(in_row)).select(
+        row, F.when(F.col("pos").isNotNull() & ~F.col("_inside"), F.struct(
+            "pos", F.when(F.col("_opens"), F.concat("a", F.lit(glue), "b")).otherwise(F.col("a")).alias("w")
+        )).alias("x"),
     )
+    by_row = merged.groupBy(row).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return by_row.select(row, F.transform("x", lambda s: s["w"]).alias("words"))
 
 
 def token_indices(rows: DataFrame, row: str, stats: DataFrame, top: int, length: int) -> DataFrame:
@@ -183,12 +186,12 @@ def lemmatise(rows: DataFrame, row: str, lexicon: DataFrame, counts: DataFrame)
 def keyphrases(df: DataFrame, row: str, text: Column, stop_words: list[str]) -> DataFrame:
     """Phrases between stop words and marks, scored by the sum of degree / frequency of their
     words inside the document: ``(row, phrase, score)``."""
-    from declara.functions.text import ANY_MARK, fold
+    from declara.functions.text import fold
 
-    marks = F.regexp_replace(fold(text), f"{ANY_MARK}|[0-9\r\n\t]", " | ")
+    marks = F.regexp_replace(fold(text), r"[^\p{L} ]", " | ")
     words = F.filter(F.split(marks, " +"), lambda w: w != "")
     glued = F.array_join(F.transform(words, lambda w: F.when(w.isin(stop_words), F.lit("|")).otherwise(w)), " ")
-    cut = F.filter(F.transform(F.split(glued, r"\|"), F.trim), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(glued, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     phrase_rows = df.select(row, F.posexplode(cut).alias("at", "phrase"))
     word_rows = phrase_rows.select(
         row, "at", "phrase", F.size(F.split("phrase", " ")).alias("len"), F.explode(F.split("phrase", " ")).alias("word")

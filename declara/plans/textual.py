@@ -31,7 +31,7 @@ def sql_clean(x: str) -> str:
     for article in K.ELIDED_ARTICLES:
         x = f"replace({x}, {W.sql_text(article)}, '')"
     x = f"regexp_replace({x}, {_re('(' + T.PAD_TWICE + ')')}, '  \\1  ', 'g')"
-    x = f"regexp_replace({x}, {_re('(' + T.PAD_ONCE + ')')}, ' \\1 ', 'g')"
+    x = f"regexp_replace({x}, {_re('(' + T.char_class(K.PADDED_CHARACTERS + '^') + ')')}, ' \\1 ', 'g')"
     return f"replace({x}, chr(133), '')"
 
 
@@ -421,7 +421,7 @@ def _(t: Tables):
 
 TOP_SQL = W.BOW + """,
 top AS (SELECT source, term, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) AS rank
-  FROM words GROUP BY ALL QUALIFY rank <= {k})"""
+  FROM words GROUP BY source, term QUALIFY rank <= {k})"""
 
 
 def _top_words(t: Tables, k: int):
