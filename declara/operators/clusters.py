@@ -70,25 +70,54 @@ def distances(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0) ->
     scored by matrix products: no document x centroid rows exist and nothing is shuffled.
     """
     context = model.sparkSession.sparkContext
-    parts = []
-    for block in model_blocks(model):
-        shared = context.broadcast(block)
-
-        @F.arrow_udf("array<double>")
-        def score(num_batch: pa.Array, cat_batch: pa.Array, shared=shared, gamma=gamma) -> pa.Array:
-            centres, centre_codes = shared.value
-            x = _matrix(num_batch, float)
-            codes = _matrix(cat_batch, np.int64)
-            d = np.empty((len(x), len(centres)))
-            for at in range(0, len(x), 4096):
-                d[at:at + 4096] = _distances(x[at:at + 4096], centres, codes[at:at + 4096], centre_codes, gamma)
-            offsets = np.arange(0, d.size + 1, d.shape[1], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(d.ravel()))
-
-        parts.append(score(num, cat))
+    parts = [_scorer(context.broadcast(block), gamma)(num, cat) for block in model_blocks(model)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _batches(num, cat, block, gamma):
+    """Distance matrices of an Arrow batch, 4096 documents at a time."""
+    centres, centre_codes = block
+    x, codes = _matrix(num, float), _matrix(cat, np.int64)
+    for at in range(0, len(x), 4096):
+        yield _distances(x[at:at + 4096], centres, codes[at:at + 4096], centre_codes, gamma)
+
+
+def _scorer(shared, gamma: float):
+    @F.arrow_udf("array<double>")
+    def score(num: pa.Array, cat: pa.Array) -> pa.Array:
+        found = list(_batches(num, cat, shared.value, gamma))
+        k = len(shared.value[0])
+        flat = np.concatenate([d.ravel() for d in found]) if found else np.empty(0)
+        offsets = np.arange(0, len(num) * k + 1, k, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    return score
+
+
+def nearest(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0) -> Column:
+    """The nearest centroid (ties: lowest) as ``(d, cluster)``; only two numbers per document
+    leave the Python worker."""
+    context = model.sparkSession.sparkContext
+    parts, first = [], 0
+    for block in model_blocks(model):
+        parts.append(_chooser(context.broadcast(block), gamma, first)(num, cat))
+        first += len(block[0])
+    return parts[0] if len(parts) == 1 else F.array_min(F.array(*parts))
+
+
+def _chooser(shared, gamma: float, first: int):
+    @F.arrow_udf("struct<d: double, cluster: int>")
+    def choose(num: pa.Array, cat: pa.Array) -> pa.Array:
+        found = list(_batches(num, cat, shared.value, gamma))
+        at = np.concatenate([d.argmin(1) for d in found]) if found else np.empty(0, dtype=int)
+        d = np.concatenate([d.min(1) for d in found]) if found else np.empty(0)
+        return pa.StructArray.from_arrays(
+            [pa.array(d, pa.float64()), pa.array((at + first).astype(np.int32))], names=["d", "cluster"]
+        )
+
+    return choose
+
+
 def no_categories() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -161,13 +190,12 @@ def k_prototypes(
 
     model = fix(initial_prototypes(data, row, family, n_clusters, seed))
     for _ in range(max_iter):
-        near = V.argmin(distances(F.col("num"), F.col("cat"), model, gamma))
-        assigned = data.withColumn("cluster", near)
+        assigned = data.withColumn("cluster", nearest(F.col("num"), F.col("cat"), model, gamma)["cluster"])
         moved = centroid_table(assigned, "cluster", "num", "cat")
         # A cluster that lost all its documents keeps its centroid.
         empty = model.join(moved.select("cluster"), "cluster", "left_anti")
         updated = fix(moved.select("cluster", "num", "cat").unionByName(empty.select("cluster", "num", "cat")))
-        again = V.argmin(distances(F.col("num"), F.col("cat"), updated, gamma))
+        again = nearest(F.col("num"), F.col("cat"), updated, gamma)["cluster"]
         changed = assigned.where(again != F.col("cluster")).limit(1).count()
         model = updated
         if not changed:
@@ -198,11 +226,11 @@ def novel(assigned: DataFrame, delta: float) -> DataFrame:
     return assigned.where(F.col("cluster_weight") <= delta)
 
 
-def nearest_centroid_cosine(df: DataFrame, num: Column, model: DataFrame) -> Column:
+def nearest_by_cosine(num: Column, model: DataFrame) -> Column:
     """Cluster of largest cosine: on unit vectors the squared distance is 2 - 2 cos, so the
     nearest unit centroid is the answer."""
     centres = model.select("cluster", V.unit(F.col("num")).alias("num"), "cat")
-    return V.argmin(distances(V.unit(num), no_categories(), centres, 0.0))
+    return nearest(V.unit(num), no_categories(), centres, 0.0)["cluster"]
 
 
 def centroid_pairs(model: DataFrame, kind: str = "mixed", gamma: float = 1.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "textual"]
+MODULES = ["relational", "textual", "clustering"]
 
 
 def load() -> None:

@@ -398,7 +398,18 @@ def _(t: Tables):
     return X.token_indices(rows, "doc_id", stats, 300, 60).select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
-@query("ft_keyphrases")
+KEYPHRASES_SQL = f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(list_transform(
+  list_filter(string_split_regex(regexp_replace({W.sql_fold('text')}, '[^\\p{{L}} ]', ' | ', 'g'), ' +'), lambda w: w <> ''),
+  lambda w: CASE WHEN w IN ({W.sql_list(K.STOP_WORDS)}) THEN '|' ELSE w END), ' '), '|'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+r AS (SELECT doc_id, unnest(range(len(ps))) AS place, unnest(ps) AS phrase FROM p),
+w AS (SELECT doc_id, place, phrase, len(string_split(phrase, ' ')) AS n, unnest(string_split(phrase, ' ')) AS word FROM r),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, word) / count(*) OVER (PARTITION BY doc_id, word) AS s FROM w),
+g AS (SELECT doc_id, place, phrase, sum(s) AS score FROM s GROUP BY ALL)
+SELECT doc_id, phrase, round(max(score), 6) AS score FROM g GROUP BY ALL"""
+
+
+@query("ft_keyphrases", KEYPHRASES_SQL)
 def _(t: Tables):
     return X.keyphrases(t.documents, "doc_id", F.col("text"), K.STOP_WORDS).select("doc_id", "phrase", r6("score").alias("score"))
 
