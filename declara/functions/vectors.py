@@ -48,11 +48,11 @@ def mixed_distance(num_a: Column, num_b: Column, cat_a: Column, cat_b: Column, g
 
 def scaled(v: Column, by: Column) -> Column:
     """Every element divided by ``by``."""
-    return let(by, lambda total: F.transform(v, lambda x: x / total))
+    return let(v, lambda a: let(by, lambda total: F.transform(a, lambda x: x / total)))
 
 
 def unit(v: Column) -> Column:
-    return scaled(v, norm(v))
+    return let(v, lambda a: scaled(a, norm(a)))
 
 
 def to_shares(v: Column) -> Column:

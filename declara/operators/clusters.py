@@ -74,10 +74,13 @@ def distances(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0) ->
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _batches(num, cat, block, gamma):
-    """Distance matrices of an Arrow batch, 4096 documents at a time."""
+def _batches(num, cat, block, gamma, scale=False):
+    """Distance matrices of an Arrow batch, 4096 documents at a time; ``scale`` brings the
+    documents to length 1 first."""
     centres, centre_codes = block
     x, codes = _matrix(num, float), _matrix(cat, np.int64)
+    if scale:
+        x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
     for at in range(0, len(x), 4096):
         yield _distances(x[at:at + 4096], centres, codes[at:at + 4096], centre_codes, gamma)
 
@@ -94,21 +97,21 @@ def _scorer(shared, gamma: float):
     return score
 
 
-def nearest(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0) -> Column:
+def nearest(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0, scale: bool = False) -> Column:
     """The nearest centroid (ties: lowest) as ``(d, cluster)``; only two numbers per document
     leave the Python worker."""
     context = model.sparkSession.sparkContext
     parts, first = [], 0
     for block in model_blocks(model):
-        parts.append(_chooser(context.broadcast(block), gamma, first)(num, cat))
+        parts.append(_chooser(context.broadcast(block), gamma, first, scale)(num, cat))
         first += len(block[0])
     return parts[0] if len(parts) == 1 else F.array_min(F.array(*parts))
 
 
-def _chooser(shared, gamma: float, first: int):
+def _chooser(shared, gamma: float, first: int, scale: bool):
     @F.arrow_udf("struct<d: double, cluster: int>")
     def choose(num: pa.Array, cat: pa.Array) -> pa.Array:
-        found = list(_batches(num, cat, shared.value, gamma))
+        found = list(_batches(num, cat, shared.value, gamma, scale))
         at = np.concatenate([d.argmin(1) for d in found]) if found else np.empty(0, dtype=int)
         d = np.concatenate([d.min(1) for d in found]) if found else np.empty(0)
         return pa.StructArray.from_arrays(
@@ -230,7 +233,7 @@ def nearest_by_cosine(num: Column, model: DataFrame) -> Column:
     """Cluster of largest cosine: on unit vectors the squared distance is 2 - 2 cos, so the
     nearest unit centroid is the answer."""
     centres = model.select("cluster", V.unit(F.col("num")).alias("num"), "cat")
-    return nearest(V.unit(num), no_categories(), centres, 0.0)["cluster"]
+    return nearest(num, no_categories(), centres, 0.0, scale=True)["cluster"]
 
 
 def centroid_pairs(model: DataFrame, kind: str = "mixed", gamma: float = 1.0) -> DataFrame:

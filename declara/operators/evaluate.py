@@ -23,9 +23,12 @@ def per_class(df: DataFrame, truth: str, predicted: str, group: list[str] = ())
     """Precision, recall, F1 and support of every class seen in truth or prediction."""
     cells = counts(df, [*group, truth, predicted])
     hit = F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)
-    as_truth = cells.select(*group, F.col(truth).alias("class"), F.col("n").alias("support"), F.lit(0).alias("answers"), hit.alias("hits"))
-    as_answer = cells.select(*group, F.col(predicted).alias("class"), F.lit(0).alias("support"), F.col("n").alias("answers"), F.lit(0).alias("hits"))
-    summed = as_truth.unionByName(as_answer).groupBy(*group, "class").agg(
+    # Every confusion cell counts once for its truth and once for its answer, in the same pass.
+    sides = F.array(
+        F.struct(F.col(truth).alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("answers"), hit.cast("long").alias("hits")),
+        F.struct(F.col(predicted).alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("answers"), F.lit(0).cast("long").alias("hits")),
+    )
+    summed = cells.select(*group, F.inline(sides)).groupBy(*group, "class").agg(
         F.sum("support").alias("support"), F.sum("answers").alias("answers"), F.sum("hits").alias("hits")
     )
     return summed.select(
@@ -73,9 +76,10 @@ def unused_classes(report: DataFrame) -> DataFrame:
 def never_predicted(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Classes by where they occur: only in truth, only in predictions, or in both."""
     cells = counts(df, [truth, predicted])
-    sides = cells.select(F.col(truth).alias("class"), F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
-        cells.select(F.col(predicted).alias("class"), F.lit(0).alias("t"), F.lit(1).alias("p"))
-    )
+    sides = cells.select(F.inline(F.array(
+        F.struct(F.col(truth).alias("class"), F.lit(1).alias("t"), F.lit(0).alias("p")),
+        F.struct(F.col(predicted).alias("class"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+    )))
     return sides.groupBy("class").agg(F.max("t").alias("t"), F.max("p").alias("p")).select(
         "class", F.when(F.col("p") == 0, "never predicted").when(F.col("t") == 0, "never true").otherwise("both").alias("seen")
     )
