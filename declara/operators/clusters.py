@@ -337,15 +337,19 @@ def hypotheses(predictions: DataFrame, file: str = "file") -> DataFrame:
     best = wanted.groupBy(file).agg(
         of("DCO").alias("dco"), of("effet").alias("tef"), of("dysfonctionnement").alias("tdy"), of("consequence").alias("cdy")
     )
-    families = F.when(F.element_at("dco", 1)["n"] == "", F.col("dco")).otherwise(F.slice("dco", 1, 1))
-    rows = best.select(file, F.explode(families).alias("d"), "tef", "tdy", "cdy")
-    for name, column in (("e", "tef"), ("t", "tdy"), ("k", "cdy")):
-        rows = rows.select("*", F.explode(column).alias(name))
-    product = F.col("d.p") * F.col("e.p") * F.col("t.p") * F.col("k.p")
-    return rows.select(
-        file, F.col("d.c").alias("dco"), F.col("e.c").alias("tef"), F.col("t.c").alias("tdy"), F.col("k.c").alias("cdy"),
-        (product / F.sum(product).over(Window.partitionBy(file))).alias("prior"),
-    )
+    families = F.when(F.get("dco", F.lit(0))["n"] == "", F.col("dco")).otherwise(F.slice("dco", 1, 1))
+
+    def combine(d, e, t, k):
+        return F.struct(
+            d["c"].alias("dco"), e["c"].alias("tef"), t["c"].alias("tdy"), k["c"].alias("cdy"),
+            (d["p"] * e["p"] * t["p"] * k["p"]).alias("p"),
+        )
+
+    combos = F.flatten(F.transform(families, lambda d: F.flatten(F.transform("tef", lambda e: F.flatten(
+        F.transform("tdy", lambda t: F.transform("cdy", lambda k: combine(d, e, t, k)))
+    )))))
+    rows = best.select(file, F.inline(combos))
+    return rows.withColumn("prior", F.col("p") / F.sum("p").over(Window.partitionBy(file))).drop("p")
 
 
 def mix_memberships(weighted: DataFrame, file: str, prior: str, weights: str, k: int = 100) -> DataFrame:

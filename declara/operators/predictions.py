@@ -31,12 +31,12 @@ def as_percentages(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("percent", F.round(100 * F.col("proba"), 2))
 
 
-def skip_default(ranked: DataFrame, keys: list[str], default: str, may_skip: Column = F.lit(True)) -> DataFrame:
+def skip_default(ranked: DataFrame, keys: list[str], default: str, may_skip: Column | None = None) -> DataFrame:
     """First class per key, or the second when the first is the default class and the rule allows it."""
     best = ranked.where(F.col("rank") <= 2).groupBy(*keys).agg(
         F.max(F.when(F.col("rank") == 1, F.struct("class", "proba"))).alias("a"),
         F.max(F.when(F.col("rank") == 2, F.struct("class", "proba"))).alias("b"),
-        F.first(may_skip, ignorenulls=True).alias("skip") if may_skip is not None else F.lit(True).alias("skip"),
+        F.bool_and(F.lit(True) if may_skip is None else may_skip).alias("skip"),
     )
     second = (F.col("a")["class"] == default) & F.col("skip") & F.col("b").isNotNull()
     chosen = F.when(second, F.col("b")).otherwise(F.col("a"))
