@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "textual", "clustering", "scoring"]
+MODULES = ["relational", "textual", "clustering", "scoring", "forms"]
 
 
 def load() -> None:

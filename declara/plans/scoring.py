@@ -220,9 +220,9 @@ def _hypotheses(t: Tables):
     return C.hypotheses(W.ranked(t, 2).withColumn("class_name", name))
 
 
-@query("jn_hypotheses", f"WITH {HYPO_SQL} SELECT file, dco, tef, tdy, cdy, round(prior, 6) AS prior FROM hypotheses")
+@query("jn_hypotheses", f"WITH {HYPO_SQL} SELECT file, dco, tef, tdy, cdy, round(prior, 10) AS prior FROM hypotheses")
 def _(t: Tables):
-    return _hypotheses(t).select("file", "dco", "tef", "tdy", "cdy", r6("prior").alias("prior"))
+    return _hypotheses(t).select("file", "dco", "tef", "tdy", "cdy", F.round("prior", 10).alias("prior"))
 
 
 @query("ml_hypothesis_mix", f"""

@@ -169,10 +169,10 @@ items AS (
 ),
 summed AS (SELECT file, model, class, sum(v) AS v FROM items GROUP BY ALL),
 predictions AS (
-  SELECT file, model, class, 'label ' || class AS class_name, v / sum(v) OVER (PARTITION BY file, model) AS proba FROM summed
+  SELECT file, model, class, 'label ' || class AS class_name, round(v / sum(v) OVER (PARTITION BY file, model), 12) AS proba FROM summed
 ),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY file, model ORDER BY round(proba, 12) DESC, class) AS rank FROM predictions
+  SELECT *, row_number() OVER (PARTITION BY file, model ORDER BY proba DESC, class) AS rank FROM predictions
 )"""
 
 

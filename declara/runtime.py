@@ -4,8 +4,9 @@ checked model sizes and numbering of a distributed order."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A model table (centroids, projections) may reach the tasks as a broadcast
@@ -17,13 +18,11 @@ MODEL_BLOCK_VALUES = 8_000_000
 HOT_KEYS = 2000
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint that survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by the session in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a scratch folder of its own.
+    Only a local session without that setting gets a scratch folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +31,20 @@ def stage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="declara-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint that survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank", start: int = 1) -> DataFrame:
     """Number all rows by ``order`` (which must be total) without one task seeing them all.
 
