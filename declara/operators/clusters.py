@@ -178,31 +178,28 @@ def k_prototypes(
 ) -> DataFrame:
     """Lloyd iterations until no document changes its cluster; returns the centroid table.
 
-    Every round is one scan: documents are scored against the old and the new centroids
-    in the same pass, so no assignment is stored between rounds and a lost executor costs
-    only its partitions. The centroids come back as a table of n_clusters rows, which also
-    cuts the lineage.
+    A round scores the documents against the current and the previous centroids in the same
+    pass, so no assignment is stored between rounds and a lost executor costs only its
+    partitions. The centroids come back as a table of n_clusters rows, which also cuts the lineage.
     """
     spark = df.sparkSession
     data = df.select(F.col(row), F.col(family), V.doubles(F.col("num")).alias("num"), F.col("cat").cast("array<bigint>").alias("cat"))
     schema = "cluster int, num array<double>, cat array<bigint>"
-
-    def fix(table):
-        rows = table.select(F.col("cluster").cast("int"), "num", "cat").orderBy("cluster").collect()
-        return spark.createDataFrame(rows, schema)
-
-    model = fix(initial_prototypes(data, row, family, n_clusters, seed))
+    num, cat = F.col("num"), F.col("cat")
+    first = initial_prototypes(data, row, family, n_clusters, seed).orderBy("cluster").collect()
+    model, previous = spark.createDataFrame(first, schema), None
     for _ in range(max_iter):
-        assigned = data.withColumn("cluster", nearest(F.col("num"), F.col("cat"), model, gamma)["cluster"])
-        moved = centroid_table(assigned, "cluster", "num", "cat")
-        # A cluster that lost all its documents keeps its centroid.
-        empty = model.join(moved.select("cluster"), "cluster", "left_anti")
-        updated = fix(moved.select("cluster", "num", "cat").unionByName(empty.select("cluster", "num", "cat")))
-        again = nearest(F.col("num"), F.col("cat"), updated, gamma)["cluster"]
-        changed = assigned.where(again != F.col("cluster")).limit(1).count()
-        model = updated
-        if not changed:
+        assigned = data.withColumn("cluster", nearest(num, cat, model, gamma)["cluster"])
+        before = F.lit(None).cast("int") if previous is None else nearest(num, cat, previous, gamma)["cluster"]
+        moved = assigned.withColumn("_moved", F.when(before == F.col("cluster"), 0).otherwise(1))
+        changes = moved.groupBy("cluster").agg(F.sum("_moved").alias("moved"))
+        table = centroid_table(assigned, "cluster", "num", "cat").join(changes, "cluster").collect()
+        if not sum(r["moved"] for r in table):
             break
+        # A cluster that lost all its documents keeps its centroid.
+        fresh = {r["cluster"]: (r["cluster"], r["num"], r["cat"]) for r in table}
+        kept = [fresh.get(r["cluster"], tuple(r)) for r in model.orderBy("cluster").collect()]
+        previous, model = model, spark.createDataFrame(kept, schema)
     return model
 
 
