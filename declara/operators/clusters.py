@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from declara.functions import vectors as V
@@ -18,12 +18,15 @@ from declara.operators.aggregations import counts
 from declara.runtime import MODEL_BLOCK_VALUES
 
 
-def model_blocks(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+def model_blocks(model: DataFrame | list) -> list[tuple[np.ndarray, np.ndarray]]:
     """The centroid table as numpy blocks of at most MODEL_BLOCK_VALUES numbers, in cluster order.
+    Blocks that an iteration already holds pass through.
 
     The size is asked first; each block is fetched on its own, so neither the driver nor a
     task ever holds more than one block at a time beyond the model itself.
     """
+    if isinstance(model, list):
+        return model
     size = model.agg(
         F.count("*").alias("k"), F.max(F.size("num") + F.greatest(F.size("cat"), F.lit(0))).alias("d"),
         F.max("cluster").alias("last"),
@@ -36,13 +39,17 @@ def model_blocks(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             .select("cluster", "num", "cat").orderBy("cluster").collect()
         )
         if rows:
-            blocks.append((
-                np.array([r["num"] for r in rows], dtype=float),
-                np.array([r["cat"] or [] for r in rows], dtype=np.int64).reshape(len(rows), -1),
-            ))
+            blocks.append(_block([(r["num"], r["cat"]) for r in rows]))
     return blocks
 
 
+def _block(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return (
+        np.array([num for num, _ in rows], dtype=float),
+        np.array([cat or [] for _, cat in rows], dtype=np.int64).reshape(len(rows), -1),
+    )
+
+
 def _distances(x, c, codes, centre_codes, gamma):
     """Batch of mixed distances; tiny ones are taken from the differences themselves, so that
     a document on a centroid gets exactly 0."""
@@ -63,13 +70,13 @@ def _matrix(column, dtype):
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def distances(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0) -> Column:
+def distances(num: Column, cat: Column, model: DataFrame | list, gamma: float = 1.0) -> Column:
     """Array of mixed distances from a document to every centroid, in cluster order.
 
     Each model block goes to the tasks once as a broadcast variable and whole Arrow batches are
     scored by matrix products: no document x centroid rows exist and nothing is shuffled.
     """
-    context = model.sparkSession.sparkContext
+    context = SparkSession.active().sparkContext
     parts = [_scorer(context.broadcast(block), gamma)(num, cat) for block in model_blocks(model)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
@@ -97,10 +104,10 @@ def _scorer(shared, gamma: float):
     return score
 
 
-def nearest(num: Column, cat: Column, model: DataFrame, gamma: float = 1.0, scale: bool = False) -> Column:
+def nearest(num: Column, cat: Column, model: DataFrame | list, gamma: float = 1.0, scale: bool = False) -> Column:
     """The nearest centroid (ties: lowest) as ``(d, cluster)``; only two numbers per document
     leave the Python worker."""
-    context = model.sparkSession.sparkContext
+    context = SparkSession.active().sparkContext
     parts, first = [], 0
     for block in model_blocks(model):
         parts.append(_chooser(context.broadcast(block), gamma, first, scale)(num, cat))
@@ -184,23 +191,25 @@ def k_prototypes(
     """
     spark = df.sparkSession
     data = df.select(F.col(row), F.col(family), V.doubles(F.col("num")).alias("num"), F.col("cat").cast("array<bigint>").alias("cat"))
-    schema = "cluster int, num array<double>, cat array<bigint>"
     num, cat = F.col("num"), F.col("cat")
     first = initial_prototypes(data, row, family, n_clusters, seed).orderBy("cluster").collect()
-    model, previous = spark.createDataFrame(first, schema), None
+    centres, previous = [(r["num"], r["cat"]) for r in first], None
+    if sum(len(n) + len(c) for n, c in centres) > MODEL_BLOCK_VALUES:
+        raise ValueError("the model is larger than one broadcast block")
     for _ in range(max_iter):
-        assigned = data.withColumn("cluster", nearest(num, cat, model, gamma)["cluster"])
-        before = F.lit(None).cast("int") if previous is None else nearest(num, cat, previous, gamma)["cluster"]
+        assigned = data.withColumn("cluster", nearest(num, cat, [_block(centres)], gamma)["cluster"])
+        before = F.lit(None).cast("int") if previous is None else nearest(num, cat, [_block(previous)], gamma)["cluster"]
         moved = assigned.withColumn("_moved", F.when(before == F.col("cluster"), 0).otherwise(1))
         changes = moved.groupBy("cluster").agg(F.sum("_moved").alias("moved"))
         table = centroid_table(assigned, "cluster", "num", "cat").join(changes, "cluster").collect()
         if not sum(r["moved"] for r in table):
             break
         # A cluster that lost all its documents keeps its centroid.
-        fresh = {r["cluster"]: (r["cluster"], r["num"], r["cat"]) for r in table}
-        kept = [fresh.get(r["cluster"], tuple(r)) for r in model.orderBy("cluster").collect()]
-        previous, model = model, spark.createDataFrame(kept, schema)
-    return model
+        previous, centres = centres, list(centres)
+        for r in table:
+            centres[r["cluster"]] = (r["num"], r["cat"])
+    rows = [(i, list(n), list(c)) for i, (n, c) in enumerate(centres)]
+    return spark.createDataFrame(rows, "cluster int, num array<double>, cat array<bigint>")
 
 
 # -- memberships ----------------------------------------------------------------
@@ -375,10 +384,13 @@ def statistics_of(df: DataFrame, cluster: str, num: str, cat: str) -> tuple[Data
     return sums, counts(cells, ["cluster", "a", "code"])
 
 
+def vector_sum(column: str) -> Column:
+    """Element-wise sum of an array column, summed map-side as vectors."""
+    return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(F.col(column)))["sum"])
+
+
 def merge_statistics(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    sums = old[0].unionByName(new[0]).groupBy("cluster").agg(
-        Summarizer.metrics("sum").summary(array_to_vector(F.col("sums"))).alias("s"), F.sum("n").alias("n")
-    ).select("cluster", vector_to_array(F.col("s.sum")).alias("sums"), "n")
+    sums = old[0].unionByName(new[0]).groupBy("cluster").agg(vector_sum("sums").alias("sums"), F.sum("n").alias("n"))
     cells = old[1].unionByName(new[1]).groupBy("cluster", "a", "code").agg(F.sum("n").alias("n"))
     return sums, cells
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "textual", "clustering", "scoring", "forms", "learning"]
+MODULES = ["relational", "textual", "clustering", "scoring", "forms", "learning", "streams"]
 
 
 def load() -> None:
