@@ -100,6 +100,21 @@ def tokens(text: Column, stop_words: Iterable[str] = tuple(K.STOP_WORDS + K.MEAS
     return F.filter(letters, lambda w: F.length(w) > 2)
 
 
+def bag(words: Column) -> Column:
+    """Array of (term, tf) of a word list: sorted, then cut where the word changes. Counting inside
+    the row needs no shuffle by document."""
+
+    def count(s):
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(starts, lambda a: F.zip_with(
+            a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(s) + 1)),
+            lambda i, end: F.struct(F.get(s, i - 1).alias("term"), (end - i).cast("long").alias("tf")),
+        ))
+
+    empty = F.array().cast("array<struct<term: string, tf: bigint>>")
+    return let(F.sort_array(words), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(empty))
+
+
 def plain_tokens(text: Column, drop: Iterable[str] = ()) -> Column:
     """Lower-case words and marks in order; words in ``drop`` and single marks leave if given."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"), F.lit(1))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from declara.functions.text import bag
 from declara.functions.vectors import let
-from declara.runtime import skew_safe_lookup, with_global_rank
+from declara.runtime import skew_safe_lookup, stage, with_global_rank
 
 
 def token_rows(df: DataFrame, row: str, words: Column, positions: bool = False) -> DataFrame:
@@ -16,9 +17,9 @@ def token_rows(df: DataFrame, row: str, words: Column, positions: bool = False)
     return df.select(row, F.explode(words).alias("term"))
 
 
-def doc2bow(rows: DataFrame, row: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(row, term, tf), on the words of ``vocabulary`` if given."""
-    bow = rows.groupBy(row, "term").agg(F.count("*").alias("tf"))
+def doc2bow(df: DataFrame, row: str, words: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(row, term, tf), on the words of ``vocabulary`` if given. Words are counted inside the row."""
+    bow = df.select(row, F.inline(bag(words)))
     if vocabulary is not None:
         known = vocabulary.select("term", F.col("df").alias("_df"))
         bow = skew_safe_lookup(bow, known, ["term"], "_df", F.xxhash64(row)).drop("_df")
@@ -99,7 +100,7 @@ def column_features(df: DataFrame, row: str, specs: dict[str, dict]) -> DataFram
     parts = []
     n_docs = df.select(F.count("*")).scalar()
     for name, spec in specs.items():
-        bow = doc2bow(token_rows(df, row, spec["words"]), row)
+        bow = doc2bow(df, row, spec["words"])
         terms = top_terms(term_stats(bow), spec.get("min_df", 1), spec["max_features"])
         values = tfidf(bow, row, terms, n_docs, spec.get("norm", "l2"))
         parts.append(values.select(row, F.lit(name).alias("column"), "term", "value"))
@@ -124,8 +125,9 @@ def pair_counts(df: DataFrame, words: Column) -> DataFrame:
 def phrases(df: DataFrame, words: Column, min_count: int = 1, threshold: float = 2.0) -> DataFrame:
     """Pairs scoring (n_ab - min_count) * V / (n_a * n_b) above the threshold; V counts the
     distinct words and distinct pairs."""
-    unigrams = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = pair_counts(df, words)
+    # Both counts are read several times below, so each is computed once.
+    unigrams = stage(df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    pairs = stage(pair_counts(df, words))
     v = unigrams.select(F.count("*")).scalar() + pairs.select(F.count("*")).scalar()
     first = unigrams.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     second = unigrams.select(F.col("w").alias("b"), F.col("n").alias("n_b"))

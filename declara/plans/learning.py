@@ -18,11 +18,11 @@ from declara.runtime import stage
 
 
 def _docs(t: Tables):
-    return t.documents.select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("words"))
+    return t.texts.select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("words"))
 
 
 def _vocabulary(t: Tables, keep: int = 1000):
-    bow = X.doc2bow(X.token_rows(_docs(t), "doc_id", F.col("words")), "doc_id")
+    bow = X.doc2bow(_docs(t), "doc_id", F.col("words"))
     return stage(X.vocabulary(X.term_stats(bow), t.documents.select(F.count("*")).scalar(), keep_n=keep))
 
 
@@ -81,7 +81,7 @@ def _(t: Tables):
 
 @query("ft_svd")
 def _(t: Tables):
-    bow = X.doc2bow(X.token_rows(_docs(t), "doc_id", F.col("words")), "doc_id")
+    bow = X.doc2bow(_docs(t), "doc_id", F.col("words"))
     terms = stage(X.top_terms(X.term_stats(bow), 2, 300))
     entries = X.tfidf(bow, "doc_id", terms, t.documents.select(F.count("*")).scalar()).select("doc_id", "term", "value")
     codes = terms.select(F.col("term").alias("value"), (F.col("rank") - 1).alias("code"))

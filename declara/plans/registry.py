@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from declara.runtime import spread
+
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +29,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    @property
+    def texts(self) -> DataFrame:
+        """``documents`` for work that is heavy per text, dealt out to all cores."""
+        return spread(self.documents, "doc_id")
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 

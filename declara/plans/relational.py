@@ -15,6 +15,7 @@ from declara.operators import quantiles as Q
 from declara.plans import views as W
 from declara.plans.registry import Tables, query
 from declara.plans.views import r6
+from declara.runtime import stage, with_global_rank
 
 # -- flagship: families of every cluster -------------------------------------------
 
@@ -249,7 +250,7 @@ def _(t: Tables):
 WITH n AS (SELECT doc_id, len({W.sql_tokens('text')}) AS n_words FROM documents)
 SELECT doc_id, n_words FROM n WHERE n_words > (SELECT quantile_cont(n_words, 0.25) FROM n)""")
 def _(t: Tables):
-    n = t.documents.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"))
+    n = stage(t.texts.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words")))
     cut = Q.quantile_column(n, [], "n_words", 0.25, "q").select("q").scalar()
     return n.where(F.col("n_words") > cut)
 
@@ -458,7 +459,7 @@ SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex({W
   lambda w: w <> '' AND w NOT IN ({W.sql_list(K.STOP_WORDS)}))) AS term FROM documents)
 GROUP BY term ORDER BY n DESC, term LIMIT 30""")
 def _(t: Tables):
-    words = t.documents.select(F.explode(F.split(T.fold(F.col("text")), "[^a-z]+")).alias("term"))
+    words = t.texts.select(F.explode(F.split(T.fold(F.col("text")), "[^a-z]+")).alias("term"))
     kept = words.where((F.col("term") != "") & ~F.col("term").isin(K.STOP_WORDS))
     return A.counts(kept, ["term"]).orderBy(F.col("n").desc(), "term").limit(30)
 
@@ -487,8 +488,6 @@ def _(t: Tables):
 SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source""")
 def _(t: Tables):
     counted = A.counts(t.documents, ["source"])
-    from declara.runtime import with_global_rank
-
     return with_global_rank(counted, [F.col("n").desc(), F.col("source")])
 
 
@@ -611,7 +610,7 @@ def _(t: Tables):
 SELECT lang, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median
 FROM (SELECT lang, len({W.sql_tokens('text')}) AS n FROM documents) GROUP BY lang""")
 def _(t: Tables):
-    n = t.documents.select("lang", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
+    n = stage(t.texts.select("lang", F.size(T.tokens(F.col("text"))).cast("long").alias("n")))
     half = Q.quantile_column(n, ["lang"], "n", 0.5, "median")
     return n.groupBy("lang").agg(F.min("n").alias("min"), F.max("n").alias("max"), r6(F.avg("n")).alias("mean")).join(half, "lang")
 
@@ -668,15 +667,13 @@ SELECT term, n, 'middle' FROM s, q WHERE n > lo AND n < hi""")
 def _(t: Tables):
     from declara.operators.topics import review_band
 
-    return review_band(A.counts(W.words(t), ["term"]), "term", "n", 15)
+    return review_band(stage(A.counts(W.words(t), ["term"])), "term", "n", 15)
 
 
 @query("win_rank_slice", """
 SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source
 QUALIFY rank BETWEEN 6 AND 15""")
 def _(t: Tables):
-    from declara.runtime import with_global_rank
-
     ranked = with_global_rank(A.counts(t.documents, ["source"]), [F.col("n").desc(), F.col("source")])
     return ranked.where(F.col("rank").between(6, 15))
 
@@ -689,8 +686,6 @@ def _(t: Tables):
 @query("srt_by_length", """
 SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS place FROM documents""")
 def _(t: Tables):
-    from declara.runtime import with_global_rank
-
     sized = t.documents.select("doc_id", F.length("text").cast("long").alias("n"))
     return with_global_rank(sized, [F.col("n"), F.col("doc_id")], "place")
 
@@ -732,8 +727,8 @@ def _(t: Tables):
 WITH {W.WORDS}, frequent AS (SELECT term FROM words GROUP BY term HAVING count(DISTINCT doc_id) > 0.5 * (SELECT count(*) FROM documents))
 SELECT term FROM frequent UNION SELECT {W.sql_fold('lang')} FROM documents""")
 def _(t: Tables):
-    bow = W.words(t).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    stats = bow.groupBy("term").agg(F.count("*").alias("df"))
+    distinct = t.texts.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    stats = distinct.groupBy("term").agg(F.count("*").alias("df"))
     frequent = stats.where(F.col("df") > 0.5 * t.documents.select(F.count("*")).scalar()).select("term")
     return frequent.unionByName(t.documents.select(T.fold(F.col("lang")).alias("term"))).distinct()
 

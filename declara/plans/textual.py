@@ -57,45 +57,45 @@ def _misspelt():
 
 @query("fn_deaccent", f"SELECT doc_id, {W.sql_deaccent('text')} AS text, {W.sql_fold('text')} AS folded FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.deaccent(F.col("text")).alias("text"), T.fold(F.col("text")).alias("folded"))
+    return t.texts.select("doc_id", T.deaccent(F.col("text")).alias("text"), T.fold(F.col("text")).alias("folded"))
 
 
 @query("fn_fix_misspell", f"SELECT doc_id, {sql_misspell(MISSPELT_SQL)} AS text FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.fix_misspellings(_misspelt()).alias("text"))
+    return t.texts.select("doc_id", T.fix_misspellings(_misspelt()).alias("text"))
 
 
 @query("fn_clean_text", f"SELECT doc_id, {sql_clean('text')} AS text FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
 @query("fn_clean_text_strip", f"""
 SELECT doc_id, replace(regexp_replace({sql_repair('text')}, {_re(T.ANY_MARK)}, '', 'g'), chr(133), '') AS text FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.strip_marks(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", T.strip_marks(F.col("text")).alias("text"))
 
 
 @query("fn_clean_numbers", "SELECT doc_id, regexp_replace(text, '[0-9]+', '', 'g') AS text FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.drop_numbers(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", T.drop_numbers(F.col("text")).alias("text"))
 
 
 @query("fn_preprocess_text", f"SELECT doc_id, {sql_preprocess(MISSPELT_SQL)} AS text FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.preprocess_text(_misspelt()).alias("text"))
+    return t.texts.select("doc_id", T.preprocess_text(_misspelt()).alias("text"))
 
 
 @query("fn_normalise_spacing", r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(text, chr(13) || chr(10), '  '),
   '([0-9]+)([^0-9])', '\1 \2', 'g'), '([\\/])([\p{L}\p{N}_])', '\1 \2', 'g'), ' +', ' ', 'g') AS text FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.normalise_spacing(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", T.normalise_spacing(F.col("text")).alias("text"))
 
 
 @query("fn_tokens", f"SELECT doc_id, array_to_string({W.sql_tokens('text')}, ' ') AS tokens FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 PLAIN_SQL = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+|[^\p{L}\p{N}\s])')"
@@ -106,7 +106,7 @@ SELECT doc_id, array_to_string({PLAIN_SQL}, ' ') AS all_tokens,
   array_to_string(list_filter({PLAIN_SQL}, lambda w: w NOT IN ({W.sql_list(K.STOP_WORDS + list(K.ASCII_PUNCTUATION))})), ' ') AS tokens
 FROM documents""")
 def _(t: Tables):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", F.array_join(T.plain_tokens(F.col("text")), " ").alias("all_tokens"),
         F.array_join(T.plain_tokens(F.col("text"), K.STOP_WORDS), " ").alias("tokens"),
     )
@@ -121,7 +121,7 @@ lexicon AS (SELECT DISTINCT s.term AS term, substr(s.term, 1, length(s.term) - 1
 WITH {W.BOW}, {LEXICON_SQL}
 SELECT doc_id, coalesce(lemma, w.term) AS term, count(*) AS tf FROM words w LEFT JOIN lexicon USING (term) GROUP BY ALL""")
 def _(t: Tables):
-    rows = X.token_rows(t.documents, "doc_id", T.tokens(F.col("text")), positions=True)
+    rows = X.token_rows(t.texts, "doc_id", T.tokens(F.col("text")), positions=True)
     stats = rows.groupBy("term").agg(F.count("*").alias("cf"))
     # A stand-in lexicon: a plural whose singular occurs in the corpus has the singular as lemma.
     singular = stats.select(F.concat("term", F.lit("s")).alias("term"), F.col("term").alias("lemma"))
@@ -160,7 +160,7 @@ def _death_text():
 @query("fn_find_death", f"""
 SELECT doc_id, CASE WHEN regexp_matches({W.sql_fold(DEATH_SQL)}, '{'|'.join(K.DEATH_STEMS)}') THEN 1 ELSE 0 END AS death FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", T.mentions_death(_death_text()).alias("death"))
+    return t.texts.select("doc_id", T.mentions_death(_death_text()).alias("death"))
 
 
 @query("fn_find_death_tokens", f"""
@@ -217,14 +217,14 @@ def _(t: Tables):
 @query("fn_distinct_terms", f"""
 SELECT doc_id, term FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({W.sql_tokens('text')}) AS term FROM documents))""")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return t.texts.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
 @query("fn_concat_token_cols", f"""
 SELECT doc_id, array_to_string(list_concat({W.sql_tokens('text')}, {W.sql_tokens("replace(source, '_', ' ')")}), ' ') AS tokens FROM documents""")
 def _(t: Tables):
     both = F.concat(T.tokens(F.col("text")), T.tokens(F.replace("source", F.lit("_"), F.lit(" "))))
-    return t.documents.select("doc_id", F.array_join(both, " ").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(both, " ").alias("tokens"))
 
 
 PIECES_SQL = "string_split(text, ' ')"
@@ -234,7 +234,7 @@ PIECES_SQL = "string_split(text, ' ')"
 SELECT doc_id, array_to_string(CASE WHEN len({PIECES_SQL}) <= 25 THEN {PIECES_SQL}
   ELSE list_concat({PIECES_SQL}[1:13], {PIECES_SQL}[-12:]) END, ' ') AS words FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.array_join(T.head_tail(F.split("text", " "), 25), " ").alias("words"))
+    return t.texts.select("doc_id", F.array_join(T.head_tail(F.split("text", " "), 25), " ").alias("words"))
 
 
 @query("fn_pad_mask", f"""
@@ -243,7 +243,7 @@ SELECT doc_id, array_to_string(list_concat(ids[1:40], list_transform(range(great
   CAST(least(len(ids), 40) AS BIGINT) AS used FROM n""")
 def _(t: Tables):
     ids = F.transform(F.split("text", " "), F.length)
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", F.array_join(T.pad_right(ids, 40), " ").alias("ids"),
         F.aggregate(T.attention_mask(ids, 40), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("used"),
     )
@@ -269,7 +269,7 @@ def _(t: Tables):
 
 
 def _bow(t: Tables):
-    return X.doc2bow(X.token_rows(t.documents, "doc_id", T.tokens(F.col("text"))), "doc_id")
+    return X.doc2bow(t.texts, "doc_id", T.tokens(F.col("text")))
 
 
 def _n_docs(t: Tables):
@@ -295,7 +295,7 @@ def _(t: Tables):
 def _(t: Tables):
     bow = _bow(t)
     vocabulary = X.vocabulary(X.term_stats(bow), _n_docs(t), keep_n=500)
-    return X.doc2bow(X.token_rows(t.documents, "doc_id", T.tokens(F.col("text"))), "doc_id", vocabulary)
+    return X.doc2bow(t.texts, "doc_id", T.tokens(F.col("text")), vocabulary)
 
 
 TFIDF_SQL = W.BOW + """,
@@ -344,7 +344,7 @@ g AS (SELECT p_partkey, unnest(list_concat(list_transform(range(1, length(w)), l
   list_transform(range(1, length(w) - 1), lambda i: substr(w, CAST(i AS INTEGER), 3)))) AS term FROM w)
 SELECT p_partkey, term, count(*) AS tf FROM g GROUP BY ALL""")
 def _(t: Tables):
-    return X.doc2bow(X.token_rows(t.part, "p_partkey", X.character_grams(F.col("p_name"), 2, 3, in_words=True)), "p_partkey")
+    return X.doc2bow(t.part, "p_partkey", X.character_grams(F.col("p_name"), 2, 3, in_words=True))
 
 
 PAIRS_SQL = f"""
@@ -355,7 +355,7 @@ pairs AS (SELECT a, b, count(*) AS n_ab FROM (SELECT unnest(w[1:len(w) - 1]) AS
 
 @query("agg_bigram_stats", f"WITH {PAIRS_SQL} SELECT a, b, n_ab FROM pairs")
 def _(t: Tables):
-    return X.pair_counts(t.documents, T.tokens(F.col("text")))
+    return X.pair_counts(t.texts, T.tokens(F.col("text")))
 
 
 PHRASES_SQL = PAIRS_SQL + """,
@@ -365,13 +365,13 @@ phrases AS (SELECT a, b, n_ab, (n_ab - 1) * ((SELECT count(*) FROM uni) + (SELEC
 
 @query("ft_phrases", f"WITH {PHRASES_SQL} SELECT a, b, n_ab, round(score, 6) AS score FROM phrases")
 def _(t: Tables):
-    return X.phrases(t.documents, T.tokens(F.col("text"))).select("a", "b", "n_ab", r6("score").alias("score"))
+    return X.phrases(t.texts, T.tokens(F.col("text"))).select("a", "b", "n_ab", r6("score").alias("score"))
 
 
 @query("fn_ngram_apply", f"""
 WITH RECURSIVE {PHRASES_SQL},
 flagged AS (SELECT doc_id, i, t.a AS word, (p.a IS NOT NULL) AS hit
-  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM w) t
+  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM w WHERE len(w) > 0) t
   LEFT JOIN phrases p ON p.a = t.a AND p.b = t.b),
 runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) AS run FROM flagged),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hit, run ORDER BY i) AS k FROM runs),
@@ -381,7 +381,7 @@ named AS (SELECT doc_id, i, word, opens, lag(opens, 1, false) OVER (PARTITION BY
 SELECT doc_id, string_agg(CASE WHEN opens THEN word || '_' || next ELSE word END, ' ' ORDER BY i) FILTER (NOT continues) AS words
 FROM named GROUP BY doc_id""")
 def _(t: Tables):
-    docs = t.documents.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    docs = t.texts.select("doc_id", T.tokens(F.col("text")).alias("words"))
     learned = X.phrases(docs, F.col("words"))
     merged = X.apply_phrases(docs, "doc_id", F.col("words"), learned)
     return merged.where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("words"))
@@ -393,7 +393,7 @@ v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS ix FROM w
 k AS (SELECT doc_id, list(ix ORDER BY pos) AS ids FROM w JOIN v USING (term) GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest(0, 60 - len(ids))), lambda i: 0), ids[greatest(1, len(ids) - 59):]), ' ') AS ids FROM k""")
 def _(t: Tables):
-    rows = X.token_rows(t.documents, "doc_id", T.tokens(F.col("text")), positions=True)
+    rows = X.token_rows(t.texts, "doc_id", T.tokens(F.col("text")), positions=True)
     stats = rows.groupBy("term").agg(F.count("*").alias("cf"), F.lit(1).alias("df"))
     return X.token_indices(rows, "doc_id", stats, 300, 60).select("doc_id", F.array_join("ids", " ").alias("ids"))
 
@@ -406,12 +406,12 @@ r AS (SELECT doc_id, unnest(range(len(ps))) AS place, unnest(ps) AS phrase FROM
 w AS (SELECT doc_id, place, phrase, len(string_split(phrase, ' ')) AS n, unnest(string_split(phrase, ' ')) AS word FROM r),
 s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, word) / count(*) OVER (PARTITION BY doc_id, word) AS s FROM w),
 g AS (SELECT doc_id, place, phrase, sum(s) AS score FROM s GROUP BY ALL)
-SELECT doc_id, phrase, round(max(score), 6) AS score FROM g GROUP BY ALL"""
+SELECT doc_id, phrase, round(max(score), 10) AS score FROM g GROUP BY ALL"""
 
 
 @query("ft_keyphrases", KEYPHRASES_SQL)
 def _(t: Tables):
-    return X.keyphrases(t.documents, "doc_id", F.col("text"), K.STOP_WORDS).select("doc_id", "phrase", r6("score").alias("score"))
+    return X.keyphrases(t.texts, "doc_id", F.col("text"), K.STOP_WORDS).select("doc_id", "phrase", F.round("score", 10).alias("score"))
 
 
 @query("ft_medical_terms", f"""
@@ -425,7 +425,7 @@ def _(t: Tables):
     listed = t.benchmark.select(T.tokens(F.col("text")).alias("w"))
     two = listed.where(F.size("w") >= 2).select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("term"))
     one = listed.where(F.size("w") >= 1).select(F.col("w")[0].alias("term"))
-    return X.listed_terms(t.documents, "doc_id", T.tokens(F.col("text")), one.union(two), 2)
+    return X.listed_terms(t.texts, "doc_id", T.tokens(F.col("text")), one.union(two), 2)
 
 
 # -- topics read as sources ------------------------------------------------------------------

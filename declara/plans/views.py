@@ -84,7 +84,7 @@ declarations AS (
 
 def words(t: Tables) -> DataFrame:
     """(doc_id, source, lang, term): one row per word of every document."""
-    return t.documents.select("doc_id", "source", "lang", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return t.texts.select("doc_id", "source", "lang", F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
 WORDS = f"""
