@@ -39,8 +39,11 @@ def fit_topics(vectors: DataFrame, k: int, passes: int = 1, seed: int = 1029):
 
 
 def topic_distribution(model, vectors: DataFrame, row: str) -> DataFrame:
-    """(row, weights): topic weights of old or new documents on the model's vocabulary."""
-    return model.transform(vectors).select(row, vector_to_array("topicDistribution").alias("weights"))
+    """(row, weights): topic weights of old or new documents on the model's vocabulary. A document
+    without any known word gets the flat prior instead of MLlib's zeros."""
+    scored = model.transform(vectors).select(row, vector_to_array("topicDistribution").alias("w"))
+    flat = F.array(*[F.lit(1.0 / model.getK())] * model.getK())
+    return scored.select(row, F.when(F.array_max("w") > 0, F.col("w")).otherwise(flat).alias("weights"))
 
 
 def topic_top_words(model, vocabulary: DataFrame, k: int = 10) -> DataFrame:
@@ -201,14 +204,15 @@ def _classes(df: DataFrame, label: str) -> list:
 
 def svm_scores(train: DataFrame, df: DataFrame, row: str, label: str, num: str, max_iter: int = 10) -> DataFrame:
     """(row, class, score): margins of one balanced linear SVM per class."""
-    fitted = _features(train, num)
+    fitted = _features(train, num).select(label, "features").persist()  # one fit per class reads it
     scored = _features(df, num).select(row, "features")
     columns = []
-    for i, c in enumerate(_classes(train, label)):
+    for i, c in enumerate(_classes(fitted, label)):
         side = _balanced(fitted, F.col(label) == F.lit(c))
         model = LinearSVC(labelCol="y", weightCol="w", maxIter=max_iter, regParam=0.01, rawPredictionCol=f"r{i}", predictionCol=f"p{i}").fit(side)
         scored = model.transform(scored).drop(f"p{i}")
         columns.append(F.struct(F.lit(c).alias("class"), vector_to_array(f"r{i}")[1].alias("score")))
+    fitted.unpersist()
     return scored.select(row, F.inline(F.array(*columns)))
 
 
@@ -249,7 +253,7 @@ def _calibrate(truth: DataFrame, target: DataFrame, row: str, how: str) -> DataF
 def ordinal(train: DataFrame, df: DataFrame, row: str, level: str, num: str, levels: int, max_iter: int = 10) -> DataFrame:
     """(row, level, proba) from levels-1 binary models of "above level i":
     P0 = 1 - p0, Pi = p(i-1) - pi, Plast = p(last-1). Values may be negative and stay raw."""
-    fitted, scored = _features(train, num), _features(df, num).select(row, "features")
+    fitted, scored = _features(train, num).select(level, "features").persist(), _features(df, num).select(row, "features")
     above = []
     for i in range(levels - 1):
         side = _balanced(fitted, F.col(level) > i)
@@ -257,20 +261,22 @@ def ordinal(train: DataFrame, df: DataFrame, row: str, level: str, num: str, lev
                                    rawPredictionCol=f"r{i}", predictionCol=f"p{i}").fit(side)
         scored = model.transform(scored).drop(f"r{i}", f"p{i}")
         above.append(vector_to_array(f"q{i}")[1])
+    fitted.unpersist()
     probas = [1 - above[0]] + [above[i - 1] - above[i] for i in range(1, levels - 1)] + [above[-1]]
     return scored.select(row, F.posexplode(F.array(*probas)).alias("level", "proba"))
 
 
 def one_vs_rest_labels(train: DataFrame, df: DataFrame, row: str, labels: str, num: str, max_iter: int = 10) -> DataFrame:
     """(row, label, score): one linear SVM per label of a label-set column."""
-    fitted, scored = _features(train, num), _features(df, num).select(row, "features")
-    names = [r[0] for r in train.select(F.explode(labels).alias("l")).distinct().orderBy("l").collect()]
+    fitted, scored = _features(train, num).select(labels, "features").persist(), _features(df, num).select(row, "features")
+    names = [r[0] for r in fitted.select(F.explode(labels).alias("l")).distinct().orderBy("l").collect()]
     columns = []
     for i, name in enumerate(names):
         side = _balanced(fitted, F.array_contains(labels, name))
         model = LinearSVC(labelCol="y", weightCol="w", maxIter=max_iter, regParam=0.01, rawPredictionCol=f"r{i}", predictionCol=f"p{i}").fit(side)
         scored = model.transform(scored).drop(f"p{i}")
         columns.append(F.struct(F.lit(name).alias("label"), vector_to_array(f"r{i}")[1].alias("score")))
+    fitted.unpersist()
     return scored.select(row, F.inline(F.array(*columns)))
 
 

@@ -27,18 +27,18 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, quantiles: list
         F.percentile_approx("_v", around, ACCURACY).alias("_b"),
     )
     whole = F.col("_n") <= ACCURACY
-    brackets = sketch.select(
-        *keys, "_n",
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(q).alias("q"),
-                F.when(whole | F.lit(q - margin <= 0), F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
-                F.when(whole | F.lit(q + margin >= 1), F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"),
-            )
-            for i, q in enumerate(quantiles)
-        ])).alias("_x"),
-    ).select(*keys, "_n", "_x.*")
-    joined = rows.join(brackets, keys)
+    brackets = F.array(*[
+        F.struct(
+            F.col("_n"), F.lit(q).alias("q"),
+            F.when(whole | F.lit(q - margin <= 0), F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+            F.when(whole | F.lit(q + margin >= 1), F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"),
+        )
+        for i, q in enumerate(quantiles)
+    ])
+    if group:
+        joined = rows.join(sketch.select(*keys, brackets.alias("_x")), keys).select(*keys, "_v", F.inline("_x"))
+    else:
+        joined = rows.withColumn("_x", sketch.select(brackets).scalar()).select(*keys, "_v", F.inline("_x"))
     # Values under the bracket are only counted, so they fall into a single marker group.
     inside = F.when(F.col("_v") < F.col("lo"), F.lit(None)).otherwise(F.col("_v"))
     counted = joined.where(F.col("_v") <= F.col("hi")).groupBy(*keys, "q", "_n", inside.alias("_v")).agg(

@@ -35,9 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint that survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through a Parquet table in the shared folder: it survives lost executors,
+    and its size is known to the planner, so a small one is broadcast and a large one is not."""
+    path = new_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -98,6 +100,7 @@ def skew_safe_lookup(
     rows already served are spread by ``spread`` instead of piling up on their key.
     """
     values = [c for c in lookup.columns if c not in keys]
+    lookup = stage(lookup)  # read three times below
     total = lookup.select(F.sum(count).alias("t"))
     is_hot = F.col(count) >= total.scalar() / F.lit(HOT_KEYS)
     hot = lookup.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
