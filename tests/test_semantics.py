@@ -225,6 +225,23 @@ def test_closest_manufacturer_against_all_pairs(spark):
             assert got[a][0] == want and abs(got[a][1] - best) < 1e-12
 
 
+def test_block_similarity_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    make = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(2, 7)))
+    names, known = sorted({make() for _ in range(30)}), sorted({make() for _ in range(25)})
+    n = spark.createDataFrame([(x,) for x in names], "n string")
+    k = spark.createDataFrame([(x,) for x in known], "k string")
+    for block in (20_000, 9):
+        got = {r["name"]: (r["known"], r["ratio"]) for r in J.closest_manufacturer(n, "n", k, "k", block, "matching blocks").collect()}
+        for a in names:
+            scores = {b: SequenceMatcher(lambda c: c == " ", a, b).ratio() for b in known}
+            best = 1.0 if a in known else max(scores.values())
+            want = a if a in known else (min(b for b in known if scores[b] == best) if best > 0 else None)
+            assert got[a][0] == want and (want is None or got[a][1] == best)
+
+
 def test_oversampling_gives_n_plus_one_copies(spark):
     df = spark.createDataFrame([("rare", i) for i in range(2)] + [("common", i) for i in range(9)], "l string, i int")
     got = Counter(r["l"] for r in A.oversample_rare(df, "l", 3).collect())
