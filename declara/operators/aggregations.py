@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from declara.runtime import stage
+
 
 def counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
@@ -196,7 +198,8 @@ def majority_share(df: DataFrame, label: str) -> DataFrame:
 def oversample_rare(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows of classes with fewer than n rows appear n + 1 times."""
     sizes = counts(df, [label], "_n")
-    rare = sizes.where(F.col("_n") < n).select(label, F.lit(n).alias("_more"))
+    # At most one row per class: staged, it joins without shuffling the rows by a hot class.
+    rare = stage(sizes.where(F.col("_n") < n).select(label, F.lit(n).alias("_more")))
     return (
         df.join(rare, label, "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("_more", F.lit(0)))))
@@ -206,5 +209,5 @@ def oversample_rare(df: DataFrame, label: str, n: int) -> DataFrame:
 
 def min_support(df: DataFrame, label: str, n: int) -> DataFrame:
     """Rows of classes with more than n rows."""
-    kept = counts(df, [label], "_n").where(F.col("_n") > n).select(label)
+    kept = stage(counts(df, [label], "_n").where(F.col("_n") > n).select(label))
     return df.join(kept, label, "left_semi")

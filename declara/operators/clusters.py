@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from declara.functions import vectors as V
 from declara.operators.aggregations import counts
-from declara.runtime import MODEL_BLOCK_VALUES
+from declara.runtime import MODEL_BLOCK_VALUES, stage, with_global_rank
 
 
 def model_blocks(model: DataFrame | list) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -266,7 +266,7 @@ def extreme_pairs(pairs: DataFrame) -> DataFrame:
 
 def representative(df: DataFrame, row: str, cluster: str, num: str, centres: DataFrame) -> DataFrame:
     """Document most and least similar (cosine) to its cluster centre."""
-    dim = centres.select(F.col("cluster").alias("_c"), F.col("num").alias("_centre"))
+    dim = stage(centres.select(F.col("cluster").alias("_c"), F.col("num").alias("_centre")))
     similar = df.join(dim, F.col(cluster) == F.col("_c")).select(
         F.col(cluster).alias("cluster"), row, V.cosine(F.col(num), F.col("_centre")).alias("sim")
     )
@@ -282,9 +282,10 @@ def representative(df: DataFrame, row: str, cluster: str, num: str, centres: Dat
 def _moments(df: DataFrame, cluster: str, num: str) -> DataFrame:
     """Size, centre and within-cluster sums of distance and squared distance per cluster."""
     centres = numeric_centres(df, cluster, num)
-    dim = centres.select("cluster", F.col("num").alias("_centre"))
-    return df.join(dim, F.col(cluster) == F.col("cluster")).select(
-        dim["cluster"], "_centre", V.squared_distance(F.col(num), F.col("_centre")).alias("_sq")
+    # One row per cluster: staged, it joins the documents without shuffling them by cluster.
+    dim = stage(centres.select(F.col("cluster").alias("_c"), F.col("num").alias("_centre")))
+    return df.join(dim, F.col(cluster) == F.col("_c")).select(
+        F.col("_c").alias("cluster"), "_centre", V.squared_distance(F.col(num), F.col("_centre")).alias("_sq")
     ).groupBy("cluster").agg(
         F.any_value("_centre").alias("num"), F.count("*").alias("n"),
         F.sum("_sq").alias("within"), F.avg(F.sqrt("_sq")).alias("spread"),
@@ -293,8 +294,6 @@ def _moments(df: DataFrame, cluster: str, num: str) -> DataFrame:
 
 def calinski_davies(df: DataFrame, cluster: str, num: str) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin from the per-cluster moments."""
-    from declara.runtime import stage
-
     m = stage(_moments(df, cluster, num))
     overall = df.groupBy().agg(Summarizer.metrics("mean").summary(array_to_vector(F.col(num))).alias("s")).select(
         vector_to_array(F.col("s.mean")).alias("g")
@@ -420,8 +419,6 @@ def incremental_update(
     cluster; unclaimed ones open new clusters, one for every distinct category combination
     among them, numbered after the old clusters. Returns (assignment, new centroids, new statistics).
     """
-    from declara.runtime import stage, with_global_rank
-
     scored = stage(assign(new, model, F.col(num), F.col(cat), 2.0, gamma))
     claimed = scored.where(F.col("cluster_weight") > delta).select(
         *new.columns, F.col("soft_cluster").cast("long").alias("cluster"), F.lit(False).alias("is_new")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from declara.runtime import with_global_rank
+from declara.runtime import stage, with_global_rank
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
@@ -105,7 +105,7 @@ def balanced_sample(df: DataFrame, label: str, row: str, seed: int = 1029) -> Da
     """Sampling with replacement with weight 1/class size: every row is repeated
     floor(mean) times or once more, so that all classes come out equally large on average. The draw
     hangs on the row key alone, so a recomputed partition draws the same rows."""
-    counted = df.groupBy(label).agg(F.count("*").alias("_n"))
+    counted = stage(df.groupBy(label).agg(F.count("*").alias("_n")))
     mean = counted.select(F.sum("_n") / F.count("*")).scalar()
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     whole = F.floor(mean / F.col("_n"))

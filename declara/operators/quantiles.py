@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from declara.runtime import stage
+
 ACCURACY = 10_000
 
 
@@ -26,6 +28,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, quantiles: list
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", around, ACCURACY).alias("_b"),
     )
+    # One row per group: staged, its size is known and a small one joins without moving the rows.
+    sketch = stage(sketch)
     whole = F.col("_n") <= ACCURACY
     brackets = F.array(*[
         F.struct(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from declara.operators.aggregations import top_k, with_share
 from declara.operators.quantiles import quantile_column
+from declara.runtime import stage
 
 
 def long_weights(df: DataFrame, row: str, weights: Column, carry: list[str] = ()) -> DataFrame:
@@ -43,7 +44,7 @@ def topic_documents(long: DataFrame, row: str, declaration: str, words: str) ->
     docs = long.select(row, words).dropDuplicates([row])
     shortest = quantile_column(docs, [], words, 0.25, "q").select("q").scalar()
     remaining = long.where(F.col(words) > shortest)
-    cut = quantile_column(remaining, ["topic"], "weight", 0.75, "cut")
+    cut = stage(quantile_column(remaining, ["topic"], "weight", 0.75, "cut"))  # one row per topic
     upper = remaining.join(cut, "topic").where(F.col("weight") >= F.col("cut"))
     best = F.max_by(F.struct(row, "weight"), F.struct(F.col("weight"), -F.col(row)))
     return upper.groupBy("topic", declaration).agg(best.alias("b")).select(
@@ -99,7 +100,7 @@ def coherence_umass(bow: DataFrame, row: str, top_words: DataFrame, topic: str,
     Only the top words of the model take part. Each document's distinct top words are collected
     (at most topics x words of them) and combined inside the row, topic by topic.
     """
-    words = top_words.select(F.col(topic).alias("topic"), F.col(rank).alias("r"), "term")
+    words = stage(top_words.select(F.col(topic).alias("topic"), F.col(rank).alias("r"), "term"))
     seen = bow.select(row, "term").join(words, "term")
     per_doc = seen.groupBy(row, "topic").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     singles = per_doc.select("topic", F.explode("rs").alias("j")).groupBy("topic", "j").agg(F.count("*").alias("d_j"))

@@ -743,10 +743,7 @@ def _(t: Tables):
 
 @query("set_oversample_rare", """
 WITH s AS (SELECT source, count(*) AS c FROM documents GROUP BY source)
-SELECT doc_id, source, unnest(range(0, CASE WHEN c < 60 THEN 4 ELSE 1 END))::INT AS copy
+SELECT doc_id, source, unnest(range(0, CASE WHEN c < 60 THEN 61 ELSE 1 END))::INT AS copy
 FROM (SELECT doc_id, source FROM documents) JOIN s USING (source)""")
 def _(t: Tables):
-    sizes = A.counts(t.documents, ["source"])
-    rare = sizes.where(F.col("n") < 60).select("source", F.lit(3).alias("more"))
-    joined = t.documents.select("doc_id", "source").join(rare, "source", "left")
-    return joined.select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0)))).alias("copy"))
+    return A.oversample_rare(t.documents.select("doc_id", "source"), "source", 60)
