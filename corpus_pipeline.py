@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declara.llm import quality_rules
+from declara.llm import language_id, ngram_join, packing, quality_rules
 from declara.runtime import stage
 
 STAGES = [
     ("quality_rules", quality_rules.keep_good),
+    ("language_id", language_id.keep_identified),
+    ("ngram_jaccard_join", ngram_join.keep_one),
+    ("packing", packing.pack_documents),
 ]
 
 ORACLE_SQL = None

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from declara.llm import quality_rules
+from declara.llm import language_id, ngram_join, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_packing": packing.query,
+    "op9_ngram_jaccard_join": ngram_join.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES: dict[str, str] = {}
