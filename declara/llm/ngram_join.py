@@ -8,11 +8,13 @@ Rows of the matrix are documents' sets of word n-gram hashes. Documents with equ
 2. Size-derived bound: rows that link share one of the n - ceil(percent/100 n) + 1 first n-grams of
    either row. A second scan hands out those n-grams, one copy of a class per task; the rows of one
    n-gram meet at its first row, the hub, so a group of g rows makes g - 1 rows and not g^2 pairs.
-3. Overlaps with the hub are counted row by row. Rows that link with it are one component already.
-4. The others, together with the hub's block, are multiplied in tiles of bounded size: the tile's
-   n-grams form an inverted index, the product accumulates overlap counts, and pairs are discarded
-   by their sizes and by the triangle inequality of the Jaccard distance to the hub. A tile gives
-   back only the links that join its components.
+   Members whose sizes and shared heads rule out every other member go.
+3. Each cluster is multiplied in tiles of bounded size: the tile's n-grams form an inverted index, the
+   product accumulates overlap counts, and pairs are discarded by their sizes. A tile gives back only
+   the links that join its components. Most clusters are one tile.
+4. In larger ones the overlaps with the hub come first: rows that link with it are one component
+   already. Only the others go into tiles, against all, and the triangle inequality of the Jaccard
+   distance to the hub rules out further pairs.
 5. Components of all links, carried over to the classes and their documents.
 
 No pair is lost: every pair of rows that can link has a common n-gram in both heads, so both belong
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from declara.llm.common import OWN, shingles, utf8, word_hashes
+from declara.llm.common import OWN, broadcast_if_small, shingles, utf8, word_hashes
 from declara.llm.components import components
 from declara.runtime import stage
 
-ORDER_BUCKETS = 1 << 16
+ORDER_BUCKETS = 1 << 22
 TILE = 1 << 20  # n-grams in one block of a tile, besides the last document
+PRUNED = 2048  # larger clusters are multiplied without a look at their members' bounds first
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -83,7 +86,7 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
     return stage(documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, digest binary, bucket int, seen long"))
 
 
-def heads(documents: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+def heads(documents: DataFrame, counts, width: int, percent: int) -> DataFrame:
     """(gram, key): the rare ends of all sets, one copy of a set per task."""
 
     def scan(batches):
@@ -95,7 +98,7 @@ def heads(documents: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 if not len(s) or (d := _digest(s)) in met:
                     continue
                 met.add(d)
-                order = np.argsort(counts[(s & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)], kind="stable")
+                order = np.argsort(counts.value[(s & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)], kind="stable")
                 head = s[order[: len(s) - -(-percent * len(s) // 100) + 1]]
                 grams.append(head)
                 keys.append(np.full(len(head), _key(d), np.int64))
@@ -214,40 +217,102 @@ def _multiply(percent: int):
     return scan
 
 
-def links(documents: DataFrame, classes: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(u, v): links between digests, enough to join all that link."""
-    first = F.first("key").over(Window.partitionBy("gram").orderBy("key"))
-    members = stage(
-        heads(documents, counts, width, percent)
-        .select("key", first.alias("hub")).where("key <> hub").distinct()
+def _may_link(percent: int):
+    """Drop members of a cluster that cannot link with any other: by size, and because the pair
+    shares too few n-grams of the heads. A pair shares at most what both share with the hub's
+    n-grams plus what both share elsewhere; below the bound even equal tails do not make up for it."""
+
+    def prune(rows: list[tuple]) -> list[int]:
+        if len(rows) > PRUNED:
+            return list(range(len(rows)))
+        shared, elsewhere, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (2, 3, 4))
+        x, y = n[:, None], n[None, :]
+        most = np.minimum(shared[:, None], shared[None, :]) + np.minimum(elsewhere[:, None], elsewhere[None, :])
+        needed = -(-percent * (x + y) // (100 + percent))
+        tail = np.maximum(-(-percent * x // 100), -(-percent * y // 100)) - 1  # of the row whose head ends first
+        may = (100 * x >= percent * y) & (100 * y >= percent * x) & (most + tail >= needed)
+        np.fill_diagonal(may, False)
+        return np.flatnonzero(may.any(axis=0)).tolist()
+
+    def scan(batches):
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("hub", "key", "shared", "elsewhere", "n"))):
+                if held and held[0][0] != row[0]:
+                    out += [held[i] for i in prune(held)]
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1, 4)], names=["hub", "key", "n"])
+                out = []
+        if held and (out := [held[i] for i in prune(held)]):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1, 4)], names=["hub", "key", "n"])
+
+    return scan
+
+
+def clusters(documents: DataFrame, classes: DataFrame, counts, width: int, percent: int) -> DataFrame:
+    """(hub, key, n): rows that meet at a hub, the hub among them, and may link there."""
+    group = Window.partitionBy("gram").orderBy("key")
+    met = heads(documents, counts, width, percent).distinct().select(
+        "key", F.first("key").over(group).alias("hub"), F.lead("key").over(group).alias("next")
     )
+    shared = stage(met.where("key <> hub OR next IS NOT NULL").groupBy("hub", "key").agg(F.count("*").alias("shared")))
+    sizes = shared.groupBy("key").agg(F.sum("shared").alias("total")).join(classes.groupBy("key").agg(F.max("n").alias("n")), "key")
+    rows = shared.join(sizes, "key").withColumn("elsewhere", F.col("total") - F.col("shared"))
+    rows = rows.select("hub", "key", "shared", "elsewhere", "n").repartition("hub").sortWithinPartitions("hub")
+    return stage(rows.mapInArrow(_may_link(percent), "hub long, key long, n long"))
+
+
+def links(documents: DataFrame, classes: DataFrame, counts, width: int, percent: int) -> DataFrame:
+    """(u, v): links between digests, enough to join all that link."""
+    members = clusters(documents, classes, counts, width, percent)
     wanted = members.select("key").unionAll(members.select(F.col("hub").alias("key"))).distinct()
     needed = classes.join(wanted, "key", "left_semi").select(F.col("id").alias("_id")).distinct()
-    texts = documents.join(needed, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stage(sets_of(texts, width).join(wanted, "key", "left_semi"))
+    texts = documents.join(broadcast_if_small(needed), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = stage(sets_of(texts, width).join(broadcast_if_small(wanted), "key", "left_semi"))
+    weight = members.groupBy("hub").agg(F.sum("n").alias("weight"))
+    small = members.join(weight.where(F.col("weight") <= TILE), "hub").join(sets, "key").select(
+        F.col("hub").cast("string").cast("binary").alias("hub"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("linked"),
+        F.lit(True).alias("is_left"), F.lit(True).alias("is_right"), "digest", F.lit(0.0).alias("distance"), "grams",
+    )
+    in_one = small.repartition("hub").sortWithinPartitions("hub").mapInArrow(_multiply(percent), "u binary, v binary")
+    return in_one.unionAll(_large_links(members.join(weight.where(F.col("weight") > TILE), "hub"), sets, percent))
+
+
+def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside clusters beyond one tile: first with the hub, then the rest in tiles."""
     hubs = sets.select(F.col("key").alias("hub"), F.col("digest").alias("hub_digest"), F.col("grams").alias("hub_grams"))
     star = stage(
-        members.join(sets, "key").join(hubs, "hub").where("digest <> hub_digest")
+        members.select("hub", "key").join(sets, "key").join(hubs, "hub").where("digest <> hub_digest")
         .select("hub_digest", "digest", "grams", "hub_grams")
         .mapInArrow(_overlap_with_hub, "hub binary, digest binary, both long, n long, hub_n long")
         .withColumn("linked", F.expr(f"100 * both >= {percent} * (n + hub_n - both)"))
         .withColumn("distance", F.expr("1 - both / (n + hub_n - both)"))
     )
-    # tiles: blocks of the rows not linked to their hub, against those and the linked ones
+    # blocks of the rows not linked to their hub, against those and the linked ones
     blocks = star.groupBy("hub").agg(
-        *(F.sum(F.when(side, F.col("n"))).alias(f"{name}_grams") for name, side in (("left", ~F.col("linked")), ("all", F.lit(True)))),
-        F.count("*").alias("rows"),
-    ).where("left_grams IS NOT NULL AND rows > 1").select(
+        *(F.sum(F.when(side, F.col("n"))).alias(f"{name}_grams") for name, side in (("left", ~F.col("linked")), ("all", F.lit(True))))
+    ).where("left_grams IS NOT NULL").select(
         "hub", *(F.ceil(F.col(f"{name}_grams") / TILE).cast("int").alias(f"{name}_blocks") for name in ("left", "all"))
     )
     place = F.xxhash64("digest")
-    placed = star.join(blocks, "hub").withColumn("own_left", F.pmod(place, F.col("left_blocks"))).withColumn("own_right", F.pmod(place, F.col("all_blocks")))
-    as_right = placed.select("hub", "digest", "linked", "distance", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - F.lit(1).cast("long"))).alias("left"), F.col("own_right").alias("right"), "own_left", "own_right")
-    as_left = placed.where("NOT linked").select("hub", "digest", "linked", "distance", F.col("own_left").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - F.lit(1).cast("long"))).alias("right"), "own_left", "own_right")
-    tiles = as_right.unionAll(as_left).distinct().withColumn("is_left", F.expr("NOT linked AND left = own_left")).withColumn("is_right", F.expr("right = own_right"))
-    tiles = tiles.join(sets.select("digest", "grams"), "digest").select("hub", "left", "right", "linked", "is_left", "is_right", "digest", "distance", "grams")
-    tiles = tiles.repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right")
-    inner = tiles.mapInArrow(_multiply(percent), "u binary, v binary")
+    placed = star.join(blocks, "hub").withColumn("own_left", F.pmod(place, F.col("left_blocks")).cast("int")).withColumn(
+        "own_right", F.pmod(place, F.col("all_blocks")).cast("int")
+    )
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    row = ["hub", "digest", "linked", "distance", "own_left", "own_right"]
+    as_right = placed.select(*row, every("left_blocks").alias("left"), F.col("own_right").alias("right"))
+    as_left = placed.where("NOT linked").select(*row, F.col("own_left").alias("left"), every("all_blocks").alias("right"))
+    tiles = as_right.unionAll(as_left).distinct().join(sets.select("digest", "grams"), "digest").select(
+        "hub", "left", "right", "linked", F.expr("NOT linked AND left = own_left").alias("is_left"),
+        F.expr("right = own_right").alias("is_right"), "digest", "distance", "grams",
+    )
+    inner = tiles.repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right").mapInArrow(_multiply(percent), "u binary, v binary")
     return star.where("linked").select(F.col("hub").alias("u"), F.col("digest").alias("v")).unionAll(inner)
 
 
@@ -257,11 +322,14 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = digests(documents, width)
     found = rows.where("bucket IS NULL").select("id", "n", "digest")
     counts = np.zeros(ORDER_BUCKETS, np.int64)
-    for r in rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).collect():
-        counts[r.bucket] = r.seen  # at most ORDER_BUCKETS rows
-    classes = stage(found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id")))
-    keyed = classes.mapInArrow(_with_key, f"digest binary, id {documents.schema['id'].dataType.simpleString()}, key long")
-    joined = components(links(documents, keyed, counts, width, percent))
+    seen = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()  # at most ORDER_BUCKETS rows
+    counts[seen.bucket.to_numpy()] = seen.seen
+    classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    kind = documents.schema["id"].dataType.simpleString()
+    classes = stage(classes.mapInArrow(_with_key, f"digest binary, id {kind}, n long, key long"))
+    # the order of the n-grams reaches the tasks once per executor; its size is the parameter's
+    order = documents.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+    joined = components(links(documents, classes, order, width, percent))
     ends = classes.join(joined, classes.digest == joined.node, "left").select(
         "digest", F.col("id").alias("least"), F.coalesce("root", "digest").alias("root")
     )
@@ -276,7 +344,8 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def _with_key(batches):
     for b in batches:
         yield pa.RecordBatch.from_arrays(
-            [b.column("digest"), b.column("id"), pa.array([_key(d) for d in b.column("digest").to_pylist()], pa.int64())], names=["digest", "id", "key"]
+            [b.column("digest"), b.column("id"), b.column("n"), pa.array([_key(d) for d in b.column("digest").to_pylist()], pa.int64())],
+            names=["digest", "id", "n", "key"],
         )
 
 

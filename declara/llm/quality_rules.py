@@ -147,14 +147,16 @@ def judge(
         F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2))),
         1, F.greatest(F.size(hashes) - 2, F.lit(0)),
     ))
-    counted = counted.withColumn(q, F.struct(
+    # a generated row stands between the counts and filters on them: no filter moves below it and
+    # repeats the work
+    counted = counted.select("*", F.explode(F.array(F.struct(
         F.size(hashes).cast("long").alias("n_words"),
         F.coalesce(F.char_length(text) - F.regexp_count(text, F.lit(f"[{BLANKS}]")), F.lit(0)).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count(text, F.lit(f"[{SYMBOLS}]")), F.lit(0)).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
         repeated_words(F.col(own["windows"])).alias("n_repeat_words"),
         (score if fitted else F.lit(None).cast("double")).alias("score"),
-    )).drop(own["words"], own["hashes"], own["windows"])
+    ))).alias(q)).drop(own["words"], own["hashes"], own["windows"])
     failed = (F.col(q)["n_words"] < min_words) | (100 * F.col(q)["n_repeat_words"] > max_repeat_percent * F.col(q)["n_words"])
     return counted.withColumn(q, F.col(q).withField("base_failed", failed)).withColumn(
         q, F.col(q).withField("kept", ~F.col(q)["base_failed"] & F.coalesce(F.col(q)["score"] >= threshold, F.lit(True)))
