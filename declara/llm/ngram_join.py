@@ -37,7 +37,7 @@ from declara.llm.common import OWN, broadcast_if_small, shingles, utf8, word_has
 from declara.llm.components import components
 from declara.runtime import stage
 
-ORDER_BUCKETS = 1 << 22
+ORDER_BUCKETS = 1 << 20
 TILE = 1 << 20  # n-grams in one block of a tile, besides the last document
 PRUNED = 2048  # larger clusters are multiplied without a look at their members' bounds first
 
