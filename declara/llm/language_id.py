@@ -136,13 +136,13 @@ def fit(learning: DataFrame, smoothing: float = 0.5) -> Model:
         counts.join(F.broadcast(book), "lang")
         .select("bucket", (F.col("n") * F.col("share")).alias("p"), F.posexplode("code").alias("bit", "side"))
         .groupBy("bit", "bucket", "side").agg(F.sum("p").alias("p"))
-        .toPandas()
+        .toArrow()
     )
     counts.unpersist()
     mass = np.zeros((2, BUCKETS, bits))
     for side in (0, 1):
-        x = sides[sides.side == 2 * side - 1]
-        mass[side, x.bucket, x.bit] = x.p
+        x = {c: sides.column(c).to_numpy()[sides.column("side").to_numpy() == 2 * side - 1] for c in ("bucket", "bit", "p")}
+        mass[side, x["bucket"], x["bit"]] = x["p"]
         members = code == 2 * side - 1
         floor = np.array([smoothing / (totals[lang] + smoothing * BUCKETS) for lang in languages])
         mass[side] = (mass[side] + floor @ members) / members.sum(axis=0)

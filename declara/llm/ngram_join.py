@@ -37,7 +37,8 @@ from declara.llm.common import OWN, broadcast_if_small, shingles, utf8, word_has
 from declara.llm.components import components
 from declara.runtime import stage
 
-ORDER_BUCKETS = 1 << 20
+ORDER_BUCKETS = 1 << 18
+ORDER_BLOCK = 1 << 14  # buckets whose counts travel as one value
 TILE = 1 << 20  # n-grams in one block of a tile, besides the last document
 PRUNED = 2048  # larger clusters are multiplied without a look at their members' bounds first
 
@@ -86,6 +87,26 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
     return stage(documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, digest binary, bucket int, seen long"))
 
 
+def _pack_counts(batches):
+    blocks: dict[int, np.ndarray] = {}
+    for b in batches:
+        for bucket, seen in zip(b.column("bucket").to_numpy(), b.column("seen").to_numpy()):
+            blocks.setdefault(bucket // ORDER_BLOCK, np.zeros(ORDER_BLOCK, np.int64))[bucket % ORDER_BLOCK] = seen
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "counts"]
+    )
+
+
+def _order(rows: DataFrame) -> np.ndarray:
+    """How often the n-grams of every bucket occur, packed block by block on the executors."""
+    seen = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen"))
+    blocks = seen.repartition(F.floor(F.col("bucket") / ORDER_BLOCK)).mapInArrow(_pack_counts, "block int, counts binary")
+    counts = np.zeros(ORDER_BUCKETS, np.int64)
+    for r in blocks.collect():  # ORDER_BUCKETS numbers
+        counts[r.block * ORDER_BLOCK : (r.block + 1) * ORDER_BLOCK] = np.frombuffer(r.counts, np.int64)
+    return counts
+
+
 def heads(documents: DataFrame, counts, width: int, percent: int) -> DataFrame:
     """(gram, key): the rare ends of all sets, one copy of a set per task."""
 
@@ -321,14 +342,11 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     documents = documents.select("id", "text")
     rows = digests(documents, width)
     found = rows.where("bucket IS NULL").select("id", "n", "digest")
-    counts = np.zeros(ORDER_BUCKETS, np.int64)
-    seen = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()  # at most ORDER_BUCKETS rows
-    counts[seen.bucket.to_numpy()] = seen.seen
     classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     kind = documents.schema["id"].dataType.simpleString()
     classes = stage(classes.mapInArrow(_with_key, f"digest binary, id {kind}, n long, key long"))
     # the order of the n-grams reaches the tasks once per executor; its size is the parameter's
-    order = documents.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+    order = documents.sparkSession.sparkContext.broadcast(_order(rows))
     joined = components(links(documents, classes, order, width, percent))
     ends = classes.join(joined, classes.digest == joined.node, "left").select(
         "digest", F.col("id").alias("least"), F.coalesce("root", "digest").alias("root")
