@@ -276,10 +276,12 @@ def _may_link(percent: int):
 def clusters(documents: DataFrame, classes: DataFrame, counts, width: int, percent: int) -> DataFrame:
     """(hub, key, n): rows that meet at a hub, the hub among them, and may link there."""
     group = Window.partitionBy("gram").orderBy("key")
-    met = heads(documents, counts, width, percent).distinct().select(
-        "key", F.first("key").over(group).alias("hub"), F.lead("key").over(group).alias("next")
+    met = heads(documents, counts, width, percent).select(
+        "key", *(f("key").over(group).alias(name) for f, name in ((F.first, "hub"), (F.lag, "before"), (F.lead, "next")))
     )
-    shared = stage(met.where("key <> hub OR next IS NOT NULL").groupBy("hub", "key").agg(F.count("*").alias("shared")))
+    # one row of every key in the group, and of the hub only where another row follows
+    met = met.where("(before IS NULL AND next IS NOT NULL) OR (before <> key AND key <> hub)")
+    shared = stage(met.groupBy("hub", "key").agg(F.count("*").alias("shared")))
     sizes = shared.groupBy("key").agg(F.sum("shared").alias("total")).join(classes.groupBy("key").agg(F.max("n").alias("n")), "key")
     rows = shared.join(sizes, "key").withColumn("elsewhere", F.col("total") - F.col("shared"))
     rows = rows.select("hub", "key", "shared", "elsewhere", "n").repartition("hub").sortWithinPartitions("hub")
@@ -294,19 +296,22 @@ def links(documents: DataFrame, classes: DataFrame, counts, width: int, percent:
     texts = documents.join(broadcast_if_small(needed), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     sets = stage(sets_of(texts, width).join(broadcast_if_small(wanted), "key", "left_semi"))
     weight = members.groupBy("hub").agg(F.sum("n").alias("weight"))
-    small = members.join(weight.where(F.col("weight") <= TILE), "hub").join(sets, "key").select(
+    weighed = stage(members.join(weight, "hub"))
+    small = sets.join(broadcast_if_small(weighed.where(F.col("weight") <= TILE).select("hub", "key")), "key").select(
         F.col("hub").cast("string").cast("binary").alias("hub"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("linked"),
         F.lit(True).alias("is_left"), F.lit(True).alias("is_right"), "digest", F.lit(0.0).alias("distance"), "grams",
     )
     in_one = small.repartition("hub").sortWithinPartitions("hub").mapInArrow(_multiply(percent), "u binary, v binary")
-    return in_one.unionAll(_large_links(members.join(weight.where(F.col("weight") > TILE), "hub"), sets, percent))
+    return in_one.unionAll(_large_links(weighed.where(F.col("weight") > TILE).select("hub", "key"), sets, percent))
 
 
 def _large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside clusters beyond one tile: first with the hub, then the rest in tiles."""
+    wanted = members.select("key").unionAll(members.select(F.col("hub").alias("key"))).distinct()
+    sets = sets.join(broadcast_if_small(wanted), "key", "left_semi")
     hubs = sets.select(F.col("key").alias("hub"), F.col("digest").alias("hub_digest"), F.col("grams").alias("hub_grams"))
     star = stage(
-        members.select("hub", "key").join(sets, "key").join(hubs, "hub").where("digest <> hub_digest")
+        members.join(sets, "key").join(hubs, "hub").where("digest <> hub_digest")
         .select("hub_digest", "digest", "grams", "hub_grams")
         .mapInArrow(_overlap_with_hub, "hub binary, digest binary, both long, n long, hub_n long")
         .withColumn("linked", F.expr(f"100 * both >= {percent} * (n + hub_n - both)"))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from declara.llm.common import broadcast_if_small
 from declara.runtime import stage
 
 SIZE = 2048
@@ -168,7 +169,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, w
     inside = Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.withColumn("shift", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts.select("queue", "part", "base"), ["queue", "part"])
     bases = bases.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", (F.col("base") + F.col("shift")).alias("base"))
-    rows = tokens.join(bases, tokens.source.eqNullSafe(bases._s) & (tokens.part == bases._p)).select(
+    bases = stage(bases)  # a row per source and partition of the texts
+    rows = tokens.join(broadcast_if_small(bases), tokens.source.eqNullSafe(bases._s) & (tokens.part == bases._p)).select(
         "id", "source", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids"
     )
     kind = documents.schema["id"].dataType.simpleString()

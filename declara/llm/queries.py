@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from declara.llm import language_id, ngram_join, packing, quality_rules
+from declara.llm import fingerprints, html_extraction, language_id, ngram_join, packing, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_packing": packing.query,
+    "op5_html_extraction": html_extraction.query,
+    "op7_fingerprints": fingerprints.query,
+    "op8_url_filters": url_filters.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_language_id": language_id.query,
 }
