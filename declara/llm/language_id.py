@@ -83,9 +83,11 @@ class Model:
 def codewords(languages: int) -> np.ndarray:
     """The exhaustive code up to six languages (every way to split them once), else a fixed
     pseudo-random code with a length that grows with the logarithm of their number."""
+    if languages < 2:
+        return np.zeros((languages, 0), np.int64)
     if languages <= 6:
-        splits = range(1, 1 << max(0, languages - 1))
-        return np.array([[1 if i == 0 or not s >> (i - 1) & 1 else -1 for s in splits] for i in range(languages)], dtype=np.int64).reshape(languages, -1)
+        splits = range(1, 1 << (languages - 1))
+        return np.array([[1 if i == 0 or not s >> (i - 1) & 1 else -1 for s in splits] for i in range(languages)], dtype=np.int64)
     bits = 32 + 8 * languages.bit_length()
     for seed in range(1, 1000):
         draw = mix(np.arange(languages * bits, dtype=np.uint64) + np.uint64(seed << 40)).reshape(languages, bits)
