@@ -37,8 +37,8 @@ from declara.llm.common import OWN, broadcast_if_small, shingles, utf8, word_has
 from declara.llm.components import components
 from declara.runtime import stage
 
-ORDER_BUCKETS = 1 << 18
-ORDER_BLOCK = 1 << 14  # buckets whose counts travel as one value
+ORDER_BUCKETS = 1 << 21
+ORDER_BLOCK = 1 << 15  # buckets whose counts travel as one value
 TILE = 1 << 20  # n-grams in one block of a tile, besides the last document
 PRUNED = 2048  # larger clusters are multiplied without a look at their members' bounds first
 
@@ -58,7 +58,7 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
 
 
 def digests(documents: DataFrame, width: int) -> DataFrame:
-    """Staged rows (id, n, digest) of all documents, and rows (bucket, seen) with their n-gram counts."""
+    """Staged rows (id, n, digest) of all documents, and rows (block, counts) with their n-gram counts."""
     kind = documents.schema["id"].dataType.simpleString()
 
     def scan(batches):
@@ -74,36 +74,42 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(all_sets) if all_sets else np.empty(0, np.uint64)
             seen += np.bincount((flat & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(made, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())],
-                names=["id", "n", "digest", "bucket", "seen"],
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(made, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                names=["id", "n", "digest", "block", "counts"],
             )
         if id_type is not None:
-            at = np.flatnonzero(seen)
+            blocks = [_packed(x) for x in seen.reshape(-1, ORDER_BLOCK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), id_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())],
-                names=["id", "n", "digest", "bucket", "seen"],
+                [pa.nulls(len(blocks), id_type), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.binary()), pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())],
+                names=["id", "n", "digest", "block", "counts"],
             )
 
-    return stage(documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, digest binary, bucket int, seen long"))
+    return stage(documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, digest binary, block int, counts binary"))
 
 
-def _pack_counts(batches):
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // ORDER_BLOCK}").astype(np.int64)
+
+
+def _add_counts(batches):
     blocks: dict[int, np.ndarray] = {}
     for b in batches:
-        for bucket, seen in zip(b.column("bucket").to_numpy(), b.column("seen").to_numpy()):
-            blocks.setdefault(bucket // ORDER_BLOCK, np.zeros(ORDER_BLOCK, np.int64))[bucket % ORDER_BLOCK] = seen
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "counts"]
-    )
+        for block, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+            blocks[block] = blocks.get(block, 0) + _unpacked(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(map(_packed, blocks.values())), pa.binary())], names=["block", "counts"])
 
 
 def _order(rows: DataFrame) -> np.ndarray:
-    """How often the n-grams of every bucket occur, packed block by block on the executors."""
-    seen = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen"))
-    blocks = seen.repartition(F.floor(F.col("bucket") / ORDER_BLOCK)).mapInArrow(_pack_counts, "block int, counts binary")
-    counts = np.zeros(ORDER_BUCKETS, np.int64)
-    for r in blocks.collect():  # ORDER_BUCKETS numbers
-        counts[r.block * ORDER_BLOCK : (r.block + 1) * ORDER_BLOCK] = np.frombuffer(r.counts, np.int64)
+    """How often the n-grams of every bucket occur: the tasks' counts, added block by block."""
+    blocks = rows.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_add_counts, "block int, counts binary")
+    counts = np.zeros(ORDER_BUCKETS, np.uint32)
+    for r in blocks.collect():  # ORDER_BUCKETS numbers; only their order matters, so 32 bits do
+        counts[r.block * ORDER_BLOCK : (r.block + 1) * ORDER_BLOCK] = np.minimum(_unpacked(r.counts), 0xFFFFFFFF)
     return counts
 
 
@@ -346,7 +352,7 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(id, n_shingles, component_id) of every row of ``documents`` (id, text)."""
     documents = documents.select("id", "text")
     rows = digests(documents, width)
-    found = rows.where("bucket IS NULL").select("id", "n", "digest")
+    found = rows.where("block IS NULL").select("id", "n", "digest")
     classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     kind = documents.schema["id"].dataType.simpleString()
     classes = stage(classes.mapInArrow(_with_key, f"digest binary, id {kind}, n long, key long"))
