@@ -1,5 +1,7 @@
 """Codes, word lists and character lists that results depend on."""
 
+import unicodedata
+
 # Severity codes, five classes and two classes.
 SEVERITY_CODES = {"NULLE": 0, "MINEU": 1, "MOYEN": 2, "SEVER": 3, "CRITI": 4}
 SEVERITY_BINARY_CODES = {"NULLE": 1, "MINEU": 1, "MOYEN": 1, "SEVER": 1, "CRITI": 0}
@@ -121,8 +123,16 @@ STOP_WORDS = [
 MEASURE_WORDS = ["min", "minute", "minutes", "heure", "heures", "jour", "jours", "mois", "annee", "annees"]
 
 # Accented letters and their plain forms, one to one.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
+# Built from Unicode: every Latin letter that decomposes into an ASCII letter and marks; loose marks
+# are at the end, where translate deletes them.
+_FOLDED = {
+    chr(c): base
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if (base := unicodedata.normalize("NFD", chr(c))[0]).isascii() and base.isalpha()
+} | {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D"}
+ACCENTED = "".join(_FOLDED) + "".join(map(chr, range(0x300, 0x370)))
+UNACCENTED = "".join(_FOLDED.values())
+LIGATURES = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss"}
 
 # Decision thresholds of the multi-label models.
 LABEL_THRESHOLDS = {"TEF": 0.12, "CDY": 0.2, "TDY": 0.12}

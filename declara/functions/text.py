@@ -26,6 +26,8 @@ ANY_MARK = char_class(K.PADDED_CHARACTERS + K.ASCII_PUNCTUATION)
 
 
 def deaccent(text: Column) -> Column:
+    for ligature, letters in K.LIGATURES.items():
+        text = F.replace(text, F.lit(ligature), F.lit(letters))
     return F.translate(text, K.ACCENTED, K.UNACCENTED)
 
 

@@ -29,7 +29,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where one of them is a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -47,8 +48,8 @@ def mixed_distance(num_a: Column, num_b: Column, cat_a: Column, cat_b: Column, g
 
 
 def scaled(v: Column, by: Column) -> Column:
-    """Every element divided by ``by``."""
-    return let(v, lambda a: let(by, lambda total: F.transform(a, lambda x: x / total)))
+    """Every element divided by ``by``; zeros where ``by`` is zero."""
+    return let(v, lambda a: let(by, lambda total: F.transform(a, lambda x: F.when(total == 0, 0.0).otherwise(x / total))))
 
 
 def unit(v: Column) -> Column:

@@ -16,8 +16,8 @@ def counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
 
 
 def with_share(counted: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """value / total of its group. The window runs over aggregated rows, one per distinct label."""
-    return counted.withColumn(name, F.col(value) / F.sum(value).over(Window.partitionBy(*group)))
+    """value / total of its group (null where that is zero). The window runs over aggregated rows, one per distinct label."""
+    return counted.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*group))))
 
 
 def with_total_share(counted: DataFrame, value: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from declara.operators.aggregations import counts
 from declara.runtime import MODEL_BLOCK_VALUES, stage, with_global_rank
 
 
-def model_blocks(model: DataFrame | list) -> list[tuple[np.ndarray, np.ndarray]]:
+def model_blocks(model: DataFrame | list) -> list[tuple]:
     """The centroid table as numpy blocks of at most MODEL_BLOCK_VALUES numbers, in cluster order.
     Blocks that an iteration already holds pass through.
 
@@ -39,7 +39,7 @@ def model_blocks(model: DataFrame | list) -> list[tuple[np.ndarray, np.ndarray]]
             .select("cluster", "num", "cat").orderBy("cluster").collect()
         )
         if rows:
-            blocks.append(_block([(r["num"], r["cat"]) for r in rows]))
+            blocks.append((*_block([(r["num"], r["cat"]) for r in rows]), np.array([r["cluster"] for r in rows], dtype=np.int32)))
     return blocks
 
 
@@ -67,7 +67,19 @@ def _distances(x, c, codes, centre_codes, gamma):
 def _matrix(column, dtype):
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    if not column.null_count:
+        return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    n = int(known.sum())
+    rows = np.zeros((len(column), flat.size // max(1, n)), dtype)
+    if n:
+        rows[known] = flat.reshape(n, -1)
+    return rows
+
+
+def _missing(*columns) -> pa.Array:
+    """Rows without a vector, whose answer is null."""
+    return pa.array(np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns]))
 
 
 def distances(num: Column, cat: Column, model: DataFrame | list, gamma: float = 1.0) -> Column:
@@ -84,8 +96,12 @@ def distances(num: Column, cat: Column, model: DataFrame | list, gamma: float =
 def _batches(num, cat, block, gamma, scale=False):
     """Distance matrices of an Arrow batch, 4096 documents at a time; ``scale`` brings the
     documents to length 1 first."""
-    centres, centre_codes = block
+    centres, centre_codes = block[:2]
     x, codes = _matrix(num, float), _matrix(cat, np.int64)
+    if num.null_count == len(num):  # no row tells the dimension
+        x = np.zeros((len(num), centres.shape[1]))
+    if cat.null_count == len(cat):
+        codes = np.zeros((len(cat), centre_codes.shape[1]), np.int64)
     if scale:
         x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
     for at in range(0, len(x), 4096):
@@ -99,7 +115,7 @@ def _scorer(shared, gamma: float):
         k = len(shared.value[0])
         flat = np.concatenate([d.ravel() for d in found]) if found else np.empty(0)
         offsets = np.arange(0, len(num) * k + 1, k, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=_missing(num))
 
     return score
 
@@ -120,9 +136,10 @@ def _chooser(shared, gamma: float, first: int, scale: bool):
     def choose(num: pa.Array, cat: pa.Array) -> pa.Array:
         found = list(_batches(num, cat, shared.value, gamma, scale))
         at = np.concatenate([d.argmin(1) for d in found]) if found else np.empty(0, dtype=int)
+        numbers = shared.value[2] if len(shared.value) > 2 else np.arange(first, first + len(shared.value[0]))
         d = np.concatenate([d.min(1) for d in found]) if found else np.empty(0)
         return pa.StructArray.from_arrays(
-            [pa.array(d, pa.float64()), pa.array((at + first).astype(np.int32))], names=["d", "cluster"]
+            [pa.array(d, pa.float64()), pa.array(numbers[at].astype(np.int32))], names=["d", "cluster"], mask=_missing(num)
         )
 
     return choose

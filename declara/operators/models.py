@@ -20,22 +20,20 @@ from declara.operators.encode import hash_bucket, stratified_folds
 from declara.operators.quantiles import quantile_column
 from declara.runtime import stage
 
-MAX_VOCABULARY = 100_000
-
 
 # -- topics ------------------------------------------------------------------------------
 
 
 def count_vectors(df: DataFrame, words: str, vocabulary: DataFrame, out: str = "features") -> DataFrame:
-    """Bag-of-words vectors on a ranked vocabulary of at most MAX_VOCABULARY terms."""
-    terms = [r["term"] for r in vocabulary.where(F.col("rank") <= MAX_VOCABULARY).orderBy("rank").select("term").collect()]
+    """Bag-of-words vectors on a ranked vocabulary, whose size is the caller's choice."""
+    terms = [r["term"] for r in vocabulary.orderBy("rank").select("term").collect()]
     return CountVectorizerModel.from_vocabulary(terms, words, out, minTF=1.0).transform(df)
 
 
-def fit_topics(vectors: DataFrame, k: int, passes: int = 1, seed: int = 1029):
-    """Online variational LDA; a pass sees about every document once."""
-    share = 0.05
-    return LDA(k=k, optimizer="online", maxIter=max(1, round(passes / share)), subsamplingRate=share, seed=seed).fit(vectors)
+def fit_topics(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 1029):
+    """LDA by expectation-maximisation: every iteration reads every document. (The online optimiser
+    draws its mini-batches with replacement, so it leaves documents out.)"""
+    return LDA(k=k, optimizer="em", maxIter=iterations, seed=seed).fit(vectors)
 
 
 def topic_distribution(model, vectors: DataFrame, row: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _vocabulary(t: Tables, keep: int = 1000):
 
 def _topics(t: Tables, k: int = 4):
     vocabulary = _vocabulary(t)
-    vectors = M.count_vectors(_docs(t), "words", vocabulary)
+    vectors = stage(M.count_vectors(_docs(t), "words", vocabulary))  # read in every iteration
     return vocabulary, vectors, M.fit_topics(vectors, k)
 
 

@@ -16,9 +16,9 @@ from declara.streaming import jobs as ST
 
 
 def _stream(t: Tables, table: str):
-    """One table of the scale folder as a file stream."""
-    schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    """One table, a file or a folder of files, as a file stream. The stream takes a plain path for
+    a folder; a pattern fits both."""
+    return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 def _events(t: Tables):

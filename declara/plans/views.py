@@ -41,6 +41,8 @@ def sql_text(value: str) -> str:
 
 
 def sql_deaccent(x: str) -> str:
+    for ligature, letters in K.LIGATURES.items():
+        x = f"replace({x}, '{ligature}', '{letters}')"
     return f"translate({x}, '{K.ACCENTED}', '{K.UNACCENTED}')"
 
 

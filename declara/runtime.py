@@ -104,7 +104,9 @@ def skew_safe_lookup(
     total = lookup.select(F.sum(count).alias("t"))
     is_hot = F.col(count) >= total.scalar() / F.lit(HOT_KEYS)
     hot = lookup.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
-    cold = lookup.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    # always 0, but no constant: a literal would be folded and the salt would not be a join key
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    cold = lookup.where(~is_hot).select(*keys, zero.alias("_salt"), F.struct(*values).alias("_cold"))
     served = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise((1 + F.pmod(spread, F.lit(1024))).cast("int"))
     )

@@ -376,3 +376,55 @@ def test_projection_codes(spark):
     assert a == b and len(a) == 18
     signs = {round((a[1, d] - a[0, d]) / 3) for d in range(3)}
     assert signs <= {-4, -2, 0, 2, 4}
+
+
+def test_cluster_numbers_with_gaps_and_missing_vectors(spark):
+    from declara.operators import clusters as C
+
+    model = spark.createDataFrame([(1, [0.0, 0.0], [1]), (4, [5.0, 5.0], [1]), (9, [9.0, 0.0], [1])], "cluster int, num array<double>, cat array<long>")
+    rows = spark.createDataFrame([(0, [5.0, 4.0], [1]), (1, None, [1]), (2, [9.0, 1.0], [1]), (3, [0.1, 0.0], [1])], "i int, num array<double>, cat array<long>")
+    found = {r.i: r.n for r in rows.select("i", C.nearest(F.col("num"), F.col("cat"), model).alias("n")).collect()}
+    assert (found[0].cluster, found[1], found[2].cluster, found[3].cluster) == (4, None, 9, 1)
+
+
+def test_zero_vectors_do_not_divide(spark):
+    from declara.functions import vectors as V
+
+    row = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    got = row.select(V.unit(F.col("a")).alias("u"), V.to_shares(F.col("a")).alias("s"), V.cosine(F.col("a"), F.col("b")).alias("c")).first()
+    assert got.u == [0.0, 0.0] and got.s == [0.0, 0.0] and got.c is None
+
+
+def test_accents_of_all_latin_letters(spark):
+    from declara.functions import text as X
+
+    words = spark.createDataFrame([("œdème cœur žluť Kovář Łódź été",)], "t string")
+    assert words.select(X.deaccent(F.col("t"))).first()[0] == "oedeme coeur zlut Kovar Lodz ete"
+
+
+def test_streams_read_folders(spark, tmp_path):
+    from declara.plans import catalogue
+    from declara.plans.registry import QUERIES, Tables
+
+    catalogue.load()
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    seen = QUERIES["st_skip_seen"](Tables(spark, str(tmp_path)))
+    assert seen.agg(F.sum("ids")).first()[0] == source.select("event_id").distinct().count()
+
+
+def test_served_rows_of_a_hot_key_are_spread(spark):
+    from declara.runtime import skew_safe_lookup
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(40_000).withColumn("k", F.when(F.col("id") % 10 < 9, F.lit(-1)).otherwise(F.col("id")))
+        lookup = left.groupBy("k").agg(F.count("*").alias("n"))
+        out = skew_safe_lookup(left, lookup, ["k"], "n", F.xxhash64("id"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k" in plan and "_salt" in plan.split("hashpartitioning(k", 1)[1].split(")")[0]
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
