@@ -44,19 +44,24 @@ class Pieces:
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         self.score = [float(model.get_score(i)) for i in range(size)]
-        self.longest = max(map(len, self.id))
+        self.starts = {t[:n] for t in self.id for n in range(1, len(t) + 1)}  # of pieces
         self.known: dict[str, tuple] = {}
 
     def arcs(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every place the pieces that end there: (start, score, ids)."""
         out = [[] for _ in range(len(part) + 1)]
-        find, score = self.id.get, self.score
+        find, score, starts = self.id.get, self.score, self.starts
         for start in range(len(part)):
-            for end in range(start + 1, min(len(part), start + self.longest) + 1):
-                i = find(part[start:end])
+            alone = True
+            for end in range(start + 1, len(part) + 1):
+                piece = part[start:end]
+                if piece not in starts:
+                    break
+                i = find(piece)
                 if i is not None:
                     out[end].append((start, score[i], (i,)))
-            if not out[start + 1] or all(s != start for s, _, _ in out[start + 1]):
+                    alone = alone and end > start + 1
+            if alone:
                 ids = tuple(self.byte[b] for b in part[start].encode("utf-8", "surrogatepass"))
                 out[start + 1].append((start, BYTE_SCORE * len(ids), ids))
         return out
