@@ -15,8 +15,10 @@ have one empty segmentation.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ class Pieces:
     """A vocabulary with the segmentations it has found so far."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,47 +47,64 @@ class Pieces:
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         self.score = [float(model.get_score(i)) for i in range(size)]
-        self.starts = {t[:n] for t in self.id for n in range(1, len(t) + 1)}  # of pieces
+        self.found = {t[:n]: None for t in self.id for n in range(1, len(t) + 1)} | self.id  # ids of pieces and of what they start with
+        self.single = {t for t in self.id if len(t) == 1}
+        self.ends = ahocorasick.Automaton()  # the pieces that end at a place, longest first
+        for t, i in self.id.items():
+            self.ends.add_word(t, (len(t), self.score[i], (i,)))
+        self.ends.make_automaton()
         self.known: dict[str, tuple] = {}
 
-    def arcs(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For every place the pieces that end there: (start, score, ids)."""
-        out = [[] for _ in range(len(part) + 1)]
-        find, score, starts = self.id.get, self.score, self.starts
-        for start in range(len(part)):
-            alone = True
-            for end in range(start + 1, len(part) + 1):
-                piece = part[start:end]
-                if piece not in starts:
+    def lattice(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """For every place the pieces that end there, (start, score, ids), and the best score up to it."""
+        n = len(part)
+        arcs, forward = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n
+        if self.single.issuperset(part):  # no byte is needed: one pass over the places
+            for last, (length, x, ids) in self.ends.iter(part):
+                end = last + 1
+                start = end - length
+                arcs[end].append((start, x, ids))
+                total = forward[start] + x
+                if total > forward[end]:
+                    forward[end] = total
+            return arcs, forward
+        found, score = self.found, self.score
+        for start in range(n):
+            before, alone = forward[start], True
+            for end in range(start + 1, n + 1):
+                i = found.get(part[start:end], -1)
+                if i is None:
+                    continue
+                if i < 0:
                     break
-                i = find(piece)
-                if i is not None:
-                    out[end].append((start, score[i], (i,)))
-                    alone = alone and end > start + 1
+                x = score[i]
+                arcs[end].append((start, x, (i,)))
+                if before + x > forward[end]:
+                    forward[end] = before + x
+                if end == start + 1:
+                    alone = False
             if alone:
                 ids = tuple(self.byte[b] for b in part[start].encode("utf-8", "surrogatepass"))
-                out[start + 1].append((start, BYTE_SCORE * len(ids), ids))
-        return out
+                x = BYTE_SCORE * len(ids)
+                arcs[start + 1].append((start, x, ids))
+                forward[start + 1] = max(forward[start + 1], before + x)
+        return arcs, forward
 
     def nbest(self, part: str):
         """Segmentations (score, ids) of a part, best first."""
-        arcs = self.arcs(part)
-        forward = [0.0] + [-np.inf] * len(part)
-        for end in range(1, len(part) + 1):
-            forward[end] = max(forward[s] + x for s, x, _ in arcs[end])
+        arcs, forward = self.lattice(part)
+        push, pop = heapq.heappush, heapq.heappop
         heap = [(-forward[-1], (), len(part), 0.0)]
         while heap:
-            total, ids, place, behind = heapq.heappop(heap)
+            total, ids, place, behind = pop(heap)
             if place == 0:
                 yield -total, ids
                 continue
-            for start, x, found in arcs[place]:
-                heapq.heappush(heap, (-(forward[start] + x + behind), (*found, *ids), start, behind + x))
-
-    def best(self, part: str):
-        """(ids, losses of the alternatives found so far, with their ids, the search that finds more).
+            for start, x, piece in arcs[place]:
+                push(heap, (-(forward[start] + x + behind), piece + ids, start, behind + x))
 
-        The second best is searched at once, more only when asked for."""
+    def best(self, part: str) -> tuple[float, tuple[int, ...], float]:
+        """The best score of a part, its ids, and what the second best loses (infinite without one)."""
         found = self.known.get(part)
         if found is None:
             if len(self.known) >= KEPT:
@@ -92,28 +112,33 @@ class Pieces:
             search = self.nbest(part)
             score, ids = next(search)
             following = next(search, None)
-            found = self.known[part] = (score, ids, following)
+            found = self.known[part] = (score, ids, score - following[0] if following else math.inf)
         return found
 
     def segment(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids), best first."""
         parts = _PART.findall(MARK + text.replace(" ", MARK)) if text else []
-        found = [self.best(p) for p in parts]
-        total = float(sum(f[0] for f in found))
+        if not parts:
+            return [(0.0, [])]
+        of = {p: self.best(p) for p in dict.fromkeys(parts)}
+        scores, best, losses = zip(*map(of.__getitem__, parts))
+        ids, total = list(chain.from_iterable(best)), float(sum(scores))
         # only the parts whose second best loses least can take part in the n best
-        near = heapq.nsmallest(n - 1, ((f[0] - f[2][0], i) for i, f in enumerate(found) if f[2] is not None)) if n > 1 else []
-        options = []
-        for _, i in near:
-            search, best = self.nbest(parts[i]), found[i][0]
-            options.append((i, [(best - s, ids) for s, ids in (x for x, _ in zip(search, range(n)))]))
+        near = heapq.nsmallest(n - 1, zip(losses, range(len(parts)))) if n > 1 else []
+        near = [i for loss, i in near if loss < math.inf]
+        ends = list(accumulate(map(len, best))) if near else []
+        options = [[(scores[i] - s, found) for s, found in islice(self.nbest(parts[i]), n)] for i in near]
         out = []
         heap = [(0.0, (0,) * len(options))]
         met = {heap[0][1]}
         while heap and len(out) < n:
             loss, choice = heapq.heappop(heap)
-            chosen = {i: o[c][1] for (i, o), c in zip(options, choice) if c}
-            out.append((total - loss, [x for i, f in enumerate(found) for x in (chosen.get(i) or f[1])]))
-            for k, (_, o) in enumerate(options):
+            chosen = ids
+            for i, o, c in sorted(zip(near, options, choice), key=lambda x: -x[0]):  # from the back, so that places hold
+                if c:
+                    chosen = chosen[: ends[i] - len(best[i])] + list(o[c][1]) + chosen[ends[i] :]
+            out.append((total - loss, chosen))
+            for k, o in enumerate(options):
                 if choice[k] + 1 < len(o):
                     other = (*choice[:k], choice[k] + 1, *choice[k + 1 :])
                     if other not in met:
@@ -122,6 +147,9 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
+        if self.value.keys().isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
         for i in ids:
             if i in self.value:
