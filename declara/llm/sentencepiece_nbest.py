@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 BYTE_SCORE = -100_000.0  # of a byte piece, below that of any piece of the vocabulary
-KEPT = 200_000  # parts a worker remembers before it starts anew
+KEPT = 16_000_000  # characters of parts, and 24 for each part, that a worker remembers before it starts anew
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 _VOCABULARIES: dict = {}
@@ -47,47 +47,39 @@ class Pieces:
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         self.score = [float(model.get_score(i)) for i in range(size)]
-        self.found = {t[:n]: None for t in self.id for n in range(1, len(t) + 1)} | self.id  # ids of pieces and of what they start with
         self.single = {t for t in self.id if len(t) == 1}
         self.ends = ahocorasick.Automaton()  # the pieces that end at a place, longest first
         for t, i in self.id.items():
             self.ends.add_word(t, (len(t), self.score[i], (i,)))
         self.ends.make_automaton()
         self.known: dict[str, tuple] = {}
+        self.held = 0
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For every place the pieces that end there, (start, score, ids), and the best score up to it."""
-        n = len(part)
-        arcs, forward = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n
-        if self.single.issuperset(part):  # no byte is needed: one pass over the places
-            for last, (length, x, ids) in self.ends.iter(part):
-                end = last + 1
-                start = end - length
-                arcs[end].append((start, x, ids))
-                total = forward[start] + x
-                if total > forward[end]:
-                    forward[end] = total
-            return arcs, forward
-        found, score = self.found, self.score
-        for start in range(n):
-            before, alone = forward[start], True
-            for end in range(start + 1, n + 1):
-                i = found.get(part[start:end], -1)
-                if i is None:
-                    continue
-                if i < 0:
-                    break
-                x = score[i]
-                arcs[end].append((start, x, (i,)))
-                if before + x > forward[end]:
-                    forward[end] = before + x
-                if end == start + 1:
-                    alone = False
-            if alone:
-                ids = tuple(self.byte[b] for b in part[start].encode("utf-8", "surrogatepass"))
-                x = BYTE_SCORE * len(ids)
-                arcs[start + 1].append((start, x, ids))
-                forward[start + 1] = max(forward[start + 1], before + x)
+        arcs, forward = [[] for _ in range(len(part) + 1)], [0.0] + [-math.inf] * len(part)
+
+        def spell(place):
+            ids = tuple(self.byte[b] for b in part[place].encode("utf-8", "surrogatepass"))
+            x = BYTE_SCORE * len(ids)
+            arcs[place + 1].append((place, x, ids))
+            forward[place + 1] = max(forward[place + 1], forward[place] + x)
+
+        spelled = [] if self.single.issuperset(part) else [i for i, c in enumerate(part) if c not in self.single]
+        done, upto = 0, spelled[0] if spelled else math.inf
+        for last, (length, x, ids) in self.ends.iter(part):
+            while upto <= last:  # whatever ends before a piece's last character is added before it
+                spell(upto)
+                done += 1
+                upto = spelled[done] if done < len(spelled) else math.inf
+            end = last + 1
+            start = end - length
+            arcs[end].append((start, x, ids))
+            total = forward[start] + x
+            if total > forward[end]:
+                forward[end] = total
+        for place in spelled[done:]:
+            spell(place)
         return arcs, forward
 
     def nbest(self, part: str):
@@ -107,8 +99,10 @@ class Pieces:
         """The best score of a part, its ids, and what the second best loses (infinite without one)."""
         found = self.known.get(part)
         if found is None:
-            if len(self.known) >= KEPT:
+            self.held += len(part) + 24
+            if self.held > KEPT:
                 self.known.clear()
+                self.held = len(part) + 24
             search = self.nbest(part)
             score, ids = next(search)
             following = next(search, None)
