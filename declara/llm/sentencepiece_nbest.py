@@ -2,10 +2,10 @@
 
 White space becomes the vocabulary's space mark, so a text's lattice falls apart at marks that
 follow another character: no piece crosses them. In each part forward Viterbi gives the best score
-from its start to every place; with these as exact heuristics a backward A-star search pops complete
-segmentations in the order of their scores, one at a time and only as many as are asked for. The text's
+from its start to every place, and the second best; with these as exact heuristics a backward A-star search pops
+complete segmentations in the order of their scores, one at a time and only as many as are asked for. The text's
 N best are then merged from its parts: each alternative is worth its loss against the part's best,
-and a best-first search over parts with small losses yields the least total losses.
+and a best-first search over the parts whose second best loses least yields the least total losses.
 
 Characters without a piece are encoded as their bytes; equal scores are ordered by the pieces' ids.
 One scan, no shuffle; a worker keeps the parts it has met in a table of bounded size. Null and empty texts
@@ -18,6 +18,8 @@ import heapq
 import math
 import re
 import zlib
+from array import array
+from collections.abc import Sequence
 from itertools import accumulate, chain, islice
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 BYTE_SCORE = -100_000.0  # of a byte piece, below that of any piece of the vocabulary
+TIE = 1e-6  # scores that close may be in another order when they are summed from the other end
 KEPT = 16_000_000  # characters of parts, and 24 for each part, that a worker remembers before it starts anew
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -47,10 +50,16 @@ class Pieces:
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         self.score = [float(model.get_score(i)) for i in range(size)]
-        self.single = {t for t in self.id if len(t) == 1}
+        # what a piece stands for; an ASCII byte is a character by itself
+        self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+        self.is_wide = np.isin(np.arange(size), [i for i, b in self.value.items() if b >= 128])
         self.ends = ahocorasick.Automaton()  # the pieces that end at a place, longest first
         for t, i in self.id.items():
             self.ends.add_word(t, (len(t), self.score[i], (i,)))
+        ascii = {chr(b): i for b, i in self.byte.items() if b < 128 and chr(b) not in self.id}
+        for t, i in ascii.items():
+            self.ends.add_word(t, (1, BYTE_SCORE, (i,)))
+        self.single = {t for t in self.id if len(t) == 1} | ascii.keys()
         self.ends.make_automaton()
         self.known: dict[str, tuple] = {}
         self.held = 0
@@ -95,33 +104,65 @@ class Pieces:
             for start, x, piece in arcs[place]:
                 push(heap, (-(forward[start] + x + behind), piece + ids, start, behind + x))
 
-    def best(self, part: str) -> tuple[float, tuple[int, ...], float]:
+    def margin(self, part: str) -> tuple[float, tuple[int, ...], float]:
         """The best score of a part, its ids, and what the second best loses (infinite without one)."""
+        if self.single.issuperset(part):  # one forward pass for the two best scores up to every place
+            first, second, back = [0.0] + [-math.inf] * len(part), [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
+            for last, piece in self.ends.iter(part):
+                length, x, _ = piece
+                end = last + 1
+                start = end - length
+                total, best = first[start] + x, first[end]
+                if total > best:
+                    other = second[start] + x
+                    second[end] = other if other > best else best
+                    first[end] = total
+                    back[end] = piece
+                elif total > second[end]:
+                    second[end] = total
+            if (loss := first[-1] - second[-1]) > TIE:
+                ids, place = (), len(part)
+                while place:
+                    length, _, piece = back[place]
+                    ids, place = piece + ids, place - length
+                return first[-1], ids, loss
+        search = self.nbest(part)
+        score, ids = next(search)
+        following = next(search, None)
+        return score, ids, score - following[0] if following else math.inf
+
+    def best(self, part: str) -> tuple[float, tuple[int, ...], float]:
+        """``margin`` of a part, from the table of known ones if it is there."""
         found = self.known.get(part)
         if found is None:
             self.held += len(part) + 24
             if self.held > KEPT:
                 self.known.clear()
                 self.held = len(part) + 24
-            search = self.nbest(part)
-            score, ids = next(search)
-            following = next(search, None)
-            found = self.known[part] = (score, ids, score - following[0] if following else math.inf)
+            found = self.known[part] = self.margin(part)
         return found
 
-    def segment(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+    def segment(self, text: str, n: int) -> list[tuple[float, Sequence[int]]]:
         """The n best segmentations of a text: (score, ids), best first."""
-        parts = _PART.findall(MARK + text.replace(" ", MARK)) if text else []
-        if not parts:
+        if not text:
             return [(0.0, [])]
-        of = {p: self.best(p) for p in dict.fromkeys(parts)}
-        scores, best, losses = zip(*map(of.__getitem__, parts))
-        ids, total = list(chain.from_iterable(best)), float(sum(scores))
+        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            parts = _PART.findall(MARK + text.replace(" ", MARK))
+        else:  # single marks: every word is a part
+            parts = (MARK + text.replace(" ", f" {MARK}")).split(" ")
+        found = list(map(self.known.get, parts))
+        if not all(found):
+            found = [f or self.best(p) for p, f in zip(parts, found)]
+        scores, best, losses = zip(*found)
+        ids, total = array("I", chain.from_iterable(best)), float(sum(scores))
         # only the parts whose second best loses least can take part in the n best
         near = heapq.nsmallest(n - 1, zip(losses, range(len(parts)))) if n > 1 else []
         near = [i for loss, i in near if loss < math.inf]
         ends = list(accumulate(map(len, best))) if near else []
-        options = [[(scores[i] - s, found) for s, found in islice(self.nbest(parts[i]), n)] for i in near]
+        options = []
+        for i in near:
+            listed = list(islice(self.nbest(parts[i]), n))
+            options.append([(listed[0][0] - s, found) for s, found in listed])
         out = []
         heap = [(0.0, (0,) * len(options))]
         met = {heap[0][1]}
@@ -130,7 +171,7 @@ class Pieces:
             chosen = ids
             for i, o, c in sorted(zip(near, options, choice), key=lambda x: -x[0]):  # from the back, so that places hold
                 if c:
-                    chosen = chosen[: ends[i] - len(best[i])] + list(o[c][1]) + chosen[ends[i] :]
+                    chosen = chosen[: ends[i] - len(best[i])] + array("I", o[c][1]) + chosen[ends[i] :]
             out.append((total - loss, chosen))
             for k, o in enumerate(options):
                 if choice[k] + 1 < len(o):
@@ -141,20 +182,21 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        if self.value.keys().isdisjoint(ids):
-            text = "".join(map(self.text.__getitem__, ids)).replace(MARK, " ")
+        at = np.asarray(ids, np.int64)
+        if not self.is_wide[at].any():
+            text = "".join(map(self.shown.__getitem__, ids))
             return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
-        for i in ids:
-            if i in self.value:
+        for i, wide in zip(ids, self.is_wide[at].tolist()):
+            if wide:
                 raw.append(self.value[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            out.append(self.text[i])
+            out.append(self.shown[i])
         out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        text = "".join(out)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -181,7 +223,7 @@ def encode(documents: DataFrame, n: int = 4, model: str | None = None) -> DataFr
             for value in b.column("text"):
                 text = value.as_py() or ""
                 found = vocabulary.segment(text, n)
-                listed = [{"score": s, "n_pieces": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes())} for s, ids in found]
+                listed = [{"score": s, "n_pieces": len(ids), "ids_crc32": zlib.crc32(np.asarray(ids, "<u4"))} for s, ids in found]
                 counts.append(listed[0]["n_pieces"])
                 sums.append(listed[0]["ids_crc32"])
                 same.append(vocabulary.decode(found[0][1]) == text.replace(MARK, " "))

@@ -1,6 +1,8 @@
 """The operators of declara.llm against brute force, round trips, held-out accuracy, and odd rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -413,6 +415,19 @@ def test_nbest_matches_all_segmentations():
     assert pieces.segment("", 3) == [(0.0, [])]
 
 
+def test_nbest_margin_is_that_of_the_search():
+    import public_tokenizers
+
+    pieces = sentencepiece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for part in ("▁theory", "▁a\nb", "▁\x00", "▁aaaaaaa", "▁żółw", "▁𐍈x", "▁", "▁▁▁▁"):
+        (score, ids), *rest = list(itertools.islice(pieces.nbest(part), 2))
+        best, found, loss = pieces.margin(part)
+        assert found == ids and best == pytest.approx(score)
+        assert loss == (pytest.approx(score - rest[0][0], abs=1e-6) if rest else math.inf)
+    for text in ("a\nb\n", "\u20ac\n𐍈 x", "  two  ", "\x7f\x80é\n", "▁"):
+        assert all(pieces.decode(ids) == text.replace("▁", " ") for _, ids in pieces.segment(text, 3))
+
+
 def test_nbest_odd_rows(spark, odd):
     from pyspark.sql import functions as F
 
