@@ -6,6 +6,7 @@ Inputs are the tables earlier jobs wrote:
 * ``weights``    (row_id, topic, weight), topics numbered from 0
 * ``assigned``   (row_id, hard_cluster, soft_cluster, cluster_weight)
 * ``model``      (cluster, num, cat)
+* ``vectors``    (row_id, num), only for the scores of the clustering
 
 Every answer is a DataFrame. An unknown id gives an empty one, or raises with ``strict=True``.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from declara.operators import aggregations as A
 from declara.operators import clusters as C
 from declara.operators import topics as TP
+from declara.runtime import draw, stage
 
 
 def _found(df: DataFrame, strict: bool, what: str) -> DataFrame:
@@ -38,6 +40,7 @@ class Corpus:
     weights: DataFrame
     assigned: DataFrame
     model: DataFrame
+    vectors: DataFrame | None = None
 
     # -- documents --------------------------------------------------------------------
 
@@ -64,6 +67,35 @@ class Corpus:
         words = _section(self.document(wanted), "words", "doc_name", F.col("n_words"))
         return words.unionByName(topics).unionByName(cluster)
 
+    # -- the topic model -------------------------------------------------------------------
+
+    def _bag(self) -> DataFrame:
+        return self.documents.select("row_id", F.explode("words").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+
+    def topic_count(self) -> DataFrame:
+        return self.weights.agg(F.count_distinct("topic").alias("topics"))
+
+    def topic_topwords(self, k: int = 20) -> DataFrame:
+        return self.topic_wordcloud(k).select("topic", "term", "rank")
+
+    def topic_coherence(self, k: int = 20) -> DataFrame:
+        """Mean log conditional probability of the topics' k best words."""
+        out = TP.coherence_umass(self._bag(), "row_id", stage(self.topic_topwords(k)), "topic")
+        return out.select("topic", "coherence")
+
+    def topic_distances(self, k: int = 20) -> DataFrame:
+        return TP.topic_distance(stage(self.topic_topwords(k)), "topic")
+
+    def topic_model_complete(self, k: int = 20) -> DataFrame:
+        """Number, coherence, weights and distances of the topics as (section, key, value)."""
+        pairs = self.topic_distances(k).where("a < b").withColumn("pair", F.concat_ws("|", "a", "b"))
+        return (
+            _section(self.topic_count().withColumn("key", F.lit("topics")), "nb_topics", "key", F.col("topics"))
+            .unionByName(_section(self.topic_coherence(k), "coherence", "topic", F.col("coherence")))
+            .unionByName(_section(self.topic_weights(), "weight", "topic", F.col("weight")))
+            .unionByName(_section(pairs, "distance", "pair", F.col("dist")))
+        )
+
     # -- topics --------------------------------------------------------------------------
 
     def topic_weights(self) -> DataFrame:
@@ -76,11 +108,11 @@ class Corpus:
         return TP.topic_documents(sized, "row_id", "declaration", "n_words")
 
     def topic_wordcloud(self, k: int = 30) -> DataFrame:
-        bow = self.documents.select("row_id", F.explode("words").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
         vectors = self.weights.groupBy("row_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("topic", "weight"))), lambda s: s["weight"]).alias("w")
         )
-        return TP.topic_words(TP.expected_term_frequency(bow, "row_id", vectors, "w"), "topic", "freq", k)
+        freq = TP.expected_term_frequency(self._bag(), "row_id", vectors, "w").withColumn("by", F.round("freq", 9))
+        return TP.topic_words(freq, "topic", "by", k).drop("by")
 
     def topic_complete(self, topic: int, strict: bool = False) -> DataFrame:
         weight = _found(self.topic_weights().where(F.col("topic") == topic), strict, f"topic {topic}")
@@ -100,7 +132,7 @@ class Corpus:
     def cluster_documents(self, k: int = 100) -> DataFrame:
         """The k documents of every cluster with the largest membership."""
         named = self.assigned.join(self.documents.select("row_id", "doc_name"), "row_id")
-        return A.top_k(named, ["soft_cluster"], [F.col("cluster_weight").desc(), F.col("row_id")], k)
+        return A.top_k(named, ["soft_cluster"], [F.round("cluster_weight", 9).desc(), F.col("row_id")], k)
 
     def cluster_topics(self, threshold: float = 0.1, k: int | None = None) -> DataFrame:
         rows = self.weights.join(self.assigned.select("row_id", F.col("hard_cluster").alias("cluster")), "row_id")
@@ -115,6 +147,28 @@ class Corpus:
         rows = words.join(self.assigned.select("row_id", F.col("hard_cluster").alias("cluster")), "row_id")
         return A.word_counts(rows, "cluster", "term", k)
 
+    def cluster_scores(self) -> DataFrame:
+        """Calinski-Harabasz and Davies-Bouldin of the hard assignment."""
+        rows = self.vectors.join(self.assigned.select("row_id", "hard_cluster"), "row_id")
+        return C.calinski_davies(rows, "hard_cluster", "num")
+
+    def cluster_axes(self) -> DataFrame:
+        """Two principal axes of the centroids."""
+        from declara.operators.models import pca_axes
+
+        return pca_axes(self.model, "cluster", "num")
+
+    def cluster_model_complete(self) -> DataFrame:
+        """Number, scores, weights and distances of the clusters as (section, key, value)."""
+        pairs = self.cluster_distances().where("a < b").withColumn("pair", F.concat_ws("|", "a", "b"))
+        scores = self.cluster_scores().unpivot([], ["calinski_harabasz", "davies_bouldin"], "key", "value")
+        return (
+            _section(self.cluster_count().withColumn("key", F.lit("clusters")), "nb_clusters", "key", F.col("clusters"))
+            .unionByName(_section(scores, "score", "key", F.col("value")))
+            .unionByName(_section(self.cluster_weights(), "weight", "cluster", F.col("weight")))
+            .unionByName(_section(pairs, "distance", "pair", F.col("dist")))
+        )
+
     def cluster_distances(self, kind: str = "mixed") -> DataFrame:
         return C.centroid_pairs(self.model, kind)
 
@@ -149,6 +203,6 @@ class Corpus:
     def review_sample(self, scores: DataFrame, key: str, value: str, k: int, documents: int, seed: int = 7) -> DataFrame:
         """Topics to review (best, worst, middle band) and a random draw of documents, as (section, key, value)."""
         band = TP.review_band(scores, key, value, k)
-        drawn = self.documents.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(documents)
+        drawn = self.documents.orderBy(draw(seed, "row_id"), "row_id").limit(documents)
         return band.select(F.col("band").alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value")).unionByName(
             _section(drawn, "document", "row_id", F.col("n_words")))

@@ -156,16 +156,28 @@ def micro_macro_score(micro: DataFrame, macro: DataFrame) -> DataFrame:
 
 CLASS_WEIGHTS = {
     # Exponents applied to the balanced weight.
-    "balanced": 1.0, "soft": 1 / 1.2, "softer": 1 / 1.5,
+    "balanced": 1.0, "soft": 1 / 1.2, "softer": 1 / 1.5, "root": 1 / 2,
 }
+# Weights of classes with fewer rows than the bound, and of all larger ones.
+CLASS_STEPS = ((10, 10.0), (100, 5.0), (500, 1.0), (1000, 0.5))
+CLASS_STEP_LARGE = 0.1
+CLASS_LOG_SHIFT = 300
 
 
 def class_weight(df: DataFrame, label: str, scheme: str = "softer") -> DataFrame:
-    """(N / (k * n_c)) to the scheme's power, one row per class."""
+    """One row per class. Schemes: N / (k * n_c) to a power (``CLASS_WEIGHTS``), ``log`` of it after a
+    shift, or ``steps`` by the number of rows."""
     counted = counts(df, [label])
     rows = counted.select(F.sum("n")).scalar()
     classes = counted.select(F.count("*")).scalar()
     balanced = rows / (classes * F.col("n"))
+    if scheme == "log":
+        return counted.withColumn("weight", F.log(balanced + CLASS_LOG_SHIFT))
+    if scheme == "steps":
+        step = F.lit(CLASS_STEP_LARGE)
+        for bound, weight in reversed(CLASS_STEPS):
+            step = F.when(F.col("n") < bound, weight).otherwise(step)
+        return counted.withColumn("weight", step)
     return counted.withColumn("weight", F.pow(balanced, F.lit(CLASS_WEIGHTS[scheme])))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from declara.runtime import stage, with_global_rank
+from declara.runtime import draw, stage, with_global_rank
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
@@ -107,7 +107,7 @@ def balanced_sample(df: DataFrame, label: str, row: str, seed: int = 1029) -> Da
     hangs on the row key alone, so a recomputed partition draws the same rows."""
     counted = stage(df.groupBy(label).agg(F.count("*").alias("_n")))
     mean = counted.select(F.sum("_n") / F.count("*")).scalar()
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    uniform = (F.conv(F.substring(draw(seed, row), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
     whole = F.floor(mean / F.col("_n"))
     extra = F.when(uniform < mean / F.col("_n") - whole, 1).otherwise(0)
     drawn = df.join(counted, label).withColumn("_k", (whole + extra).cast("int"))

@@ -15,7 +15,7 @@ from declara.operators import quantiles as Q
 from declara.plans import views as W
 from declara.plans.registry import Tables, query
 from declara.plans.views import r6
-from declara.runtime import stage, with_global_rank
+from declara.runtime import draw, stage, with_global_rank
 
 # -- flagship: families of every cluster -------------------------------------------
 
@@ -614,6 +614,24 @@ def _(t: Tables):
     return A.class_weight(t.documents, "source").select("source", "n", r6("weight").alias("weight"))
 
 
+CLASS_SCHEMES = ("balanced", "soft", "root", "log", "steps")
+
+
+@query("agg_class_weight_schemes", """
+WITH c AS (SELECT p_size, p_brand, count(*) AS n FROM part GROUP BY ALL),
+w AS (SELECT p_size, p_brand, n, sum(n) OVER () / (count(*) OVER () * n) AS b FROM c)
+SELECT p_size, p_brand, n, round(b, 6) AS balanced, round(pow(b, 1 / 1.2), 6) AS soft, round(sqrt(b), 6) AS root, round(ln(b + 300), 6) AS log,
+  CAST(CASE WHEN n < 10 THEN 10 WHEN n < 100 THEN 5 WHEN n < 500 THEN 1 WHEN n < 1000 THEN 0.5 ELSE 0.1 END AS DOUBLE) AS steps FROM w""")
+def _(t: Tables):
+    labelled = t.part.select(F.struct("p_size", "p_brand").alias("label"))
+    tables = [A.class_weight(labelled, "label", s).withColumn("scheme", F.lit(s)) for s in CLASS_SCHEMES]
+    long = tables[0]
+    for table in tables[1:]:
+        long = long.unionByName(table)
+    wide = long.groupBy("label", "n").pivot("scheme", list(CLASS_SCHEMES)).agg(r6(F.first("weight")))
+    return wide.select("label.p_size", "label.p_brand", "n", *CLASS_SCHEMES)
+
+
 @query("agg_seq_stats", f"""
 SELECT lang, min(n) AS min, max(n) AS max, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median
 FROM (SELECT lang, len({W.sql_tokens('text')}) AS n FROM documents) GROUP BY lang""")
@@ -686,9 +704,9 @@ def _(t: Tables):
     return ranked.where(F.col("rank").between(6, 15))
 
 
-@query("win_random_sample")
+@query("win_random_sample", "SELECT doc_id, source, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def _(t: Tables):
-    return t.documents.select("doc_id", "source", "lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(50)
+    return t.documents.select("doc_id", "source", "lang").orderBy(draw(7, "doc_id"), "doc_id").limit(50)
 
 
 @query("srt_by_length", """

@@ -515,6 +515,10 @@ def _(t: Tables):
     return folds.groupBy("source", "fold").agg(F.count("*").alias("n"))
 
 
-@query("smp_balanced")
+@query("smp_balanced", """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), m AS (SELECT sum(n) / count(*) AS mean FROM c),
+k AS (SELECT doc_id, source, floor(mean / n) AS w, CASE WHEN (('0x' || substr(md5('1029:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE < mean / n - floor(mean / n) THEN 1 ELSE 0 END AS extra
+  FROM documents JOIN c USING (source), m)
+SELECT doc_id, source, CAST(unnest(range(1, CAST(w + extra AS BIGINT) + 1)) AS INT) AS copy FROM k""")
 def _(t: Tables):
     return E.balanced_sample(t.documents.select("doc_id", "source"), "source", "doc_id")

@@ -3,8 +3,10 @@ checked model sizes and numbering of a distributed order."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()  # applications that have the package
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: they may have been started where
+    it is not on their path, and functions that run in Python there are imported by name."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="declara-package-"), "declara.zip")  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage through a Parquet table in the shared folder: it survives lost executors,
     and its size is known to the planner, so a small one is broadcast and a large one is not."""
@@ -54,6 +76,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def draw(seed: int, *columns: str) -> Column:
+    """A digest to order random draws by: the same in every engine and every attempt of a task."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *columns))
+
+
 def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank", start: int = 1) -> DataFrame:
     """Number all rows by ``order`` (which must be total) without one task seeing them all.
 

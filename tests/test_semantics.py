@@ -428,3 +428,20 @@ def test_served_rows_of_a_hot_key_are_spread(spark):
         assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / len(sizes)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_class_weight_steps(spark):
+    from declara.operators import aggregations as A
+
+    sizes = {"a": 9, "b": 10, "c": 99, "d": 100, "e": 1000}
+    df = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "label string")
+    steps = {r.label: r.weight for r in A.class_weight(df, "label", "steps").collect()}
+    assert steps == {"a": 10.0, "b": 5.0, "c": 5.0, "d": 1.0, "e": 0.1}
+
+
+def test_package_is_sent_once(spark):
+    from declara.runtime import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert len([f for f in spark.sparkContext.listFiles if f.endswith("declara.zip")]) == 1
