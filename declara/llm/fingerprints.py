@@ -2,14 +2,14 @@
 
 A k-mer of code points is an anchor where its minimal inner s-mer (by hash) lies at its first or last
 place. That depends on the k-mer alone, so an edit moves no anchor outside of the k-mers it
-touches. A fingerprint lists the anchors with the least hashes, at most ``anchors`` of them, each as
-ten hex digits of hash and eight of place, ordered by place; a text of few anchors keeps all. A text
-without any, such as one shorter than k, is one anchor.
+touches. A fingerprint lists all anchors of the text, each as ten hex digits of hash and eight of
+place, ordered by place; it grows with the text. A text without any, such as one shorter than k, is
+one anchor.
 
-Likeness matches two fingerprints by position: of the anchors that both texts could have listed
-(hashes up to the lesser of the two largest listed), those with equal hashes count where they come
-in the same order in both (longest increasing subsequence); the share in the union of both is the
-likeness. Two empty texts are alike (1), an empty and another one are not (0).
+Likeness matches two fingerprints by position: the i-th anchor of a hash in one text is the i-th of
+that hash in the other, and such pairs count where they come in the same order in both (longest
+increasing subsequence); the share in the union of both is the likeness. Two empty texts are alike
+(1), an empty and another one are not (0).
 
 For its edited text every document needs the beginning of the next one. Documents are dealt into
 ranges of doc_id and read in order; a range ends with a copy of the next range's first document.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from declara.llm.common import mix
 
 K, S = 20, 8
-ANCHORS = 192
 BLOCK = 1 << 20
+PENDING = 1 << 24  # characters of fingerprints in an Arrow batch, about
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,33 +83,45 @@ def _syncmers(text: str, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def sketch(text: str, k: int = K, s: int = S, most: int = ANCHORS) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The listed anchors by place, each hash once (its first place), and whether they are all."""
-    h, place = anchors(text, k, s)
-    h, first = np.unique(h, return_index=True)
-    whole = len(h) <= most
-    h, place = h[:most], place[first[:most]]
-    order = np.argsort(place, kind="stable")
-    return h[order], place[order], whole
+def sketch(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of all anchors, by place."""
+    return anchors(text, k, s)
 
 
-def as_text(found: tuple[np.ndarray, np.ndarray, bool]) -> str:
-    return "".join(f"{h:010x}{p & 0xFFFFFFFF:08x}" for h, p in zip(found[0].tolist(), found[1].tolist())) + ("" if found[2] or not len(found[0]) else "+")
+def as_text(found: tuple[np.ndarray, np.ndarray]) -> str:
+    digits = np.empty((len(found[0]), 9), np.uint8)
+    digits[:, :5] = found[0].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    digits[:, 5:] = (found[1] & 0xFFFFFFFF).astype(">u4").view(np.uint8).reshape(-1, 4)
+    return digits.tobytes().hex()
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray, bool], b: tuple[np.ndarray, np.ndarray, bool]) -> float:
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    limit = min((x[0].max() for x in (a, b) if not x[2]), default=None)
-    left, right = (x[0] if limit is None else x[0][x[0] <= limit] for x in (a, b))
-    place = {h: i for i, h in enumerate(right.tolist())}
-    matched = [place[h] for h in left.tolist() if h in place]
+def _numbered(codes: np.ndarray) -> np.ndarray:
+    """Distinct keys: every code with the number of its equals before it."""
+    order = np.argsort(codes, kind="stable")
+    fresh = np.diff(codes[order], prepend=-1) != 0
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(codes)), 0))
+    before = np.empty(len(codes), np.int64)
+    before[order] = np.arange(len(codes)) - first
+    return (codes << 32) + before
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    left, right = a[0], b[0]
+    if not len(left) or not len(right):
+        return float(len(left) == len(right))
+    n = min(len(left), len(right))
+    differ = np.flatnonzero(left[:n] != right[:n])
+    same = int(differ[0]) if len(differ) else n  # equal beginnings match as they are
+    codes = np.unique(np.concatenate((left[same:], right[same:])), return_inverse=True)[1].astype(np.int64).ravel()
+    cut = len(left) - same
+    _, at, to = np.intersect1d(_numbered(codes[:cut]), _numbered(codes[cut:]), assume_unique=True, return_indices=True)
     tails: list[int] = []
-    for p in matched:
-        i = bisect_left(tails, p)
-        tails[i : i + 1] = [p]
-    union = len(left) + len(right) - len(matched)
-    return len(tails) / union if union else 0.0
+    for p in to[np.argsort(at)].tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return (same + len(tails)) / (len(left) + len(right) - same - len(to))
 
 
 def ranges(documents: DataFrame, rows_per_range: int) -> list:
@@ -122,7 +134,7 @@ def ranges(documents: DataFrame, rows_per_range: int) -> list:
     return sorted(set(found or []))
 
 
-def fingerprints(documents: DataFrame, rows_per_range: int = 4096, k: int = K, s: int = S, most: int = ANCHORS) -> DataFrame:
+def fingerprints(documents: DataFrame, rows_per_range: int = 4096, k: int = K, s: int = S) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of
     ``documents`` (id long, text)."""
     bounds = ranges(documents, rows_per_range)
@@ -145,16 +157,18 @@ def fingerprints(documents: DataFrame, rows_per_range: int = 4096, k: int = K, s
     def scan(batches):
         held = None  # the row that waits for its next one
         for b in batches:
-            out = []
+            out, pending = [], 0
             for range_, ghost, id_, text in zip(*(b.column(c).to_pylist() for c in ("range", "ghost", "id", "text"))):
-                own = sketch(text, k, s, most)
+                own = sketch(text, k, s)
                 if held is not None:
-                    out.append(_row(*held, text, own, k, s, most))
+                    out.append(_row(*held, text, own, k, s))
+                    pending += len(out[-1][3]) + len(out[-1][4])
                 held = None if ghost else (id_, text, own)
+                if pending >= PENDING:
+                    yield _batch(out)
+                    out, pending = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(zip(*out), _ARROW)], names=["id", *(name for name, _ in _COLUMNS)]
-                )
+                yield _batch(out)
 
     return dealt.mapInArrow(scan, "id long, " + ", ".join(f"{name} {kind}" for name, kind in _COLUMNS))
 
@@ -163,6 +177,10 @@ _COLUMNS = [("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "s
 _ARROW = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _ARROW)], names=["id", *(name for name, _ in _COLUMNS)])
+
+
 def _range_of(bounds: list):
     """The number of bounds not above the id."""
     limits = np.array(bounds, np.int64)
@@ -177,10 +195,10 @@ def _range_of(bounds: list):
     return place(F.col("id")) if bounds else F.lit(0)
 
 
-def _row(id_, text, own, following, next_own, k, s, most):
+def _row(id_, text, own, following, next_own, k, s):
     cut = len(text) // 4
     edited = text[: len(text) - cut] + following[:cut]
-    changed = sketch(edited, k, s, most) if edited != text else own
+    changed = sketch(edited, k, s) if edited != text else own
     return (
         id_, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(changed),
         likeness(own, changed), likeness(own, next_own),

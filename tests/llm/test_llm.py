@@ -294,6 +294,24 @@ def test_fingerprints(spark, documents):
     assert np.mean(long) > 0.5 and np.mean([found[r.doc_id].near_next for r in rows]) < 0.1
 
 
+def test_fingerprints_list_and_match_all_anchors():
+    random.seed(9)
+    words = ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    passage = [w.upper() for w in words[:50]]
+    text, other = " ".join(words), " ".join("".join(random.choice("klmnopqrst") for _ in range(6)) for _ in range(4000))
+    whole = fingerprints.sketch(text)
+    assert len(fingerprints.as_text(whole)) == 18 * len(fingerprints.anchors(text)[0]) > 18 * 192
+    for at in range(200, 4000, 400):  # one word changed, one passage shared
+        edited = " ".join([*words[:at], "zzzzzz", *words[at + 1 :]])
+        assert fingerprints.as_text(fingerprints.sketch(edited)) != fingerprints.as_text(whole)
+        assert 0.98 < fingerprints.likeness(whole, fingerprints.sketch(edited)) < 1
+        split = other.split(" ")
+        shared = [fingerprints.sketch(" ".join([*x[:at], *passage, *x[at:]])) for x in (words, split)]
+        assert 0 < fingerprints.likeness(*shared) < 0.02
+    assert fingerprints.likeness(fingerprints.sketch("x " * 300), fingerprints.sketch("x " * 600)) < 0.6  # repeats count
+    assert fingerprints.likeness(whole, whole) == 1
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     from pyspark.sql import functions as F
 
