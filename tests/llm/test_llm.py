@@ -384,6 +384,31 @@ def test_licenses_and_inheritance(spark):
     assert license_scans.scan(frame(spark, [], "path string, text string, declares boolean")).count() == 0
 
 
+def test_whole_licences_headers_and_tags(spark):
+    mit = license_scans.TEMPLATES["MIT"][-1]
+    broken = re.sub(r"((?:\S+ ){7})", r"\1\n * ", mit)
+    notice = license_scans._gnu("GNU General Public License", "3")[-1]
+    cases = {
+        "// SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0",
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os": "(MIT OR Apache-2.0)",
+        "Copyright 2020 Example Ltd. All rights reserved.": "LicenseRef-proprietary", "The MIT License (MIT)": "MIT",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance': "Apache-2.0",
+        "Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/": "Apache-2.0",
+        f"Copyright 2021 A. Person\n\n * {broken}\n\nTHE SOFTWARE IS PROVIDED AS IS. import numpy as np and then some more words of code": "MIT",
+        "BSD\n" + license_scans._BSD + license_scans._NO_ENDORSEMENT + license_scans._BSD_END: "BSD-3-Clause",
+        "All rights reserved.\n" + license_scans._BSD + license_scans._BSD_END: "BSD-2-Clause",
+        notice: "GPL-3.0", notice.replace("version 3", "version 2"): "GPL-2.0", notice.replace("General", "Lesser General").replace("program", "library"): "LGPL-3.0",
+        "Licensed under the Apache License, Version 1.1": None, "Released under the Foo License.": None, "Some copyright of a license, free of charge": None,
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "the long code " * 3000 + "is licensed under the Apache License, Version 2.0, as is " + "the rest " * 3000: "Apache-2.0",
+    }
+    plain = [(f"p{i}", f"the house by the river and the {w} of the software is under this version", False) for i, w in enumerate("abcdefghijklmnopqrstuvwxyz" * 4)]
+    files = [(f"f{i}", text, False) for i, text in enumerate(cases)] + plain
+    got = {r.path: r for r in license_scans.scan(frame(spark, files, "path string, text string, declares boolean")).collect()}
+    assert {text: got[f"f{i}"].own_license for i, text in enumerate(cases)} == cases
+    assert all(got[p].own_license is None for p, _, _ in plain)
+
+
 # token counts
 
 
