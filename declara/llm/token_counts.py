@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declara.llm.packing import byte_encoder, default_tokenizer
+from declara.llm.packing import default_tokenizer, exact_encoder
 
 SEGMENT = 128  # characters, at least, before the next cut
 _CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
@@ -120,7 +120,7 @@ def count_edits(documents: DataFrame, tokenizer: str | None = None) -> DataFrame
     kind = documents.schema["id"].dataType.simpleString()
 
     def scan(batches):
-        encoder = byte_encoder(path)
+        encoder = exact_encoder(path)
         for b in batches:
             out = ([], [], [], [], [], [])
             for text, edits in zip(b.column("text"), b.column("edits").to_pylist()):

@@ -245,6 +245,26 @@ def test_tokens_equal_the_librarys(documents):
         assert encoder.encode_ordinary(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_equal_the_librarys_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "one <|endoftext|> two", 2: "a" + " " * 1_000_000 + "b", 3: "<|endoftext|><|endoftext|> x", 4: "plain é\n", 5: "x <|endof" + "y" * 9}
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    assert ids[1] == [505, 220, 50256, 734]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in texts.items()], "id long, source string, text string")
+    found = {r.id: np.frombuffer(r.ids, "<u2").tolist() for r in packing.tokenized(rows, packing.default_tokenizer()).collect()}
+    assert found == {i: [*x, packing.END] for i, x in ids.items()}
+    edit = [(0, 0, "z")], [(500, 3, "<|endoftext|>")], [(5, 2, "")], [], [(9, 9, "text|> w")]
+    rows = spark.createDataFrame([(i, t, e) for (i, t), e in zip(texts.items(), edit)], "id long, text string, edits array<struct<place: long, deleted: long, inserted: string>>")
+    for r in token_counts.count_edits(rows).collect():
+        text = texts[r.id]
+        for place, deleted, inserted in edit[r.id - 1]:
+            text = text[:place] + inserted + text[place + deleted :]
+        assert (r.n_tokens, r.edited_tokens) == (len(ids[r.id]), len(library.encode(text, add_special_tokens=False).ids))
+
+
 def test_packing_whole_and_in_proportion(spark, documents):
     from pyspark.sql import functions as F
 
