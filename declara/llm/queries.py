@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from declara.llm import (
-    fingerprints, html_extraction, language_id, license_scans, ngram_join, packing, quality_rules, sentencepiece_nbest,
+    centroid_clustering, fingerprints, html_extraction, language_id, license_scans, ngram_join, packing, quality_rules, sentencepiece_nbest,
     token_counts, url_filters,
 )
 
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_url_filters": url_filters.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_language_id": language_id.query,
+    "op13_centroid_clustering": centroid_clustering.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_centroid_clustering": centroid_clustering.SQL,
+}
