@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from declara.llm import (
     centroid_clustering, fingerprints, html_extraction, language_id, license_scans, ngram_join, packing, quality_rules, sentencepiece_nbest,
-    token_counts, url_filters,
+    source_divergence, token_counts, url_filters,
 )
 
 QUERIES = {
@@ -18,9 +18,11 @@ QUERIES = {
     "op8_url_filters": url_filters.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_language_id": language_id.query,
+    "op11_source_divergence": source_divergence.query,
     "op13_centroid_clustering": centroid_clustering.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": source_divergence.SQL,
     "op13_centroid_clustering": centroid_clustering.SQL,
 }
