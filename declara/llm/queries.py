@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from declara.llm import (
-    centroid_clustering, fingerprints, html_extraction, language_id, license_scans, ngram_join, packing, quality_rules, sentencepiece_nbest,
+    centroid_clustering, disclosure, fingerprints, html_extraction, language_id, license_scans, ngram_join, packing, quality_rules, sentencepiece_nbest,
     source_divergence, token_counts, url_filters,
 )
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_language_id": language_id.query,
     "op11_source_divergence": source_divergence.query,
+    "op12_pii_sanitisation": disclosure.query,
     "op13_centroid_clustering": centroid_clustering.query,
 }
 
