@@ -1,13 +1,13 @@
-"""Models trained with MLlib: topics, clusters, calibrated classifiers, decompositions."""
+"""Models trained with MLlib: clusters, calibrated classifiers, decompositions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, Word2Vec
+from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
@@ -21,47 +21,6 @@ from declara.operators.quantiles import quantile_column
 from declara.runtime import stage
 
 
-# -- topics ------------------------------------------------------------------------------
-
-
-def count_vectors(df: DataFrame, words: str, vocabulary: DataFrame, out: str = "features") -> DataFrame:
-    """Bag-of-words vectors on a ranked vocabulary, whose size is the caller's choice."""
-    terms = [r["term"] for r in vocabulary.orderBy("rank").select("term").collect()]
-    return CountVectorizerModel.from_vocabulary(terms, words, out, minTF=1.0).transform(df)
-
-
-def fit_topics(vectors: DataFrame, k: int, iterations: int = 20, seed: int = 1029):
-    """LDA by expectation-maximisation: every iteration reads every document. (The online optimiser
-    draws its mini-batches with replacement, so it leaves documents out.)"""
-    return LDA(k=k, optimizer="em", maxIter=iterations, seed=seed).fit(vectors)
-
-
-def topic_distribution(model, vectors: DataFrame, row: str) -> DataFrame:
-    """(row, weights): topic weights of old or new documents on the model's vocabulary. A document
-    without any known word gets the flat prior instead of MLlib's zeros."""
-    scored = model.transform(vectors).select(row, vector_to_array("topicDistribution").alias("w"))
-    flat = F.array(*[F.lit(1.0 / model.getK())] * model.getK())
-    return scored.select(row, F.when(F.array_max("w") > 0, F.col("w")).otherwise(flat).alias("weights"))
-
-
-def topic_top_words(model, vocabulary: DataFrame, k: int = 10) -> DataFrame:
-    """(topic, rank, term, weight) of the k heaviest words."""
-    described = model.describeTopics(k)
-    zipped = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "x")
-    long = described.select("topic", zipped).select(
-        "topic", (F.col("r") + 1).alias("rank"), (F.col("x.termIndices") + 1).cast("long").alias("_ix"), F.col("x.termWeights").alias("weight")
-    )
-    names = vocabulary.select(F.col("rank").alias("_ix"), "term")
-    return long.join(names, "_ix").select("topic", "rank", "term", "weight")
-
-
-def update_topics(old: DataFrame, new: DataFrame, words: str, vocabulary: DataFrame, k: int, seed: int = 1029):
-    """Refit on the union of old and new documents with the old vocabulary frozen: MLlib's LDA
-    has no warm start, so topics may drift from the earlier model."""
-    union = old.select(words).unionByName(new.select(words))
-    return fit_topics(count_vectors(union, words, vocabulary), k, seed=seed)
-
-
 # -- vectors --------------------------------------------------------------------------------
 
 

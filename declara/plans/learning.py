@@ -10,6 +10,7 @@ from declara.operators import clusters as C
 from declara.operators import encode as E
 from declara.operators import evaluate as EV
 from declara.operators import features as X
+from declara.operators import lda as L
 from declara.operators import models as M
 from declara.plans import views as W
 from declara.plans.registry import Tables, query
@@ -21,50 +22,55 @@ def _docs(t: Tables):
     return t.texts.select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("words"))
 
 
-def _vocabulary(t: Tables, keep: int = 1000):
+def _vocabulary(t: Tables):
     bow = X.doc2bow(_docs(t), "doc_id", F.col("words"))
-    return stage(X.vocabulary(X.term_stats(bow), t.documents.select(F.count("*")).scalar(), keep_n=keep))
+    return stage(X.vocabulary(X.term_stats(bow), t.documents.select(F.count("*")).scalar()))
 
 
-def _topics(t: Tables, k: int = 4):
+TOPICS = 150
+
+
+def _topics(t: Tables, k: int = TOPICS):
     vocabulary = _vocabulary(t)
-    vectors = stage(M.count_vectors(_docs(t), "words", vocabulary))  # read in every iteration
-    return vocabulary, vectors, M.fit_topics(vectors, k)
+    vectors = stage(L.count_rows(_docs(t), "doc_id", "words", vocabulary))  # read in every pass
+    return vocabulary, vectors, L.fit(vectors, vocabulary.count(), k, passes=5)
+
+
+def _benchmark_rows(t: Tables, vocabulary):
+    return L.count_rows(t.benchmark.select("item_id", T.tokens(F.col("text")).alias("words")), "item_id", "words", vocabulary)
 
 
 @query("ml_lda")
 def _(t: Tables):
     _, vectors, model = _topics(t)
-    weights = M.topic_distribution(model, vectors, "doc_id")
-    return weights.select("doc_id", F.posexplode("weights").alias("topic", "weight"))
+    return L.distribution(vectors, "doc_id", model).select("doc_id", F.posexplode("weights").alias("topic", "weight"))
 
 
 @query("ml_lda_predict")
 def _(t: Tables):
     vocabulary, _, model = _topics(t)
-    new = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("words"))
-    weights = M.topic_distribution(model, M.count_vectors(new, "words", vocabulary), "item_id")
+    weights = L.distribution(_benchmark_rows(t, vocabulary), "item_id", model)
     return weights.select("item_id", F.posexplode("weights").alias("topic", "weight"))
 
 
 @query("ml_lda_update")
 def _(t: Tables):
-    vocabulary = _vocabulary(t)
-    new = t.benchmark.select("item_id", T.tokens(F.col("text")).alias("words"))
-    model = M.update_topics(_docs(t), new, "words", vocabulary, 4)
-    return M.topic_top_words(model, vocabulary)
+    vocabulary, _, older = _topics(t)
+    model = L.fit(stage(_benchmark_rows(t, vocabulary)), len(older.lam), older.k, passes=2, older=older)
+    return L.top_words(model, vocabulary)
 
 
 @query("ml_topic_words")
 def _(t: Tables):
     vocabulary, _, model = _topics(t)
-    return M.topic_top_words(model, vocabulary)
+    return L.top_words(model, vocabulary)
 
 
 @query("ml_topic_svm_eval")
 def _(t: Tables):
     _, vectors, model = _topics(t)
-    data = stage(M.topic_distribution(model, vectors, "doc_id").join(t.documents.select("doc_id", "lang", "text"), "doc_id"))
+    weights = L.distribution(vectors, "doc_id", model)
+    data = stage(weights.join(t.documents.select("doc_id", "lang", F.md5("text").alias("text")), "doc_id"))
     train, test = M.split_rows(data, "text")
     scores = M.svm_scores(train, test, "doc_id", "lang", "weights", 5)
     best = scores.groupBy("doc_id").agg(F.max_by("class", "score").alias("predicted")).join(test.select("doc_id", "lang"), "doc_id")
