@@ -14,135 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from declara.functions import vectors as V
+from declara.operators import assignment
 from declara.operators.aggregations import counts
-from declara.runtime import MODEL_BLOCK_VALUES, stage, with_global_rank
-
-
-def model_blocks(model: DataFrame | list) -> list[tuple]:
-    """The centroid table as numpy blocks of at most MODEL_BLOCK_VALUES numbers, in cluster order.
-    Blocks that an iteration already holds pass through.
-
-    The size is asked first; each block is fetched on its own, so neither the driver nor a
-    task ever holds more than one block at a time beyond the model itself.
-    """
-    if isinstance(model, list):
-        return model
-    size = model.agg(
-        F.count("*").alias("k"), F.max(F.size("num") + F.greatest(F.size("cat"), F.lit(0))).alias("d"),
-        F.max("cluster").alias("last"),
-    ).first()
-    step = max(1, MODEL_BLOCK_VALUES // max(1, size["d"] or 1))
-    blocks = []
-    for start in range(0, (size["last"] if size["last"] is not None else -1) + 1, step):
-        rows = (
-            model.where((F.col("cluster") >= start) & (F.col("cluster") < start + step))
-            .select("cluster", "num", "cat").orderBy("cluster").collect()
-        )
-        if rows:
-            blocks.append((*_block([(r["num"], r["cat"]) for r in rows]), np.array([r["cluster"] for r in rows], dtype=np.int32)))
-    return blocks
-
-
-def _block(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        np.array([num for num, _ in rows], dtype=float),
-        np.array([cat or [] for _, cat in rows], dtype=np.int64).reshape(len(rows), -1),
-    )
-
-
-def _distances(x, c, codes, centre_codes, gamma):
-    """Batch of mixed distances; tiny ones are taken from the differences themselves, so that
-    a document on a centroid gets exactly 0."""
-    d = (x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :]
-    scale = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :]
-    close = np.argwhere(d < 1e-6 * scale)
-    for i, j in close:
-        d[i, j] = ((x[i] - c[j]) ** 2).sum()
-    np.maximum(d, 0.0, out=d)
-    for a in range(centre_codes.shape[1]):
-        d += gamma * (codes[:, a][:, None] != centre_codes[:, a][None, :])
-    return d
-
-
-def _matrix(column, dtype):
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-    if not column.null_count:
-        return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    known = column.is_valid().to_numpy(zero_copy_only=False)
-    n = int(known.sum())
-    rows = np.zeros((len(column), flat.size // max(1, n)), dtype)
-    if n:
-        rows[known] = flat.reshape(n, -1)
-    return rows
-
-
-def _missing(*columns) -> pa.Array:
-    """Rows without a vector, whose answer is null."""
-    return pa.array(np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns]))
-
-
-def distances(num: Column, cat: Column, model: DataFrame | list, gamma: float = 1.0) -> Column:
-    """Array of mixed distances from a document to every centroid, in cluster order.
-
-    Each model block goes to the tasks once as a broadcast variable and whole Arrow batches are
-    scored by matrix products: no document x centroid rows exist and nothing is shuffled.
-    """
-    context = SparkSession.active().sparkContext
-    parts = [_scorer(context.broadcast(block), gamma)(num, cat) for block in model_blocks(model)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _batches(num, cat, block, gamma, scale=False):
-    """Distance matrices of an Arrow batch, 4096 documents at a time; ``scale`` brings the
-    documents to length 1 first."""
-    centres, centre_codes = block[:2]
-    x, codes = _matrix(num, float), _matrix(cat, np.int64)
-    if num.null_count == len(num):  # no row tells the dimension
-        x = np.zeros((len(num), centres.shape[1]))
-    if cat.null_count == len(cat):
-        codes = np.zeros((len(cat), centre_codes.shape[1]), np.int64)
-    if scale:
-        x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-    for at in range(0, len(x), 4096):
-        yield _distances(x[at:at + 4096], centres, codes[at:at + 4096], centre_codes, gamma)
-
-
-def _scorer(shared, gamma: float):
-    @F.arrow_udf("array<double>")
-    def score(num: pa.Array, cat: pa.Array) -> pa.Array:
-        found = list(_batches(num, cat, shared.value, gamma))
-        k = len(shared.value[0])
-        flat = np.concatenate([d.ravel() for d in found]) if found else np.empty(0)
-        offsets = np.arange(0, len(num) * k + 1, k, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=_missing(num))
-
-    return score
-
-
-def nearest(num: Column, cat: Column, model: DataFrame | list, gamma: float = 1.0, scale: bool = False) -> Column:
-    """The nearest centroid (ties: lowest) as ``(d, cluster)``; only two numbers per document
-    leave the Python worker."""
-    context = SparkSession.active().sparkContext
-    parts, first = [], 0
-    for block in model_blocks(model):
-        parts.append(_chooser(context.broadcast(block), gamma, first, scale)(num, cat))
-        first += len(block[0])
-    return parts[0] if len(parts) == 1 else F.array_min(F.array(*parts))
-
-
-def _chooser(shared, gamma: float, first: int, scale: bool):
-    @F.arrow_udf("struct<d: double, cluster: int>")
-    def choose(num: pa.Array, cat: pa.Array) -> pa.Array:
-        found = list(_batches(num, cat, shared.value, gamma, scale))
-        at = np.concatenate([d.argmin(1) for d in found]) if found else np.empty(0, dtype=int)
-        numbers = shared.value[2] if len(shared.value) > 2 else np.arange(first, first + len(shared.value[0]))
-        d = np.concatenate([d.min(1) for d in found]) if found else np.empty(0)
-        return pa.StructArray.from_arrays(
-            [pa.array(d, pa.float64()), pa.array(numbers[at].astype(np.int32))], names=["d", "cluster"], mask=_missing(num)
-        )
-
-    return choose
+from declara.operators.assignment import Model, best, distances, members, memberships, mixture, nearest, numbered, prepared, prepared_rows  # noqa: F401
+from declara.runtime import new_path, remove, stage
 
 
 def no_categories() -> Column:
@@ -197,53 +72,93 @@ def initial_prototypes(df: DataFrame, row: str, family: str, n_clusters: int, se
     return chosen.select((F.row_number().over(order) - 1).cast("int").alias("cluster"), "_r.num", "_r.cat")
 
 
+def _round(data: DataFrame, model: Model, gamma: float) -> tuple[dict, dict]:
+    """One pass over the documents: (sum, size) and (mode of every attribute) of the nearest cluster's
+    documents, added up inside each task before a row per cluster and category leaves it."""
+    def collect(arrow):
+        sums: dict[int, np.ndarray] = {}
+        cells: dict[tuple[int, int, int], int] = {}
+        pieces = list(model.pieces())
+        for b in arrow:
+            known = np.flatnonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))
+            b = b.take(pa.array(known))
+            for x, codes in assignment.batches(b.column(0), b.column(1), pieces):
+                _, who = best(x, codes, pieces, gamma)
+                for c in np.unique(who).tolist():
+                    mine = who == c
+                    part = np.append(x[mine].sum(axis=0), mine.sum())
+                    sums[c] = sums[c] + part if c in sums else part
+                    for a in range(codes.shape[1]):
+                        for code, n in zip(*(u.tolist() for u in np.unique(codes[mine, a], return_counts=True))):
+                            cells[c, a, code] = cells.get((c, a, code), 0) + n
+        n = len(sums) + len(cells)
+        if n:
+            empty = [None] * len(cells)
+            numbers = [*sums, *(c for c, _, _ in cells)]
+            vectors = [v.tolist() for v in sums.values()] + empty
+            blank = [None] * len(sums)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(numbers, pa.int32()), pa.array(vectors, pa.list_(pa.float64())), pa.array(blank + [a for _, a, _ in cells], pa.int32()),
+                pa.array(blank + [code for _, _, code in cells], pa.int64()), pa.array(blank + list(cells.values()), pa.int64()),
+            ], names=["cluster", "sums", "a", "code", "n"])
+
+    spark, schema = data.sparkSession, "cluster int, sums array<double>, a int, code long, n long"
+    path = new_path(spark, "round")
+    data.select("num", "cat").mapInArrow(collect, schema).write.parquet(path)
+    partial = spark.read.schema(schema).parquet(path)
+    summed = partial.where(F.col("a").isNull()).groupBy("cluster").agg(vector_sum("sums").alias("sums")).collect()
+    counted = partial.where(F.col("a").isNotNull()).groupBy("cluster", "a", "code").agg(F.sum("n").alias("n"))
+    modes = counted.groupBy("cluster", "a").agg(F.max_by("code", F.struct(F.col("n"), -F.col("code"))).alias("code")).collect()
+    remove(spark, path)
+    return {r["cluster"]: r["sums"] for r in summed}, {(r["cluster"], r["a"]): r["code"] for r in modes}
+
+
 def k_prototypes(
     df: DataFrame, row: str, family: str, n_clusters: int, gamma: float = 1.0, max_iter: int = 20, seed: int = 0
 ) -> DataFrame:
-    """Lloyd iterations until no document changes its cluster; returns the centroid table.
+    """Lloyd iterations until no centroid moves; returns the centroid table.
 
-    A round scores the documents against the current and the previous centroids in the same
-    pass, so no assignment is stored between rounds and a lost executor costs only its
-    partitions. The centroids come back as a table of n_clusters rows, which also cuts the lineage.
+    A round is one pass that scores every document once. A cluster that lost all its documents keeps its
+    centroid. The centroids (n_clusters rows) are a parameter's worth of numbers in the driver.
     """
     spark = df.sparkSession
     data = df.select(F.col(row), F.col(family), V.doubles(F.col("num")).alias("num"), F.col("cat").cast("array<bigint>").alias("cat"))
-    num, cat = F.col("num"), F.col("cat")
     first = initial_prototypes(data, row, family, n_clusters, seed).orderBy("cluster").collect()
-    centres, previous = [(r["num"], r["cat"]) for r in first], None
-    if sum(len(n) + len(c) for n, c in centres) > MODEL_BLOCK_VALUES:
-        raise ValueError("the model is larger than one broadcast block")
+    centres = [(r["cluster"], list(r["num"]), list(r["cat"] or [])) for r in first]
     for _ in range(max_iter):
-        assigned = data.withColumn("cluster", nearest(num, cat, [_block(centres)], gamma)["cluster"])
-        before = F.lit(None).cast("int") if previous is None else nearest(num, cat, [_block(previous)], gamma)["cluster"]
-        moved = assigned.withColumn("_moved", F.when(before == F.col("cluster"), 0).otherwise(1))
-        changes = moved.groupBy("cluster").agg(F.sum("_moved").alias("moved"))
-        table = centroid_table(assigned, "cluster", "num", "cat").join(changes, "cluster").collect()
-        if not sum(r["moved"] for r in table):
+        model = prepared_rows(spark, centres)
+        sums, modes = _round(data, model, gamma)
+        model.release()
+        moved, now = False, []
+        for c, num, cat in centres:
+            if c in sums:
+                *total, n = sums[c]
+                mean, mode = [s / n for s in total], [modes.get((c, a), code) for a, code in enumerate(cat)]
+                moved |= mode != cat or not np.allclose(mean, num, rtol=1e-12, atol=1e-12)
+                num, cat = mean, mode
+            now.append((c, num, cat))
+        if not moved:
             break
-        # A cluster that lost all its documents keeps its centroid.
-        previous, centres = centres, list(centres)
-        for r in table:
-            centres[r["cluster"]] = (r["num"], r["cat"])
-    rows = [(i, list(n), list(c)) for i, (n, c) in enumerate(centres)]
-    return spark.createDataFrame(rows, "cluster int, num array<double>, cat array<bigint>")
+        centres = now
+    return spark.createDataFrame(centres, "cluster int, num array<double>, cat array<bigint>")
 
 
 # -- memberships ----------------------------------------------------------------
 
 
-def with_memberships(df: DataFrame, model: DataFrame, num: Column, cat: Column, m: float = 2.0, gamma: float = 1.0) -> DataFrame:
-    """Adds ``weights``: fuzzy membership of every cluster."""
-    return df.withColumn("weights", V.soft_weights(distances(num, cat, model, gamma), m))
+def with_memberships(
+    df: DataFrame, model: DataFrame | Model, num: Column, cat: Column, m: float = 2.0, gamma: float = 1.0, k: int | None = None
+) -> DataFrame:
+    """Adds ``members``: the k largest fuzzy memberships (all if None) as (cluster, weight), best first."""
+    return df.withColumn("members", memberships(num, cat, model, m, gamma, k))
 
 
-def assign(df: DataFrame, model: DataFrame, num: Column, cat: Column, m: float = 2.0, gamma: float = 1.0) -> DataFrame:
-    """Adds the nearest cluster, the cluster of largest membership and that membership."""
-    scored = df.withColumn("_d", distances(num, cat, model, gamma))
-    weighed = scored.withColumn("_w", V.soft_weights(F.col("_d"), m))
-    return weighed.select(
-        *df.columns, V.argmin(F.col("_d")).alias("hard_cluster"), V.argmax(F.col("_w")).alias("soft_cluster"),
-        F.array_max("_w").alias("cluster_weight"),
+def assign(df: DataFrame, model: DataFrame | Model, num: Column, cat: Column, m: float = 2.0, gamma: float = 1.0) -> DataFrame:
+    """Adds the nearest cluster, the cluster of largest membership and that membership. Memberships fall
+    with the distance, so both clusters are the first of the one best membership that leaves a task."""
+    found = df.withColumn("_m", memberships(num, cat, model, m, gamma, 1)[0])
+    return found.select(
+        *df.columns, F.col("_m.cluster").alias("hard_cluster"), F.col("_m.cluster").alias("soft_cluster"), F.col("_m.weight").alias("cluster_weight"),
     )
 
 
@@ -374,20 +289,21 @@ def hypotheses(predictions: DataFrame, file: str = "file") -> DataFrame:
     return rows.withColumn("prior", F.col("p") / F.sum("p").over(Window.partitionBy(file))).drop("p")
 
 
-def mix_memberships(weighted: DataFrame, file: str, prior: str, weights: str, k: int = 100) -> DataFrame:
-    """Memberships of a file's hypotheses averaged by prior; the k best clusters scaled to sum 1."""
-    sized = array_to_vector(F.transform(weights, lambda w: w * F.col(prior)))
-    summed = weighted.groupBy(file).agg(Summarizer.metrics("sum").summary(sized).alias("s"))
-    long = summed.select(file, F.posexplode(vector_to_array(F.col("s.sum"))).alias("cluster", "proba"))
-    return keep_best(long, file, k)
-
+def mix_memberships(
+    hypotheses: DataFrame, file: str, prior: str, num: str, cat: str, model: DataFrame | Model, k: int = 100, m: float = 1.25, gamma: float = 1.0
+) -> DataFrame:
+    """(file, cluster, proba): memberships of a file's hypotheses averaged by prior; the k best clusters
+    scaled to sum 1. A file has a handful of hypotheses, mixed inside its row."""
+    per_file = hypotheses.groupBy(file).agg(F.first(num).alias("num"), F.sort_array(F.collect_list(F.struct(cat, prior))).alias("h"))
+    best = mixture(F.col("num"), F.col(f"h.{cat}"), F.col(f"h.{prior}"), model, m, gamma, k)
+    return per_file.select(file, F.inline(best)).withColumnRenamed("weight", "proba")
 
-def keep_best(long: DataFrame, file: str, k: int = 100) -> DataFrame:
-    """k best clusters per file, probabilities scaled to sum 1."""
-    from declara.operators.aggregations import top_k
 
-    best = top_k(long, [file], [F.col("proba").desc(), F.col("cluster")], k)
-    return best.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy(file)))
+def best_members(df: DataFrame, row: str) -> DataFrame:
+    """(row, cluster, rank, proba): the members of every document, scaled to sum 1 over those kept."""
+    total = V.let(F.transform("members", lambda x: x["weight"]), lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x))
+    long = df.select(row, total.alias("_total"), F.posexplode("members").alias("_at", "_x"))
+    return long.select(row, F.col("_x.cluster").alias("cluster"), (F.col("_at") + 1).alias("rank"), (F.col("_x.weight") / F.col("_total")).alias("proba"))
 
 
 def statistics_of(df: DataFrame, cluster: str, num: str, cat: str) -> tuple[DataFrame, DataFrame]:
@@ -426,28 +342,67 @@ def centroids_of_statistics(stats: tuple[DataFrame, DataFrame], previous: DataFr
     return num.join(cat, "cluster", "left").select("cluster", "num", F.coalesce("cat", no_categories()).alias("cat"), "n")
 
 
+def _open_leaders(candidates: list, frozen: Model, opened: list[tuple], first_free: int, delta: float, gamma: float) -> None:
+    """Go through the candidates (num, cat) in order; one that no cluster claims, those opened before it
+    included, opens a cluster. If all seem claimed, the first opens one, so that every round moves on."""
+    old, before, pieces = list(frozen.pieces()), len(opened), None
+
+    def open_cluster(num, cat):
+        opened.append((first_free + len(opened), list(num), list(cat or [])))
+
+    for num, cat in candidates:
+        if pieces is None:
+            pieces = old + (assignment.cut(*assignment.arrays([r[1:] for r in opened]), np.array([r[0] for r in opened], np.int32)) if opened else [])
+        x, codes = np.array([num], dtype=float), np.array([cat or []], dtype=np.int64).reshape(1, -1)
+        _, weight = members(x, codes, pieces, gamma, 2.0, 1)
+        if not weight.size or weight[0, 0] <= delta:
+            open_cluster(num, cat)
+            pieces = None
+    if len(opened) == before:
+        open_cluster(*candidates[0])
+
+
 def incremental_update(
     new: DataFrame, row: str, num: str, cat: str, model: DataFrame, stats: tuple[DataFrame, DataFrame], delta: float,
     gamma: float = 1.0,
 ) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
     """Fold a batch of new documents into a model whose old assignments stay.
 
-    All documents are scored against the frozen centroids (m = 2). Claimed ones join their
-    cluster; unclaimed ones open new clusters, one for every distinct category combination
-    among them, numbered after the old clusters. Returns (assignment, new centroids, new statistics).
+    All documents are scored against the frozen centroids (m = 2); claimed ones join their cluster. The
+    unclaimed ones go through leader rounds: the first rows of every category combination, one in the first round
+    and twice as many in each following, open clusters on themselves unless a cluster opened before claims them;
+    then the rest is scored against all clusters, and what is claimed leaves, until no document is left. New clusters are
+    numbered after the old ones as they open. Returns (assignment, new centroids, new statistics).
     """
-    scored = stage(assign(new, model, F.col(num), F.col(cat), 2.0, gamma))
-    claimed = scored.where(F.col("cluster_weight") > delta).select(
-        *new.columns, F.col("soft_cluster").cast("long").alias("cluster"), F.lit(False).alias("is_new")
-    )
-    unclaimed = novel(scored, delta).select(*new.columns)
-    first_free = model.select(F.max("cluster") + 1).scalar().cast("long")
-    opened = with_global_rank(
-        unclaimed.select(F.to_json(cat).alias("_kind")).distinct(), [F.col("_kind")], "_r", start=0
-    ).select("_kind", (first_free + F.col("_r")).alias("cluster"))
-    fresh = unclaimed.withColumn("_kind", F.to_json(cat)).join(opened, "_kind").select(
-        *new.columns, "cluster", F.lit(True).alias("is_new")
-    )
-    assigned = claimed.unionByName(fresh)
+    spark = new.sparkSession
+    table = stage(model.select("cluster", "num", "cat"))
+    frozen = prepared(table)
+    first_free = int(frozen.numbers[-1]) + 1 if len(frozen.numbers) else 0
+    opened: list[tuple] = []
+    claimed, left = [], new.where(F.col(num).isNotNull())
+    several, now = 1, frozen
+    while True:
+        scored = stage(left.withColumn("_m", memberships(F.col(num), F.col(cat), now, 2.0, gamma, 1)[0]))
+        mine = F.col("_m.weight") > delta
+        claimed.append(scored.where(mine).select(
+            *new.columns, F.col("_m.cluster").cast("long").alias("cluster"), (F.col("_m.cluster") >= first_free).alias("is_new")))
+        left = scored.where(~F.coalesce(mine, F.lit(False))).select(*new.columns)
+        order = Window.partitionBy(cat).orderBy(row)
+        candidates = left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= several).orderBy("_r", cat, row).select(num, cat, row).collect()
+        if not candidates:
+            break
+        _open_leaders([(r[0], r[1]) for r in candidates], frozen, opened, first_free, delta, gamma)
+        several *= 2
+        if now is not frozen:
+            now.release()
+        now = _extended(spark, frozen, opened)
+    assigned = claimed[0]
+    for part in claimed[1:]:
+        assigned = assigned.unionByName(part)
     merged = merge_statistics(stats, statistics_of(assigned, "cluster", num, cat))
-    return assigned, centroids_of_statistics(merged, model), merged
+    return assigned, centroids_of_statistics(merged, table), merged
+
+
+def _extended(spark: SparkSession, frozen: Model, opened: list[tuple]) -> Model:
+    more = prepared_rows(spark, opened)
+    return Model(np.concatenate([frozen.numbers, more.numbers]), [*frozen.shared, *more.shared])

@@ -3,14 +3,13 @@ only when its measured size is below the session's threshold."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declara import constants as K
 from declara.functions import text as T
+from declara.operators.names import closest
+from declara.runtime import stage
 
 
 def first_per_key(table: DataFrame, key: str, order: str) -> DataFrame:
@@ -77,77 +76,14 @@ def inside_allowed(predictions: DataFrame, allowed: DataFrame, keys: list[str])
     )
 
 
-def closest_manufacturer(
-    names: DataFrame, name: str, known: DataFrame, known_name: str, block: int = 20_000, similarity: str = "levenshtein"
-) -> DataFrame:
-    """For every distinct name: the known manufacturer itself when listed, else the most
-    similar of all known ones (ties by name). ``similarity`` is "levenshtein" (1 - distance /
-    longer length) or "matching blocks" (twice the common blocks over both lengths, spaces as junk).
-
-    The known names reach the rows in blocks of about ``block`` names, as many as their count
-    asks for, and every row keeps only its best match: no pair of names is ever emitted or shuffled.
-    """
+def closest_manufacturer(names: DataFrame, name: str, known: DataFrame, known_name: str, block: int = 20_000) -> DataFrame:
+    """For every distinct name: the known manufacturer itself when listed, else the most similar of all
+    known ones by Levenshtein similarity, 1 - distance / longer length (ties by name)."""
     cleaned = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    reference = known.select(F.col(known_name).alias("known")).where(F.col("known").isNotNull()).distinct()
-    blocks = max(1, -(-reference.count() // block))
-    exact = cleaned.join(reference, F.col("name") == F.col("known"), "left")
+    reference = stage(known.select(F.col(known_name).alias("known")).where(F.col("known").isNotNull()).distinct())
+    exact = stage(cleaned.join(reference, F.col("name") == F.col("known"), "left"))
     direct = exact.where(F.col("known").isNotNull()).select("name", "known", F.lit(1.0).alias("ratio"))
-    rest = exact.where(F.col("known").isNull()).select("name")
-    parts = [reference.where(F.pmod(F.xxhash64("known"), F.lit(blocks)) == b) for b in range(blocks)]
-    find = _best_levenshtein if similarity == "levenshtein" else _best_matching_blocks
-    matched = find(rest, parts)
-    return direct.unionByName(matched.select("name", F.col("b.known").alias("known"), F.col("b.ratio").alias("ratio")))
-
-
-def _best_levenshtein(rest: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """A fold over the known names; one whose length alone rules it out is not compared."""
-    best = F.struct(F.lit(-1.0).alias("ratio"), F.lit(None).cast("string").alias("known"))
-    none = F.array().cast("array<string>")
-    for b, part in enumerate(parts):
-        listed = part.agg(F.array_sort(F.collect_list("known")).alias("k")).scalar()
-        rest = rest.withColumn(f"_k{b}", F.coalesce(listed, none))
-        best = F.aggregate(f"_k{b}", best, _closer)
-    return rest.select("name", best.alias("b"))
-
-
-def _best_matching_blocks(rest: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Block similarity has no built-in expression, so batches of names go through a pandas UDF."""
-    context = rest.sparkSession.sparkContext
-    found = []
-    for part in parts:
-        listed = [r["known"] for r in part.orderBy("known").collect()]
-        found.append(_matching_blocks(context.broadcast(listed))("name"))
-    placed = rest.select("name", *[f.alias(f"_f{i}") for i, f in enumerate(found)])
-    columns = [F.struct((-F.col(f"_f{i}.ratio")).alias("minus"), F.col(f"_f{i}.known").alias("known")) for i in range(len(found))]
-    best = F.array_min(F.filter(F.array(*columns), lambda x: x["known"].isNotNull()))
-    return placed.select("name", F.struct(best["known"].alias("known"), (-best["minus"]).alias("ratio")).alias("b"))
-
-
-def _matching_blocks(shared):
-    @F.pandas_udf("struct<ratio: double, known: string>")
-    def best(names: pd.Series) -> pd.DataFrame:
-        top, found = [0.0] * len(names), [None] * len(names)
-        matcher = SequenceMatcher(lambda c: c == " ")
-        for candidate in shared.value:
-            matcher.set_seq2(candidate)
-            for i, name in enumerate(names):
-                matcher.set_seq1(name)
-                # The two quick ratios are upper bounds, so a loser is left without the full comparison.
-                if matcher.real_quick_ratio() > top[i] and matcher.quick_ratio() > top[i] and matcher.ratio() > top[i]:
-                    top[i], found[i] = matcher.ratio(), candidate
-        return pd.DataFrame({"ratio": top, "known": found})
-
-    return best
-
-
-def _closer(best: Column, other: Column) -> Column:
-    longer = F.greatest(F.length("name"), F.length(other))
-    reachable = 1 - F.abs(F.length("name") - F.length(other)) / longer
-    ratio = 1 - F.levenshtein(F.col("name"), other) / longer
-    wins = (ratio > best["ratio"]) | ((ratio == best["ratio"]) & (other < best["known"]))
-    return F.when(reachable < best["ratio"], best).when(
-        wins, F.struct(ratio.alias("ratio"), other.alias("known"))
-    ).otherwise(best)
+    return direct.unionByName(closest(exact.where(F.col("known").isNull()).select("name"), reference, block))
 
 
 def keep_known_terms(term_rows: DataFrame, vocabulary: DataFrame, term: str = "term") -> DataFrame:

@@ -113,8 +113,9 @@ def _(t: Tables):
 
 @query("jn_doc_centroid", f"WITH {W.DISTANCES} SELECT vec_id, cluster, round(d, 6) AS d FROM distances")
 def _(t: Tables):
-    d = C.distances(F.col("num"), C.no_categories(), _model(t))
-    return W.vectors(t).select("vec_id", F.posexplode(d).alias("cluster", "d")).select("vec_id", "cluster", r6("d").alias("d"))
+    model = C.prepared(_model(t))
+    d = C.numbered(C.distances(F.col("num"), C.no_categories(), model), model)
+    return W.vectors(t).select("vec_id", F.inline(d)).select("vec_id", "cluster", r6("d").alias("d"))
 
 
 @query("fn_vector_ops", f"""
@@ -182,7 +183,7 @@ weights AS (SELECT vec_id, label, cluster, d, pow(d, -2) / sum(pow(d, -2)) OVER
 @query("ml_soft_weights", f"WITH {WEIGHTS_SQL} SELECT vec_id, cluster, round(w, 6) AS w FROM weights")
 def _(t: Tables):
     df = C.with_memberships(W.vectors(t), _model(t), F.col("num"), C.no_categories())
-    return df.select("vec_id", F.posexplode("weights").alias("cluster", "w")).select("vec_id", "cluster", r6("w").alias("w"))
+    return df.select("vec_id", F.inline("members")).select("vec_id", "cluster", r6("weight").alias("w"))
 
 
 ASSIGN_SQL = WEIGHTS_SQL + """,
@@ -219,9 +220,8 @@ def _(t: Tables):
 WITH {WEIGHTS_SQL}, k AS (SELECT vec_id, cluster, w, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, cluster) AS rank FROM weights QUALIFY rank <= 4)
 SELECT vec_id, cluster, rank, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS proba FROM k""")
 def _(t: Tables):
-    df = C.with_memberships(W.vectors(t), _model(t), F.col("num"), C.no_categories())
-    long = df.select("vec_id", F.posexplode("weights").alias("cluster", "proba"))
-    return C.keep_best(long, "vec_id", 4).select("vec_id", "cluster", "rank", r6("proba").alias("proba"))
+    df = C.with_memberships(W.vectors(t), _model(t), F.col("num"), C.no_categories(), k=4)
+    return C.best_members(df, "vec_id").select("vec_id", "cluster", "rank", r6("proba").alias("proba"))
 
 
 NEAREST_SQL = """

@@ -128,7 +128,7 @@ def _mixed(t: Tables):
 @query("ml_kprototypes")
 def _(t: Tables):
     df = _mixed(t)
-    model = C.k_prototypes(df, "vec_id", "label", 8, max_iter=5)
+    model = C.k_prototypes(df, "vec_id", "label", 10)
     return C.assign(df, model, F.col("num"), F.col("cat")).select("vec_id", "hard_cluster", "soft_cluster", "cluster_weight")
 
 

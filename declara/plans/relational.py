@@ -377,14 +377,6 @@ def _(t: Tables):
     return J.closest_manufacturer(names, "raw", known, "listed").select("name", "known", r6("ratio").alias("ratio"))
 
 
-@query("udf_pandas_scalar")
-def _(t: Tables):
-    """The same look-up with block similarity, which SQL lacks; tested against all pairs."""
-    names = t.supplier.select(F.lower("s_name").alias("raw"))
-    known = t.supplier.where(F.col("s_suppkey") % 3 == 0).select(F.lower("s_name").alias("listed"))
-    return J.closest_manufacturer(names, "raw", known, "listed", similarity="matching blocks")
-
-
 @query("jn_cluster_members", """
 SELECT vec_id, label AS cluster, d.source, d.lang FROM embeddings JOIN documents d ON d.doc_id = vec_id""")
 def _(t: Tables):

@@ -247,8 +247,8 @@ def _(t: Tables):
         F.substring("tdy", 2, 20).cast("long") % 4, F.substring("cdy", 2, 20).cast("long") % 3,
     )
     guesses = _hypotheses(t).join(W.vectors(t).select(F.col("vec_id").alias("file"), "num"), "file")
-    weighed = C.with_memberships(guesses.select("file", "prior", "num", codes.alias("cat")), model, F.col("num"), F.col("cat"), 1.25)
-    return C.mix_memberships(weighed, "file", "prior", "weights", 5).select("file", "cluster", r6("proba").alias("proba"))
+    mixed = C.mix_memberships(guesses.select("file", "prior", "num", codes.alias("cat")), "file", "prior", "num", "cat", model, 5)
+    return mixed.select("file", "cluster", r6("proba").alias("proba"))
 
 
 # -- evaluation --------------------------------------------------------------------------------

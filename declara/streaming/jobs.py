@@ -63,10 +63,11 @@ def score_novelty(
 ) -> StreamingQuery:
     """Each batch is scored against one frozen version of the centroids: assignments with a novelty
     flag go to ``assigned`` and the batch's sufficient statistics to ``sums`` and ``cells``, from which
-    ``next_version`` builds the following centroid table."""
+    ``next_version`` builds the following centroid table. The centroids are fetched once, before the first batch."""
+    frozen = C.prepared(model)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        scored = C.assign(batch, model, F.col(num), F.col(cat), 2.0, gamma).withColumn("is_new", F.col("cluster_weight") <= delta)
+        scored = C.assign(batch, frozen, F.col(num), F.col(cat), 2.0, gamma).withColumn("is_new", F.col("cluster_weight") <= delta)
         scored.write.mode("overwrite").parquet(f"{sink}/assigned/batch={batch_id}")
         claimed = batch.sparkSession.read.parquet(f"{sink}/assigned/batch={batch_id}").where(~F.col("is_new"))
         sums, cells = C.statistics_of(claimed, "soft_cluster", num, cat)

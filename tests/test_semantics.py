@@ -225,21 +225,51 @@ def test_closest_manufacturer_against_all_pairs(spark):
             assert got[a][0] == want and abs(got[a][1] - best) < 1e-12
 
 
-def test_block_similarity_against_all_pairs(spark):
-    from difflib import SequenceMatcher
+def test_names_of_all_lengths_against_all_pairs(spark, monkeypatch):
+    from declara.operators import names as N
 
     rng = random.Random(2)
-    make = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(2, 7)))
-    names, known = sorted({make() for _ in range(30)}), sorted({make() for _ in range(25)})
-    n = spark.createDataFrame([(x,) for x in names], "n string")
-    k = spark.createDataFrame([(x,) for x in known], "k string")
-    for block in (20_000, 9):
-        got = {r["name"]: (r["known"], r["ratio"]) for r in J.closest_manufacturer(n, "n", k, "k", block, "matching blocks").collect()}
-        for a in names:
-            scores = {b: SequenceMatcher(lambda c: c == " ", a, b).ratio() for b in known}
-            best = 1.0 if a in known else max(scores.values())
-            want = a if a in known else (min(b for b in known if scores[b] == best) if best > 0 else None)
-            assert got[a][0] == want and (want is None or got[a][1] == best)
+    make = lambda n: "".join(rng.choice("abcdé -") for _ in range(n))
+    known = {make(rng.randrange(1, 60)) for _ in range(150)} | {"zz", ""}
+    names = {make(rng.randrange(0, 70)) for _ in range(60)} | {"zz", "qqq", "q", ""}
+    names |= {k[:-2] + "x" for k in list(known)[:30]}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    assert all(N.edit_distance(a, b) == distance(a, b) for a in list(names)[:25] for b in list(known)[:40])
+    index = N.Index(list(known))
+    for a in names:
+        assert all(low <= distance(a, b) for low, b in zip(index.least_distances(a), index.known))
+    monkeypatch.setattr(N, "SLICE", 11)
+    n, k = spark.createDataFrame([(x,) for x in names], "n string"), spark.createDataFrame([(x,) for x in known], "k string")
+    got = {r["name"]: (r["known"], r["ratio"]) for r in J.closest_manufacturer(n, "n", k, "k", 13).collect()}
+    for a in names:
+        want = min((-(1 - distance(a, b) / max(len(a), len(b), 1)), b) for b in known)
+        assert got[a] == (want[1], -want[0]), a
+    few = spark.createDataFrame([("a",)], "n string")
+    assert J.closest_manufacturer(few, "n", k.limit(0), "k").count() == 0
+
+
+def test_candidates_are_few():
+    """The index leaves a small part of the known names to compare."""
+    from declara.operators import names as N
+
+    rng = random.Random(3)
+    index = N.Index(sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(2000)}))
+    compared = []
+    real, N.edit_distance = N.edit_distance, lambda a, b: compared.append(1) or real(a, b)
+    try:
+        for k in index.known[::40]:
+            assert index.closest(k[:5] + "-" + k[6:])[1] == k
+    finally:
+        N.edit_distance = real
+    assert len(compared) < 2 * 50
 
 
 def test_oversampling_gives_n_plus_one_copies(spark):
@@ -300,7 +330,7 @@ def test_distances_in_blocks(spark, monkeypatch):
     model = spark.createDataFrame(centres, "cluster int, num array<double>, cat array<bigint>")
     want = np.array([[((x - num[j]) ** 2).sum() + 0.5 * (c != cat[j]).sum() for j in range(5)] for x, c in zip(num, cat)])
     for block in (8_000_000, 10):
-        monkeypatch.setattr(C, "MODEL_BLOCK_VALUES", block)
+        monkeypatch.setattr(C.assignment, "MODEL_BLOCK_VALUES", block)
         got = df.select("i", C.distances(F.col("num"), F.col("cat"), model, 0.5).alias("d"),
                         C.nearest(F.col("num"), F.col("cat"), model, 0.5)["cluster"].alias("c")).collect()
         for r in got:
@@ -387,6 +417,90 @@ def test_cluster_numbers_with_gaps_and_missing_vectors(spark):
     assert (found[0].cluster, found[1], found[2].cluster, found[3].cluster) == (4, None, 9, 1)
 
 
+def test_assigned_numbers_with_gaps(spark, monkeypatch):
+    from declara.operators import clusters as C
+
+    monkeypatch.setattr(C.assignment, "MODEL_BLOCK_VALUES", 3)  # a block per cluster
+    model = spark.createDataFrame([(1, [0.0, 0.0], [1]), (4, [5.0, 5.0], [1]), (9, [9.0, 0.0], [1])], "cluster int, num array<double>, cat array<long>")
+    rows = spark.createDataFrame([(0, [5.0, 4.0], [1]), (1, None, [1]), (2, [9.0, 1.0], [1]), (3, [0.0, 0.0], [1])], "i int, num array<double>, cat array<long>")
+    found = {r.i: r for r in C.assign(rows, model, F.col("num"), F.col("cat")).collect()}
+    assert [found[i].hard_cluster for i in range(4)] == [found[i].soft_cluster for i in range(4)] == [4, None, 9, 1]
+    assert found[3].cluster_weight == 1.0 and found[1].cluster_weight is None
+    ready = C.prepared(model)
+    both = rows.select("i", C.numbered(C.distances(F.col("num"), F.col("cat"), ready), ready).alias("d"), C.memberships(F.col("num"), F.col("cat"), ready, k=2).alias("m"))
+    got = {r.i: r for r in both.collect()}
+    assert [x.cluster for x in got[0].d] == [1, 4, 9] and got[0].d[1].d == 1.0 and [x.cluster for x in got[2].m] == [9, 4] and got[1].m is None
+
+
+def test_memberships_and_pruning_equal_full_tables(monkeypatch):
+    """Pieces, running sums and skipped pieces against the whole matrix of distances."""
+    from declara.operators import assignment as A
+
+    draw = np.random.default_rng(3)
+    spots = draw.normal(size=(12, 5)) * 40
+    centres = np.concatenate([s + draw.normal(size=(20, 5)) for s in spots])
+    codes, numbers = draw.integers(0, 3, (240, 2)), np.arange(240, dtype=np.int32) * 3 + 1
+    x, mine = np.concatenate([centres[:30], draw.normal(size=(300, 5)) * 40]), draw.integers(0, 3, (330, 2))
+    mine[:15] = codes[:15]
+    whole = A.Piece(centres, codes, numbers, np.arange(240), centres.mean(axis=0), 1e9)
+    full = A.mixed(x, mine, whole, 0.7)
+    monkeypatch.setattr(A, "PIECE", 16)
+    pieces = A.cut(centres, codes, numbers)
+    assert len(pieces) >= 15 and sorted(np.concatenate([p.places for p in pieces])) == list(range(240))
+    calls, real = [], A.mixed
+    monkeypatch.setattr(A, "mixed", lambda a, *rest: calls.append(len(a)) or real(a, *rest))
+    d, who = A.best(x, mine, pieces, 0.7)
+    assert np.allclose(d, full.min(axis=1)) and (who == numbers[full.argmin(axis=1)]).all() and sum(calls) < 330 * len(pieces)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inverse = np.where((full == 0).any(axis=1, keepdims=True), (full == 0).astype(float), full ** -8.0)
+    weights = inverse / inverse.sum(axis=1, keepdims=True)
+    top, w = A.members(x, mine, pieces, 0.7, 1.25, 7)
+    order = np.lexsort((np.broadcast_to(numbers, full.shape), full), axis=-1)[:, :7]
+    assert (top == numbers[order]).all() and np.allclose(w, np.take_along_axis(weights, order, axis=1), rtol=1e-9)
+
+
+def test_incremental_update_opens_clusters_in_leader_rounds(spark):
+    """Far-apart documents of one combination get clusters of their own; the same rounds in plain Python."""
+    from declara.operators import clusters as C
+
+    draw = np.random.default_rng(11)
+    spots = [(60.0, 0.0), (60.0, 40.0), (-50.0, 30.0), (90.0, -70.0)]
+    old = [(i, draw.normal(size=2).tolist(), [i % 2]) for i in range(20)]
+    new = [(100 + i, (np.array(spots[i % 4]) + draw.normal(size=2) * 0.1).tolist(), [1]) for i in range(24)] + [(130, [0.0, 0.1], [0]), (131, [300.0, 300.0], [0])]
+    schema = "row long, num array<double>, cat array<long>"
+    olds, news = spark.createDataFrame(old, schema).withColumn("fam", F.col("row") % 2), spark.createDataFrame(new, schema).repartition(4)
+    model = C.centroid_table(olds, "fam", "num", "cat")
+    assigned, centroids, _ = C.incremental_update(news, "row", "num", "cat", model, C.statistics_of(olds, "fam", "num", "cat"), 0.97)
+    got = {r["row"]: r["cluster"] for r in assigned.collect()}
+
+    clusters = [(r["cluster"], r["num"], r["cat"]) for r in model.collect()]
+
+    def weight(num, cat):
+        d = [((np.array(num) - c) ** 2).sum() + (cat != k) for _, c, k in clusters]
+        w = np.array([float(v == 0) for v in d]) if min(d) == 0 else 1 / np.array(d) ** 2
+        at = int(w.argmax())
+        return w[at] / w.sum(), clusters[at][0]
+
+    want, left, several = {}, sorted(new), 1
+    while left:
+        scored = [(r, *weight(r[1], r[2])) for r in left]
+        want |= {r[0]: c for r, w, c in scored if w > 0.97}
+        left = [r for r, w, _ in scored if w <= 0.97]
+        ranks, candidates = {}, []
+        for r in left:
+            ranks[tuple(r[2])] = ranks.get(tuple(r[2]), 0) + 1
+            if ranks[tuple(r[2])] <= several:
+                candidates.append((ranks[tuple(r[2])], r[2], r[0], r))
+        for *_, r in sorted(candidates):
+            if weight(r[1], r[2])[0] <= 0.97:
+                clusters.append((clusters[-1][0] + 1 if len(clusters) > 2 else 2, r[1], r[2]))
+        several *= 2
+    assert got == want and len({got[100 + i] for i in range(24)}) >= 4
+    sizes = {r["cluster"]: r["n"] for r in centroids.collect()}
+    for c in set(want.values()):
+        assert sizes[c] == list(want.values()).count(c) + (10 if c < 2 else 0)
+
+
 def test_zero_vectors_do_not_divide(spark):
     from declara.functions import vectors as V
 
