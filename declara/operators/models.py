@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from declara.functions import vectors as V
+from declara.operators import linear as L
 from declara.operators.encode import hash_bucket, stratified_folds
 from declara.operators.quantiles import quantile_column
 from declara.runtime import stage
@@ -154,57 +155,25 @@ def _balanced(df: DataFrame, target: Column) -> DataFrame:
     return marked.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def _classes(df: DataFrame, label: str) -> list:
-    """The classes: one binary model each, so their number is bounded by what can be trained."""
-    return [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-
-
-def svm_scores(train: DataFrame, df: DataFrame, row: str, label: str, num: str, max_iter: int = 10) -> DataFrame:
-    """(row, class, score): margins of one balanced linear SVM per class."""
-    fitted = _features(train, num).select(label, "features").persist()  # one fit per class reads it
-    scored = _features(df, num).select(row, "features")
-    columns = []
-    for i, c in enumerate(_classes(fitted, label)):
-        side = _balanced(fitted, F.col(label) == F.lit(c))
-        model = LinearSVC(labelCol="y", weightCol="w", maxIter=max_iter, regParam=0.01, rawPredictionCol=f"r{i}", predictionCol=f"p{i}").fit(side)
-        scored = model.transform(scored).drop(f"p{i}")
-        columns.append(F.struct(F.lit(c).alias("class"), vector_to_array(f"r{i}")[1].alias("score")))
-    fitted.unpersist()
-    return scored.select(row, F.inline(F.array(*columns)))
+def svm_scores(train: DataFrame, df: DataFrame, row: str, label: str, num: str, passes: int = 60) -> DataFrame:
+    """(row, class, score): margins of balanced linear SVMs, one per class, fitted together."""
+    classes = L.class_list(train, F.col(label))
+    model = L.fit(stage(L.prepared(train, row, num, label, classes)), classes, passes=passes)
+    return L.scores(L.prepared(df, row, num, None, classes), row, model, train.schema[label].dataType)
 
 
 def calibrated_svm(
-    train: DataFrame, df: DataFrame, row: str, label: str, num: str, folds: int = 3, how: str = "isotonic", max_iter: int = 10
+    train: DataFrame, df: DataFrame, row: str, label: str, num: str, folds: int = 3, how: str = "isotonic", passes: int = 60
 ) -> DataFrame:
     """(row, class, proba): SVM margins turned into probabilities on held-out folds, by isotonic or
-    sigmoid regression per class, averaged over the folds and scaled to sum 1 per row."""
-    split = stage(stratified_folds(train, [label], row, folds))
-    parts = []
-    for f in range(folds):
-        fit, held = split.where(F.col("fold") != f), split.where(F.col("fold") == f)
-        both = svm_scores(fit, held.select(row, num).withColumn("_h", F.lit(1)).unionByName(df.select(row, num).withColumn("_h", F.lit(0)))
-                          .withColumn("_id", F.struct("_h", row)), "_id", label, num, max_iter)
-        scores = stage(both.select(F.col("_id._h").alias("_h"), F.col(f"_id.{row}").alias(row), "class", "score"))
-        truth = scores.where(F.col("_h") == 1).join(held.select(row, F.col(label).alias("_t")), row).withColumn(
-            "y", (F.col("class") == F.col("_t")).cast("double"))
-        target = scores.where(F.col("_h") == 0)
-        parts += [_calibrate(truth.where(F.col("class") == F.lit(c)), target.where(F.col("class") == F.lit(c)), row, how)
-                  for c in _classes(fit, label)]
-    summed = reduce(DataFrame.unionByName, parts).groupBy(row, "class").agg((F.sum("p") / folds).alias("p"))
-    total = summed.groupBy(row).agg(F.sum("p").alias("_s"), F.count("*").alias("_k"))
-    return summed.join(total, row).select(
-        row, "class", F.when(F.col("_s") > 0, F.col("p") / F.col("_s")).otherwise(1 / F.col("_k")).alias("proba")
-    )
-
-
-def _calibrate(truth: DataFrame, target: DataFrame, row: str, how: str) -> DataFrame:
-    as_vector = array_to_vector(F.array("score"))
-    truth, target = truth.withColumn("v", as_vector), target.withColumn("v", as_vector)
-    if how == "isotonic":
-        model = IsotonicRegression(featuresCol="v", labelCol="y", predictionCol="p").fit(truth)
-        return model.transform(target).select(row, "class", "p")
-    model = LogisticRegression(featuresCol="v", labelCol="y", maxIter=20).fit(truth)
-    return model.transform(target).select(row, "class", vector_to_array("probability")[1].alias("p"))
+    sigmoid regression per class, averaged over the folds and scaled to sum 1 per row. All classes
+    and folds are columns of one fit."""
+    classes = L.class_list(train, F.col(label))
+    split = stratified_folds(train, [label], row, folds)
+    data = stage(L.prepared(split, row, num, label, classes, "fold"))
+    model = L.fit(data, classes, folds, passes=passes)
+    curves = L.isotonic(L.held_out(data, model)) if how == "isotonic" else L.sigmoid(data, model)
+    return L.probabilities(L.prepared(df, row, num, None, classes), row, model, curves, train.schema[label].dataType)
 
 
 def ordinal(train: DataFrame, df: DataFrame, row: str, level: str, num: str, levels: int, max_iter: int = 10) -> DataFrame:
@@ -223,18 +192,11 @@ def ordinal(train: DataFrame, df: DataFrame, row: str, level: str, num: str, lev
     return scored.select(row, F.posexplode(F.array(*probas)).alias("level", "proba"))
 
 
-def one_vs_rest_labels(train: DataFrame, df: DataFrame, row: str, labels: str, num: str, max_iter: int = 10) -> DataFrame:
-    """(row, label, score): one linear SVM per label of a label-set column."""
-    fitted, scored = _features(train, num).select(labels, "features").persist(), _features(df, num).select(row, "features")
-    names = [r[0] for r in fitted.select(F.explode(labels).alias("l")).distinct().orderBy("l").collect()]
-    columns = []
-    for i, name in enumerate(names):
-        side = _balanced(fitted, F.array_contains(labels, name))
-        model = LinearSVC(labelCol="y", weightCol="w", maxIter=max_iter, regParam=0.01, rawPredictionCol=f"r{i}", predictionCol=f"p{i}").fit(side)
-        scored = model.transform(scored).drop(f"p{i}")
-        columns.append(F.struct(F.lit(name).alias("label"), vector_to_array(f"r{i}")[1].alias("score")))
-    fitted.unpersist()
-    return scored.select(row, F.inline(F.array(*columns)))
+def one_vs_rest_labels(train: DataFrame, df: DataFrame, row: str, labels: str, num: str, passes: int = 60) -> DataFrame:
+    """(row, label, score): linear SVMs of a label-set column, one per label, fitted together."""
+    names = L.class_list(train, F.explode(labels))
+    model = L.fit(stage(L.prepared(train, row, num, labels, names)), names, passes=passes)
+    return L.scores(L.prepared(df, row, num, None, names), row, model, train.schema[labels].dataType.elementType, "label")
 
 
 def classifier_chains(
@@ -264,22 +226,24 @@ def classifier_chains(
 
 def compare_baselines(df: DataFrame, row: str, label: str, num: str, folds: int = 3) -> DataFrame:
     """Mean accuracy of naive Bayes, logistic regression and linear SVM over stratified folds."""
-    codes = {c: float(i) for i, c in enumerate(_classes(df, label))}
-    pairs = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    spark = df.sparkSession
+    codes = spark.createDataFrame([(c, float(i)) for i, c in enumerate(L.class_list(df, F.col(label)))], StructType(
+        [StructField("_class", df.schema[label].dataType), StructField("y", DoubleType())]))
     lowest = df.select(F.min(F.array_min(num))).scalar()
     # Naive Bayes needs non-negative features; a common shift keeps the others unaffected.
-    shifted = df.withColumn("_lo", lowest).withColumn("_n", F.transform(num, lambda x: x - F.col("_lo")))
-    data = stage(stratified_folds(_features(shifted, "_n").withColumn("y", F.element_at(pairs, F.col(label))).drop("_lo"), [label], row, folds))
+    shifted = df.withColumn("_lo", lowest).withColumn("_n", F.transform(num, lambda x: x - F.col("_lo"))).drop("_lo")
+    coded = _features(shifted, "_n").join(codes, F.col(label) == F.col("_class")).drop("_class")
+    data = stage(stratified_folds(coded, [label], row, folds))
     measure = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     out = []
     for f in range(folds):
         fit, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         for name, learner in (("naive bayes", NaiveBayes(labelCol="y")), ("logistic regression", LogisticRegression(labelCol="y", maxIter=10))):
             out.append((name, f, float(measure.evaluate(learner.fit(fit).transform(held)))))
-        best = svm_scores(fit, held, row, label, num, 5).groupBy(row).agg(F.max_by("class", "score").alias("p"))
+        best = svm_scores(fit, held, row, label, num).groupBy(row).agg(F.max_by("class", "score").alias("p"))
         right = best.join(held.select(row, label), row).select(F.avg((F.col("p") == F.col(label)).cast("double")))
         out.append(("linear svm", f, float(right.first()[0])))
-    table = df.sparkSession.createDataFrame(out, "model string, fold int, accuracy double")
+    table = spark.createDataFrame(out, "model string, fold int, accuracy double")
     return table.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("folds"))
 
 

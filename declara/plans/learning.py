@@ -72,7 +72,7 @@ def _(t: Tables):
     weights = L.distribution(vectors, "doc_id", model)
     data = stage(weights.join(t.documents.select("doc_id", "lang", F.md5("text").alias("text")), "doc_id"))
     train, test = M.split_rows(data, "text")
-    scores = M.svm_scores(train, test, "doc_id", "lang", "weights", 5)
+    scores = M.svm_scores(train, test, "doc_id", "lang", "weights")
     best = scores.groupBy("doc_id").agg(F.max_by("class", "score").alias("predicted")).join(test.select("doc_id", "lang"), "doc_id")
     return EV.summary(best, "lang", "predicted").select("n", "accuracy", "balanced_accuracy")
 
@@ -149,19 +149,19 @@ def _(t: Tables):
 
 @query("ml_svm_calibrated")
 def _(t: Tables):
-    train, test = M.split_rows(W.vectors(t).withColumn("class", F.col("label") % 3), "vec_id")
-    return M.calibrated_svm(train, test, "vec_id", "class", "num", 2, "isotonic", 5)
+    train, test = M.split_rows(W.vectors(t), "vec_id")
+    return M.calibrated_svm(train, test, "vec_id", "label", "num", how="isotonic")
 
 
 @query("ml_svm_platt")
 def _(t: Tables):
-    train, test = M.split_rows(W.vectors(t).withColumn("class", F.col("label") % 3), "vec_id")
-    return M.calibrated_svm(train, test, "vec_id", "class", "num", 2, "sigmoid", 5)
+    train, test = M.split_rows(W.vectors(t), "vec_id")
+    return M.calibrated_svm(train, test, "vec_id", "label", "num", how="sigmoid")
 
 
 @query("ml_baseline_classifiers")
 def _(t: Tables):
-    return M.compare_baselines(W.vectors(t).withColumn("class", F.col("label") % 3), "vec_id", "class", "num", 2)
+    return M.compare_baselines(W.vectors(t), "vec_id", "label", "num")
 
 
 @query("ml_ordinal")
@@ -178,7 +178,7 @@ def _label_sets(t: Tables):
 @query("ml_ovr_multilabel")
 def _(t: Tables):
     train, test = M.split_rows(_label_sets(t), "vec_id")
-    return M.one_vs_rest_labels(train, test, "vec_id", "labels", "num", 5)
+    return M.one_vs_rest_labels(train, test, "vec_id", "labels", "num")
 
 
 @query("ml_classifier_chain")
