@@ -3,11 +3,16 @@
 White space becomes the vocabulary's space mark, so a text's lattice falls apart at marks that
 follow another character: no piece crosses them. In each part forward Viterbi gives the best score
 from its start to every place, and the second best; with these as exact heuristics a backward A-star search pops
-complete segmentations in the order of their scores, one at a time and only as many as are asked for. The text's
+complete segmentations in the order of their scores. A place is expanded once for each segmentation asked for at
+most, paths are linked cells, and the pieces that end at a place are looked up when it is popped, so a part
+costs time in proportion to its length even where all scores are tied, as in a line of dashes. The text's
 N best are then merged from its parts: each alternative is worth its loss against the part's best,
 and a best-first search over the parts whose second best loses least yields the least total losses.
 
-Characters without a piece are encoded as their bytes; equal scores are ordered by the pieces' ids.
+Scores are whole multiples of 2^-30, so that sums are exact and ties are ties. Of several best segmentations
+the one with the longer piece, looking from the end of a part, comes first; later ties come in the order of the search,
+which depends on the part alone. Characters without a piece are encoded as their
+bytes, each of which scores below every piece of the vocabulary.
 One scan, no shuffle; a worker keeps the parts it has met in a table of bounded size. Null and empty texts
 have one empty segmentation.
 """
@@ -28,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-BYTE_SCORE = -100_000.0  # of a byte piece, below that of any piece of the vocabulary
-TIE = 1e-6  # scores that close may be in another order when they are summed from the other end
+UNIT = 1 << 30  # scores are kept as whole numbers of 1 / UNIT
+BELOW = 10  # how far a byte lies below the least score of the vocabulary
 KEPT = 16_000_000  # characters of parts, and 24 for each part, that a worker remembers before it starts anew
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -49,7 +54,9 @@ class Pieces:
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if model.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.score = [float(model.get_score(i)) for i in range(size)]
+        self.score = [round(model.get_score(i) * UNIT) for i in range(size)]
+        self.byte_score = min(self.score[i] for i in self.id.values()) - BELOW * UNIT
+        self.lengths = sorted({len(t) for t in self.id} | {1}, reverse=True)
         # what a piece stands for; an ASCII byte is a character by itself
         self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else t.replace(MARK, " ") for i, t in enumerate(self.text)]
         self.is_wide = np.isin(np.arange(size), [i for i, b in self.value.items() if b >= 128])
@@ -58,80 +65,93 @@ class Pieces:
             self.ends.add_word(t, (len(t), self.score[i], (i,)))
         ascii = {chr(b): i for b, i in self.byte.items() if b < 128 and chr(b) not in self.id}
         for t, i in ascii.items():
-            self.ends.add_word(t, (1, BYTE_SCORE, (i,)))
+            self.ends.add_word(t, (1, self.byte_score, (i,)))
+        self.found = {t: (len(t), self.score[i], (i,)) for t, i in self.id.items()} | {t: (1, self.byte_score, (i,)) for t, i in ascii.items()}
         self.single = {t for t in self.id if len(t) == 1} | ascii.keys()
         self.ends.make_automaton()
         self.known: dict[str, tuple] = {}
         self.held = 0
 
-    def lattice(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """For every place the pieces that end there, (start, score, ids), and the best score up to it."""
-        arcs, forward = [[] for _ in range(len(part) + 1)], [0.0] + [-math.inf] * len(part)
-
-        def spell(place):
-            ids = tuple(self.byte[b] for b in part[place].encode("utf-8", "surrogatepass"))
-            x = BYTE_SCORE * len(ids)
-            arcs[place + 1].append((place, x, ids))
-            forward[place + 1] = max(forward[place + 1], forward[place] + x)
-
-        spelled = [] if self.single.issuperset(part) else [i for i, c in enumerate(part) if c not in self.single]
-        done, upto = 0, spelled[0] if spelled else math.inf
-        for last, (length, x, ids) in self.ends.iter(part):
-            while upto <= last:  # whatever ends before a piece's last character is added before it
-                spell(upto)
+    def spelled(self, character: str) -> tuple[int, int, tuple[int, ...]]:
+        """A character without a piece as its bytes."""
+        ids = tuple(self.byte[b] for b in character.encode("utf-8", "surrogatepass"))
+        return 1, self.byte_score * len(ids), ids
+
+    def arcs(self, part: str):
+        """(end, piece) of every piece in the part, by end, the longest first; a piece is (length, score, ids)."""
+        if self.single.issuperset(part):
+            return ((last + 1, piece) for last, piece in self.ends.iter(part))
+        return self.arcs_with_bytes(part)
+
+    def arcs_with_bytes(self, part: str):
+        done = 0
+        for last, piece in self.ends.iter(part):
+            while done <= last:  # whatever ends before a piece's last character comes before it
+                if part[done] not in self.single:
+                    yield done + 1, self.spelled(part[done])
                 done += 1
-                upto = spelled[done] if done < len(spelled) else math.inf
-            end = last + 1
-            start = end - length
-            arcs[end].append((start, x, ids))
-            total = forward[start] + x
+            yield last + 1, piece
+        for place in range(done, len(part)):
+            if part[place] not in self.single:
+                yield place + 1, self.spelled(part[place])
+
+    def ending(self, part: str, end: int):
+        """The pieces that end at a place, longest first."""
+        for length in self.lengths:
+            if length <= end and (piece := self.found.get(part[end - length : end])):
+                yield piece
+        if part[end - 1] not in self.single:
+            yield self.spelled(part[end - 1])
+
+    def nbest(self, part: str, n: int):
+        """The ``n`` best segmentations (score, ids) of a part, best first."""
+        forward: list = [0, *[-math.inf] * len(part)]
+        for end, (length, x, _) in self.arcs(part):
+            total = forward[end - length] + x
             if total > forward[end]:
                 forward[end] = total
-        for place in spelled[done:]:
-            spell(place)
-        return arcs, forward
-
-    def nbest(self, part: str):
-        """Segmentations (score, ids) of a part, best first."""
-        arcs, forward = self.lattice(part)
         push, pop = heapq.heappush, heapq.heappop
-        heap = [(-forward[-1], (), len(part), 0.0)]
+        heap, made, popped = [(-forward[-1], len(part), 0, 0, None)], 0, {}
         while heap:
-            total, ids, place, behind = pop(heap)
+            total, place, _, behind, path = pop(heap)
             if place == 0:
-                yield -total, ids
+                ids: list[int] = []
+                while path:
+                    piece, path = path
+                    ids.extend(piece)
+                yield -total, tuple(ids)
+                continue
+            popped[place] = popped.get(place, 0) + 1
+            if popped[place] > n:  # n better ways from here to the end are known
                 continue
-            for start, x, piece in arcs[place]:
-                push(heap, (-(forward[start] + x + behind), piece + ids, start, behind + x))
-
-    def margin(self, part: str) -> tuple[float, tuple[int, ...], float]:
-        """The best score of a part, its ids, and what the second best loses (infinite without one)."""
-        if self.single.issuperset(part):  # one forward pass for the two best scores up to every place
-            first, second, back = [0.0] + [-math.inf] * len(part), [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
-            for last, piece in self.ends.iter(part):
-                length, x, _ = piece
-                end = last + 1
-                start = end - length
-                total, best = first[start] + x, first[end]
-                if total > best:
-                    other = second[start] + x
-                    second[end] = other if other > best else best
-                    first[end] = total
-                    back[end] = piece
-                elif total > second[end]:
-                    second[end] = total
-            if (loss := first[-1] - second[-1]) > TIE:
-                ids, place = (), len(part)
-                while place:
-                    length, _, piece = back[place]
-                    ids, place = piece + ids, place - length
-                return first[-1], ids, loss
-        search = self.nbest(part)
-        score, ids = next(search)
-        following = next(search, None)
-        return score, ids, score - following[0] if following else math.inf
-
-    def best(self, part: str) -> tuple[float, tuple[int, ...], float]:
+            for length, x, piece in self.ending(part, place):
+                made += 1
+                start = place - length
+                push(heap, (-(forward[start] + x + behind), start, made, behind + x, (piece, path)))
+
+    def margin(self, part: str) -> tuple[int, tuple[int, ...], float]:
+        """The best score of a part, its ids, and what the second best loses (infinite without one), from
+        one forward pass for the two best scores up to every place."""
+        first, second, back = [0, *[-math.inf] * len(part)], [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
+        for end, piece in self.arcs(part):
+            length, x, _ = piece
+            start = end - length
+            total, best = first[start] + x, first[end]
+            if total > best:
+                other = second[start] + x
+                second[end] = other if other > best else best
+                first[end] = total
+                back[end] = piece
+            elif total > second[end]:
+                second[end] = total
+        pieces, place = [], len(part)
+        while place:
+            length, _, ids = back[place]
+            pieces.append(ids)
+            place -= length
+        return first[-1], tuple(chain.from_iterable(reversed(pieces))), first[-1] - second[-1]
+
+    def best(self, part: str) -> tuple[int, tuple[int, ...], float]:
         """``margin`` of a part, from the table of known ones if it is there."""
         found = self.known.get(part)
         if found is None:
@@ -154,17 +174,17 @@ class Pieces:
         if not all(found):
             found = [f or self.best(p) for p, f in zip(parts, found)]
         scores, best, losses = zip(*found)
-        ids, total = array("I", chain.from_iterable(best)), float(sum(scores))
+        ids, total = array("I", chain.from_iterable(best)), sum(scores)
         # only the parts whose second best loses least can take part in the n best
         near = heapq.nsmallest(n - 1, zip(losses, range(len(parts)))) if n > 1 else []
         near = [i for loss, i in near if loss < math.inf]
         ends = list(accumulate(map(len, best))) if near else []
         options = []
         for i in near:
-            listed = list(islice(self.nbest(parts[i]), n))
+            listed = list(islice(self.nbest(parts[i], n), n))
             options.append([(listed[0][0] - s, found) for s, found in listed])
         out = []
-        heap = [(0.0, (0,) * len(options))]
+        heap = [(0, (0,) * len(options))]
         met = {heap[0][1]}
         while heap and len(out) < n:
             loss, choice = heapq.heappop(heap)
@@ -172,7 +192,7 @@ class Pieces:
             for i, o, c in sorted(zip(near, options, choice), key=lambda x: -x[0]):  # from the back, so that places hold
                 if c:
                     chosen = chosen[: ends[i] - len(best[i])] + array("I", o[c][1]) + chosen[ends[i] :]
-            out.append((total - loss, chosen))
+            out.append(((total - loss) / UNIT, chosen))
             for k, o in enumerate(options):
                 if choice[k] + 1 < len(o):
                     other = (*choice[:k], choice[k] + 1, *choice[k + 1 :])

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -458,37 +459,83 @@ def test_token_counts_of_odd_rows(spark, odd):
 # SentencePiece
 
 
-def test_nbest_matches_all_segmentations():
+def all_segmentations(part):
+    """(score, ids) of every way through the lattice, read from the model itself: best first, then the longer last pieces."""
     import public_tokenizers
+    import sentencepiece
 
-    pieces = sentencepiece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    least = min(model.get_score(i) for i in plain.values())
 
-    def every(part):
-        arcs = pieces.lattice(part)[0]
+    def ways(rest):
+        if not rest:
+            yield Fraction(0), (), ()
+        for length in range(1, len(rest) + 1):
+            piece, before = rest[-length:], rest[:-length]
+            if piece in plain:
+                x, ids = Fraction(model.get_score(plain[piece])), (plain[piece],)
+            elif length == 1:
+                ids = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in piece.encode())
+                x = Fraction(least - 10) * len(ids)
+            else:
+                continue
+            yield from ((s + x, (-length, *key), (*i, *ids)) for s, key, i in ways(before))
 
-        def to(place):
-            return [(0.0, ())] if not place else [(s + x, i + ids) for start, x, ids in arcs[place] for s, i in to(start)]
+    return [(float(s), ids) for s, _, ids in sorted(ways(part), key=lambda w: (-w[0], w[1]))]
 
-        return sorted((s for s, _ in to(len(part))), reverse=True)
 
-    for text in ("the theory", "a  bé", "x"):
-        got = [s for s, _ in pieces.segment(text, 4)]
-        assert got == pytest.approx(every("▁" + text.replace(" ", "▁"))[: len(got)])
-        assert all(pieces.decode(ids) == text for _, ids in pieces.segment(text, 4))
-    assert pieces.segment("", 3) == [(0.0, [])]
+@pytest.fixture(scope="module")
+def sentence_pieces():
+    import public_tokenizers
 
+    return sentencepiece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+PARTS = ("▁the", "▁theory", "▁a\nb", "▁\x00", "▁aaaaaaa", "▁żółw", "▁𐍈x", "▁", "▁▁▁▁", "------", "..\x7f..", "====ab", "▁ababab")
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_nbest_matches_all_segmentations(sentence_pieces, part):
+    want = all_segmentations(part)
+    for n in (1, 3, 7):
+        got = list(sentence_pieces.nbest(part, n))
+        assert len(got) >= min(n, len(want))
+        assert got == list(sentence_pieces.nbest(part, n)) and len(set(ids for _, ids in got[:n])) == min(n, len(want))
+        assert got[0][1] == want[0][1] and all((s / sentencepiece_nbest.UNIT, ids) in want for s, ids in got)
+        assert [s / sentencepiece_nbest.UNIT for s, _ in got[:n]] == [s for s, _ in want[:n]]
+    best, ids, loss = sentence_pieces.margin(part)
+    assert ids == want[0][1] and loss / sentencepiece_nbest.UNIT == (pytest.approx(want[0][0] - want[1][0], abs=1e-6) if len(want) > 1 else math.inf)
+
+
+def test_nbest_of_texts(sentence_pieces):
+    for text in ("the theory", "a  bé", "x", "a b"):
+        part = "▁" + text.replace(" ", "▁")
+        got = sentence_pieces.segment(text, 4)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in all_segmentations(part)[: len(got)]])
+    for text in ("the theory", "a\nb\n", "\u20ac\n𐍈 x", "  two  ", "\x7f\x80é\n", "▁"):
+        assert all(sentence_pieces.decode(ids) == text.replace("▁", " ") for _, ids in sentence_pieces.segment(text, 3))
+    assert sentence_pieces.segment("", 3) == [(0.0, [])]
+
+
+@pytest.mark.parametrize("unit", ["-", ".", "*", " ", "ab", "=", "\x00", "a"])
+def test_nbest_of_long_runs_takes_linear_time(sentence_pieces, unit):
+    def seconds(length):
+        import time
+
+        start = time.perf_counter()
+        found = sentence_pieces.segment(unit * (length // len(unit)), 4)
+        many = 1 if unit == "\x00" else 4  # a byte has one spelling
+        assert len(found) == len({tuple(ids) for _, ids in found}) == many and sentence_pieces.decode(found[0][1]) == unit * (length // len(unit))
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 12
 
-def test_nbest_margin_is_that_of_the_search():
-    import public_tokenizers
 
-    pieces = sentencepiece_nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    for part in ("▁theory", "▁a\nb", "▁\x00", "▁aaaaaaa", "▁żółw", "▁𐍈x", "▁", "▁▁▁▁"):
-        (score, ids), *rest = list(itertools.islice(pieces.nbest(part), 2))
-        best, found, loss = pieces.margin(part)
-        assert found == ids and best == pytest.approx(score)
-        assert loss == (pytest.approx(score - rest[0][0], abs=1e-6) if rest else math.inf)
-    for text in ("a\nb\n", "\u20ac\n𐍈 x", "  two  ", "\x7f\x80é\n", "▁"):
-        assert all(pieces.decode(ids) == text.replace("▁", " ") for _, ids in pieces.segment(text, 3))
+def test_nbest_of_a_million_dashes(sentence_pieces):
+    found = sentence_pieces.segment("-" * 1_000_000, 4)
+    assert [len(set(ids)) <= 20 for _, ids in found] == [True] * 4 and found[0][0] >= found[3][0]
 
 
 def test_nbest_odd_rows(spark, odd):
