@@ -12,9 +12,16 @@ With ``weights`` other than the sources' sizes some queues run dry first; the sc
 phase per dry queue, in which the others share in proportion to their weights.
 
 Texts are tokenized once and staged as 16-bit ids; positions in a queue follow the staged
-partitions. Only the last sequence is padded, so padding stays below one window altogether. Sources
-under 1/1024 of all tokens share one queue, so there are at most 1025 and every grant is at least
-one token. Null texts are empty; null sources are a source of their own.
+partitions. Only the last sequence is padded, so padding stays below one window altogether.
+
+A source under 1/1024 of all tokens is due less than two tokens a window. These sources are served by one further
+queue, in which round-robin goes by quanta of ``QUANTUM`` tokens: the k-th quantum of a source with weight w is
+due at (k - 1/2) / w, and the queue holds all quanta in the order they are due. At any time a source has then got its
+proportion of that queue to within one quantum, for any number of sources and any weights. The order is a range sort of the
+quanta, numbered range by range; documents of these sources are cut at quanta and meet their places in a join.
+With ``weights`` the shared queue has the sum of its sources' weights until it runs dry.
+
+Null texts are empty; null sources are a source of their own. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +40,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from declara.llm.common import broadcast_if_small
-from declara.runtime import stage
+from declara.runtime import stage, with_global_cumsum
 
 SIZE = 2048
 LEAST_SHARE = 1024  # a queue of its own takes at least 1/1024 of all tokens
+QUANTUM = 512  # tokens that a small source gets at a time
 END = 1
 
 LONG_SPACE = 10_000  # characters of white space in a row that are left to the library
@@ -180,6 +188,25 @@ class Schedule:
             w, below, upper = w + 1, next_below, next_upper
 
 
+def _by_quanta(rows: DataFrame, small: DataFrame, queue: int) -> DataFrame:
+    """Documents of the small sources cut at quanta and moved to their places in the shared queue. ``small`` is
+    (source, n, weight)."""
+    due = (F.col("k") + 0.5) / F.col("weight")
+    quanta = small.select("source", "n", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / QUANTUM))).alias("k")).select(
+        "source", "k", due.alias("due"), F.least(F.lit(QUANTUM).cast("long"), F.col("n") - F.col("k") * QUANTUM).alias("size"))
+    order = [F.col("due"), F.col("source").asc_nulls_first(), F.col("k")]
+    ends = with_global_cumsum(quanta, order, {"upto": F.col("size")})
+    places = stage(ends.select(F.col("source").alias("_s"), F.col("k").alias("_k"), (F.col("upto") - F.col("size")).alias("place")))
+    cut = rows.where("n > 0").withColumn("k", F.explode(F.sequence(
+        F.floor(F.col("begin") / QUANTUM), F.floor((F.col("begin") + F.col("n") - 1) / QUANTUM))))
+    at = F.greatest(F.col("begin"), F.col("k") * QUANTUM)
+    length = F.least(F.col("begin") + F.col("n"), (F.col("k") + 1) * QUANTUM) - at
+    parts = cut.select("id", "source", "k", (at - F.col("k") * QUANTUM).alias("inside"), (at - F.col("begin")).alias("first"), length.alias("n"), "whole", "ids")
+    joined = parts.withColumn("ids", F.substring("ids", (2 * F.col("first") + 1).cast("int"), (2 * F.col("n")).cast("int"))).join(
+        places, F.col("source").eqNullSafe(F.col("_s")) & (F.col("k") == F.col("_k")))
+    return joined.select("id", "source", F.lit(queue).alias("queue"), (F.col("place") + F.col("inside")).alias("begin"), "first", "n", "whole", "ids")
+
+
 def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, weights: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all ``documents`` (id, source, text): id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, source.
@@ -194,35 +221,41 @@ def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, w
     large = sums.where(F.col("n") * LEAST_SHARE >= total).orderBy(F.col("source").asc_nulls_first()).collect()
     rest = total - sum(r.n for r in large)
     queues = [r.n for r in large] + ([rest] if rest else [])
-    if weights and rest:
-        raise ValueError("target weights need sources of at least 1/1024 of all tokens")
-    schedule = Schedule(queues, [weights[r.source] for r in large] if weights else queues, size)
     spark = documents.sparkSession
-    named = spark.createDataFrame([(r.source, i) for i, r in enumerate(large)], "source string, queue int")
-    in_queue = F.coalesce("queue", F.lit(len(large)))
-    placed = sizes.join(F.broadcast(named), sizes.source.eqNullSafe(named.source), "left").select(sizes.source, "part", "n", in_queue.alias("queue"))
-    # a queue's partitions follow each other; partial sums per (queue, part) keep the ordered rows few
-    ordered = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("queue", "part").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
-    inside = Window.partitionBy("queue", "part").orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.withColumn("shift", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts.select("queue", "part", "base"), ["queue", "part"])
-    bases = bases.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", (F.col("base") + F.col("shift")).alias("base"))
-    bases = stage(bases)  # a row per source and partition of the texts
-    rows = tokens.join(broadcast_if_small(bases), tokens.source.eqNullSafe(bases._s) & (tokens.part == bases._p)).select(
-        "id", "source", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids"
+    named = spark.createDataFrame([(r.source, i) for i, r in enumerate(large)], "_s string, queue int")
+    if weights:
+        known = stage(spark.createDataFrame([(s, int(w)) for s, w in weights.items()], "_w string, weight long"))
+        sums = sums.join(known, sums.source.eqNullSafe(known._w), "left").drop("_w")
+        if (without := sums.where("weight IS NULL OR weight <= 0").limit(3).collect()):
+            raise ValueError(f"sources without a positive weight: {[r.source for r in without]}")
+    else:
+        sums = sums.withColumn("weight", F.col("n"))
+    # a source's partitions follow each other
+    ordered = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(ordered), F.lit(0))).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s")), "left")
+    bases = stage(bases.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "queue", "base"))  # a row per source and partition of the texts
+    placed = tokens.join(broadcast_if_small(bases), tokens.source.eqNullSafe(bases._s) & (tokens.part == bases._p)).select(
+        "id", "source", "queue", (F.col("base") + F.col("before")).alias("begin"), F.lit(0).cast("long").alias("first"), "n", F.col("n").alias("whole"), "ids"
     )
+    rows = placed.where("queue IS NOT NULL")
+    shares = [weights[r.source] for r in large] if weights else [r.n for r in large]
+    if rest:
+        small = sums.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s")), "left").where("queue IS NULL").select("source", "n", "weight")
+        shares.append(small.agg(F.sum("weight")).first()[0])
+        rows = rows.unionAll(_by_quanta(placed.where("queue IS NULL"), small, len(large)))
+    schedule = Schedule(queues, shares, size)
     kind = documents.schema["id"].dataType.simpleString()
 
     def cut(batches):
         schema = None
         for b in batches:
             source_row, out = [], [[] for _ in range(6)]
-            columns = [b.column(c).to_pylist() for c in ("queue", "begin", "n", "ids")]
-            for i, (queue, begin, n, packed) in enumerate(zip(*columns)):
+            columns = [b.column(c).to_pylist() for c in ("queue", "begin", "first", "n", "whole", "ids")]
+            for i, (queue, begin, skipped, n, whole, packed) in enumerate(zip(*columns)):
                 wide = np.frombuffer(packed, "<u2").astype("<u4").tobytes()
                 for w, offset, first, length in schedule.pieces(queue, begin, n):
                     source_row.append(i)
-                    for column, value in zip(out, (first, length, zlib.crc32(memoryview(wide)[4 * first : 4 * (first + length)]), n, w, offset)):
+                    for column, value in zip(out, (skipped + first, length, zlib.crc32(memoryview(wide)[4 * first : 4 * (first + length)]), whole, w, offset)):
                         column.append(value)
             take = pa.array(source_row, pa.int32())
             arrays = [b.column("id").take(take), *(pa.array(c, pa.int64()) for c in out), b.column("source").take(take)]

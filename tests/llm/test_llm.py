@@ -284,6 +284,43 @@ def test_packing_whole_and_in_proportion(spark, documents):
             assert abs(done[source] - n * (s + 1) * packing.SIZE / everything) <= 1
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_of_many_small_sources(spark, monkeypatch, weighted):
+    """1500 small sources, one large one and one without a name: each within one quantum of its proportion."""
+    from pyspark.sql import functions as F
+
+    quantum = 16
+    monkeypatch.setattr(packing, "QUANTUM", quantum)
+    rows = [(3 * i + j, f"s{i}", "one two three four five six seven " * (3 + j)) for i in range(1500) for j in range(2)]
+    rows += [(100_000 + i, "large", "big words here " * 900) for i in range(40)] + [(200_000, None, "a"), (200_001, "tiny", None)]
+    frame = spark.createDataFrame(rows, "id long, source string, text string").repartition(6)
+    weights = {s: 3 if s == "large" else 2 if s is not None and s.endswith("7") else 1 for _, s, _ in rows} if weighted else None
+    found = packing.pack(frame, weights=weights).collect()
+    sequences = check_pieces(found, {i: t for i, _, t in rows})
+    small = [r for r in found if r.source != "large"]
+    of_source = Counter()
+    for r in small:
+        of_source[r.source] += r.length
+    share = weights or of_source
+    done, left = Counter(), dict(of_source)
+    for s in sorted(sequences):
+        for r in sequences[s]:
+            if r.source != "large":
+                done[r.source] += r.length
+        live = [x for x in of_source if done[x] < of_source[x]]
+        if len(live) < len(of_source) - 2:  # from here on some sources are used up
+            break
+        time = sum(done.values()) / sum(share[x] for x in of_source)
+        assert all(abs(done[x] - time * share[x]) <= 2 * quantum for x in of_source if of_source[x] > quantum)
+    assert s > 3 and sum(done.values()) > 0.3 * sum(left.values())
+
+
+def test_packing_refuses_missing_weights(spark):
+    frame = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, source string, text string")
+    with pytest.raises(ValueError, match="b"):
+        packing.pack(frame, weights={"a": 1})
+
+
 def test_packing_with_weights_and_odd_rows(spark, odd):
     from pyspark.sql import functions as F
 
