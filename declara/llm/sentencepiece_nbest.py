@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-UNIT = 1 << 30  # scores are kept as whole numbers of 1 / UNIT
+UNIT = 1 << 30  # the finest part of a score that counts
 BELOW = 10  # how far a byte lies below the least score of the vocabulary
 KEPT = 16_000_000  # characters of parts, and 24 for each part, that a worker remembers before it starts anew
+LISTED, LISTED_PART = 20_000, 32  # parts, of so many characters at most, whose n best a worker remembers
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 _VOCABULARIES: dict = {}
@@ -54,9 +55,14 @@ class Pieces:
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if model.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         self.id = {t: i for i, t in enumerate(self.text) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-        self.score = [round(model.get_score(i) * UNIT) for i in range(size)]
-        self.byte_score = min(self.score[i] for i in self.id.values()) - BELOW * UNIT
-        self.lengths = sorted({len(t) for t in self.id} | {1}, reverse=True)
+        scores = [model.get_score(i) for i in range(size)]
+        self.unit = 1  # scores are kept as whole numbers of 1 / unit
+        while self.unit < UNIT and any((x * self.unit) % 1 for x in scores):
+            self.unit *= 2
+        self.score = [round(x * self.unit) for x in scores]
+        self.byte_score = min(self.score[i] for i in self.id.values()) - BELOW * self.unit
+        lengths = sorted({len(t) for t in self.id} | {1}, reverse=True)
+        self.lengths = [[n for n in lengths if n <= end] for end in range(lengths[0] + 1)]  # of pieces that may end there
         # what a piece stands for; an ASCII byte is a character by itself
         self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else t.replace(MARK, " ") for i, t in enumerate(self.text)]
         self.is_wide = np.isin(np.arange(size), [i for i, b in self.value.items() if b >= 128])
@@ -70,6 +76,7 @@ class Pieces:
         self.single = {t for t in self.id if len(t) == 1} | ascii.keys()
         self.ends.make_automaton()
         self.known: dict[str, tuple] = {}
+        self.listed: dict[tuple[str, int], list] = {}
         self.held = 0
 
     def spelled(self, character: str) -> tuple[int, int, tuple[int, ...]]:
@@ -77,28 +84,23 @@ class Pieces:
         ids = tuple(self.byte[b] for b in character.encode("utf-8", "surrogatepass"))
         return 1, self.byte_score * len(ids), ids
 
-    def arcs(self, part: str):
-        """(end, piece) of every piece in the part, by end, the longest first; a piece is (length, score, ids)."""
-        if self.single.issuperset(part):
-            return ((last + 1, piece) for last, piece in self.ends.iter(part))
-        return self.arcs_with_bytes(part)
-
     def arcs_with_bytes(self, part: str):
+        """(last place, piece) of every piece in the part, by place, the longest first; a piece is (length, score, ids)."""
         done = 0
         for last, piece in self.ends.iter(part):
             while done <= last:  # whatever ends before a piece's last character comes before it
                 if part[done] not in self.single:
-                    yield done + 1, self.spelled(part[done])
+                    yield done, self.spelled(part[done])
                 done += 1
-            yield last + 1, piece
+            yield last, piece
         for place in range(done, len(part)):
             if part[place] not in self.single:
-                yield place + 1, self.spelled(part[place])
+                yield place, self.spelled(part[place])
 
     def ending(self, part: str, end: int):
         """The pieces that end at a place, longest first."""
-        for length in self.lengths:
-            if length <= end and (piece := self.found.get(part[end - length : end])):
+        for length in self.lengths[min(end, len(self.lengths) - 1)]:
+            if piece := self.found.get(part[end - length : end]):
                 yield piece
         if part[end - 1] not in self.single:
             yield self.spelled(part[end - 1])
@@ -106,10 +108,11 @@ class Pieces:
     def nbest(self, part: str, n: int):
         """The ``n`` best segmentations (score, ids) of a part, best first."""
         forward: list = [0, *[-math.inf] * len(part)]
-        for end, (length, x, _) in self.arcs(part):
-            total = forward[end - length] + x
-            if total > forward[end]:
-                forward[end] = total
+        plain = self.single.issuperset(part)
+        for last, (length, x, _) in self.ends.iter(part) if plain else self.arcs_with_bytes(part):
+            total = forward[last + 1 - length] + x
+            if total > forward[last + 1]:
+                forward[last + 1] = total
         push, pop = heapq.heappush, heapq.heappop
         heap, made, popped = [(-forward[-1], len(part), 0, 0, None)], 0, {}
         while heap:
@@ -133,8 +136,10 @@ class Pieces:
         """The best score of a part, its ids, and what the second best loses (infinite without one), from
         one forward pass for the two best scores up to every place."""
         first, second, back = [0, *[-math.inf] * len(part)], [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
-        for end, piece in self.arcs(part):
+        plain = self.single.issuperset(part)
+        for last, piece in self.ends.iter(part) if plain else self.arcs_with_bytes(part):
             length, x, _ = piece
+            end = last + 1
             start = end - length
             total, best = first[start] + x, first[end]
             if total > best:
@@ -162,6 +167,17 @@ class Pieces:
             found = self.known[part] = self.margin(part)
         return found
 
+    def alternatives(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """``nbest`` of a part as a list, from the table of known ones if it is there."""
+        found = self.listed.get((part, n))
+        if found is None:
+            found = list(islice(self.nbest(part, n), n))
+            if len(part) <= LISTED_PART:
+                if len(self.listed) >= LISTED:
+                    self.listed.clear()
+                self.listed[part, n] = found
+        return found
+
     def segment(self, text: str, n: int) -> list[tuple[float, Sequence[int]]]:
         """The n best segmentations of a text: (score, ids), best first."""
         if not text:
@@ -181,7 +197,7 @@ class Pieces:
         ends = list(accumulate(map(len, best))) if near else []
         options = []
         for i in near:
-            listed = list(islice(self.nbest(parts[i], n), n))
+            listed = self.alternatives(parts[i], n)
             options.append([(listed[0][0] - s, found) for s, found in listed])
         out = []
         heap = [(0, (0,) * len(options))]
@@ -192,7 +208,7 @@ class Pieces:
             for i, o, c in sorted(zip(near, options, choice), key=lambda x: -x[0]):  # from the back, so that places hold
                 if c:
                     chosen = chosen[: ends[i] - len(best[i])] + array("I", o[c][1]) + chosen[ends[i] :]
-            out.append(((total - loss) / UNIT, chosen))
+            out.append(((total - loss) / self.unit, chosen))
             for k, o in enumerate(options):
                 if choice[k] + 1 < len(o):
                     other = (*choice[:k], choice[k] + 1, *choice[k + 1 :])

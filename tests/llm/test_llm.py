@@ -206,6 +206,13 @@ def test_join_stage_keeps_one(spark, odd):
     assert ngram_join.keep_one(spark, odd.limit(0), FOLDER).count() == 0
 
 
+def test_join_stage_keeps_different_texts_of_one_id(spark):
+    one, two = "a b c d e f g h i j k l", "n o p q r s t u v w x y z"
+    rows = [(7, one, "en", "a", 1, "x"), (7, two, "en", "a", 1, "x"), (7, one, "en", "a", 1, "y"), (8, two, "en", "a", 1, "z"), (9, None, "en", "a", 1, ""), (9, None, "en", "a", 1, "")]
+    kept = ngram_join.keep_one(spark, frame(spark, rows), FOLDER).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(7, one), (7, two), (9, ""), (9, "")]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500)]
     found = {r.node: r.root for r in components.components(frame(spark, edges, "u long, v long")).collect()}
@@ -539,10 +546,10 @@ def test_nbest_matches_all_segmentations(sentence_pieces, part):
         got = list(sentence_pieces.nbest(part, n))
         assert len(got) >= min(n, len(want))
         assert got == list(sentence_pieces.nbest(part, n)) and len(set(ids for _, ids in got[:n])) == min(n, len(want))
-        assert got[0][1] == want[0][1] and all((s / sentencepiece_nbest.UNIT, ids) in want for s, ids in got)
-        assert [s / sentencepiece_nbest.UNIT for s, _ in got[:n]] == [s for s, _ in want[:n]]
+        assert got[0][1] == want[0][1] and all((s / sentence_pieces.unit, ids) in want for s, ids in got)
+        assert [s / sentence_pieces.unit for s, _ in got[:n]] == [s for s, _ in want[:n]]
     best, ids, loss = sentence_pieces.margin(part)
-    assert ids == want[0][1] and loss / sentencepiece_nbest.UNIT == (pytest.approx(want[0][0] - want[1][0], abs=1e-6) if len(want) > 1 else math.inf)
+    assert ids == want[0][1] and loss / sentence_pieces.unit == (pytest.approx(want[0][0] - want[1][0], abs=1e-6) if len(want) > 1 else math.inf)
 
 
 def test_nbest_of_texts(sentence_pieces):
