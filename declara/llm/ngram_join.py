@@ -384,11 +384,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: one document of each group stays, the one with the least id."""
-    found = ngram_join(documents.select(F.col("doc_id").alias("id"), "text"))
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(f"{OWN}id"), F.col("n_shingles").alias(f"{OWN}n"))
-    keep = keep.groupBy(f"{OWN}id").agg(F.min(f"{OWN}n").alias(f"{OWN}n"))
-    kept = documents.join(keep, F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")))
-    # rows that repeat an id: one of them, unless they are empty and so in no group
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """The pipeline's stage: one document of each group stays, the one with the least id. Rows are told apart by
+    id and text, so different texts under one id are documents of their own; of rows that repeat both, one
+    stays, unless they are empty and so in no group."""
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("text_hash"))  # null ids come last
+    found = ngram_join(documents.select(own.alias("id"), "text")).where(F.col("id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy(F.col("id.doc_id").alias(f"{OWN}id"), F.col("id.text_hash").alias(f"{OWN}hash")).agg(F.min("n_shingles").alias(f"{OWN}n"))
+    kept = documents.join(keep, F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64("text") == F.col(f"{OWN}hash")))
+    nth = F.row_number().over(Window.partitionBy("doc_id", f"{OWN}hash").orderBy(F.lit(0)))
     return kept.withColumn(f"{OWN}nth", nth).where((F.col(f"{OWN}nth") == 1) | (F.col(f"{OWN}n") == 0)).select(documents.columns)
