@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from declara.functions import text as T
 from declara.operators import clusters as C
+from declara.operators import density as D
 from declara.operators import encode as E
 from declara.operators import evaluate as EV
 from declara.operators import features as X
@@ -115,6 +116,23 @@ def _(t: Tables):
     return M.mixture_sweep(axes, "num", [2, 3, 4])
 
 
+@query("ml_dbscan", """
+WITH RECURSIVE e AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+z AS MATERIALIZED (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_pop(x) OVER (PARTITION BY i) AS z FROM e),
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sum((a.z - b.z) * (a.z - b.z)) AS d FROM z a JOIN z b USING (i) GROUP BY ALL HAVING d <= 85.5625),
+core AS MATERIALIZED (SELECT a AS c FROM near GROUP BY a HAVING count(*) >= 4),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT c AS a, c AS root FROM core UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.a WHERE reach.root < links.b),
+roots AS (SELECT a, min(root) AS root FROM reach GROUP BY a),
+border AS (SELECT near.a, arg_min(root, (d, near.b)) AS root FROM near JOIN roots ON roots.a = near.b WHERE near.a NOT IN (FROM core) GROUP BY near.a),
+found AS (SELECT a, root, TRUE AS is_core FROM roots UNION ALL SELECT a, root, FALSE FROM border),
+numbers AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM roots))
+SELECT vec_id, coalesce(cluster, -1) AS cluster, coalesce(is_core, FALSE) AS is_core
+FROM embeddings LEFT JOIN found ON a = vec_id LEFT JOIN numbers USING (root)""")
+def _(t: Tables):
+    return D.dbscan(M.standardise(W.vectors(t), "num", "z"), "vec_id", "z", 9.25, 4)
+
+
 @query("ml_label_tree")
 def _(t: Tables):
     return M.label_tree(W.vectors(t), "vec_id", "num", 8)
