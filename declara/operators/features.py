@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,9 +128,10 @@ def pair_counts(df: DataFrame, words: Column) -> DataFrame:
 def phrases(df: DataFrame, words: Column, min_count: int = 1, threshold: float = 2.0) -> DataFrame:
     """Pairs scoring (n_ab - min_count) * V / (n_a * n_b) above the threshold; V counts the
     distinct words and distinct pairs."""
+    docs = stage(df.select(words.alias("w")))  # the words are read twice
     # Both counts are read several times below, so each is computed once.
-    unigrams = stage(df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
-    pairs = stage(pair_counts(df, words))
+    unigrams = stage(docs.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    pairs = stage(pair_counts(docs, F.col("w")))
     v = unigrams.select(F.count("*")).scalar() + pairs.select(F.count("*")).scalar()
     first = unigrams.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     second = unigrams.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
@@ -138,32 +142,73 @@ def phrases(df: DataFrame, words: Column, min_count: int = 1, threshold: float =
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "n_a", "n_b", "score")
 
 
+PAIR_BITS = 1 << 26  # of the table that tells pairs which cannot be phrases: 8 MB at any size of the data
+
+
+def _pair_bits(phrase_table: DataFrame) -> bytes:
+    """One bit per hash of a phrase, PAIR_BITS in all."""
+    place = F.crc32(F.concat_ws("\x01", "a", "b").cast("binary")) % PAIR_BITS + 1
+    pieces = phrase_table.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = bytearray(PAIR_BITS // 8)
+    for r in pieces.collect():  # at most PAIR_BITS / 32768 pieces of 4 kB
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
+    return bytes(out)
+
+
 def apply_phrases(df: DataFrame, row: str, words: Column, phrase_table: DataFrame, glue: str = "_") -> DataFrame:
     """(row, words) with learned pairs merged left to right; a word merged into the one before
     cannot open a pair itself, so in a run of pairs every second one counts.
 
-    The phrase table may be as large as the corpus: adjacent pairs meet it in a join that serves
-    frequent pairs map-side, and one shuffle by row then orders the words of a row.
+    The phrase table may be as large as the corpus. A document sends out each of its pairs that may be a phrase once: a bit
+    table of fixed size drops the others, however frequent, inside the task. What is left meets the phrase table in a join that serves
+    frequent phrases map-side; a document's phrases come back as one array and are merged inside its row.
+    Rows that repeat an id keep their own words. Null words stay null.
     """
-    with_next = let(words, lambda w: F.arrays_zip(
-        w.alias("a"), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)).alias("b")
-    ))
-    pairs = df.select(row, F.posexplode_outer(with_next).alias("pos", "_p"))
-    pairs = pairs.select(row, "pos", "_p.a", "_p.b")
-    looked_up = skew_safe_lookup(
-        pairs, phrase_table.select("a", "b", "n_ab"), ["a", "b"], "n_ab", F.xxhash64(row, "pos"), inner=False
-    )
-    in_row = Window.partitionBy(row).orderBy("pos")
-    hit = F.col("n_ab").isNotNull()
-    run = F.col("pos") - F.coalesce(F.max(F.when(~hit, F.col("pos"))).over(in_row), F.lit(-1))
-    opened = looked_up.withColumn("_opens", hit & (run % 2 == 1))
-    merged = opened.withColumn("_inside", F.lag("_opens", 1, False).over(in_row)).select(
-        row, F.when(F.col("pos").isNotNull() & ~F.col("_inside"), F.struct(
-            "pos", F.when(F.col("_opens"), F.concat("a", F.lit(glue), "b")).otherwise(F.col("a")).alias("w")
-        )).alias("x"),
-    )
-    by_row = merged.groupBy(row).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return by_row.select(row, F.transform("x", lambda s: s["w"]).alias("words"))
+    spark = df.sparkSession
+    table = stage(phrase_table.select("a", "b", "n_ab"))
+    docs = stage(df.select(row, words.alias("words")).withColumn("_doc", F.monotonically_increasing_id()))
+    bits = spark.sparkContext.broadcast(_pair_bits(table))
+
+    def candidates(batches):
+        seen = bits.value
+        for b in batches:
+            out = []
+            for doc, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for first, second in set(zip(w or (), (w or ())[1:])):
+                    if first is not None and second is not None:
+                        place = zlib.crc32(f"{first}\x01{second}".encode("utf-8", "surrogatepass")) % PAIR_BITS
+                        if seen[place >> 3] >> (place & 7) & 1:
+                            out.append((doc, first, second))
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["_doc", "a", "b"])
+
+    asked = docs.select("_doc", "words").mapInArrow(candidates, "_doc long, a string, b string")
+    found = skew_safe_lookup(asked, table, ["a", "b"], "n_ab", F.xxhash64("_doc"))
+    hits = found.groupBy("_doc").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
+    kind = docs.schema[row].dataType.simpleString()
+
+    def merge(batches):
+        for b in batches:
+            out = []
+            for w, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if w and hits:
+                    pairs, merged, at = {(h["a"], h["b"]) for h in hits}, [], 0
+                    while at < len(w):
+                        joins = at + 1 < len(w) and (w[at], w[at + 1]) in pairs
+                        merged.append(f"{w[at]}{glue}{w[at + 1]}" if joins else w[at])
+                        at += 1 + joins
+                    w = merged
+                out.append(w)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=[row, "words"])
+
+    return docs.join(hits, "_doc", "left").select(row, "words", "hits").mapInArrow(merge, f"`{row}` {kind}, words array<string>")
+
+
+def merged_twice(df: DataFrame, row: str, words: Column, min_count: int = 1, second_min_count: int = 5, threshold: float = 2.0) -> DataFrame:
+    """(row, bigrams, trigrams): words with learned pairs merged, and those merged once more by pairs learned on the result."""
+    once = stage(apply_phrases(df, row, words, phrases(df, words, min_count, threshold)))
+    again = apply_phrases(once.select(F.struct(row, "words").alias("_row"), "words"), "_row", F.col("words"), phrases(once, F.col("words"), second_min_count, threshold))
+    return again.select(f"_row.{row}", F.col("_row.words").alias("bigrams"), F.col("words").alias("trigrams"))
 
 
 def token_indices(rows: DataFrame, row: str, stats: DataFrame, top: int, length: int) -> DataFrame:

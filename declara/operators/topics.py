@@ -102,7 +102,7 @@ def coherence_umass(bow: DataFrame, row: str, top_words: DataFrame, topic: str,
     """
     words = stage(top_words.select(F.col(topic).alias("topic"), F.col(rank).alias("r"), "term"))
     seen = bow.select(row, "term").join(words, "term")
-    per_doc = seen.groupBy(row, "topic").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    per_doc = stage(seen.groupBy(row, "topic").agg(F.array_sort(F.collect_list("r")).alias("rs")))  # read twice below
     singles = per_doc.select("topic", F.explode("rs").alias("j")).groupBy("topic", "j").agg(F.count("*").alias("d_j"))
     inside = F.flatten(F.transform("rs", lambda i: F.transform(
         F.filter("rs", lambda j: j < i), lambda j: F.struct(i.alias("i"), j.alias("j"))
