@@ -37,29 +37,6 @@ def standardise(df: DataFrame, num: str, out: str) -> DataFrame:
     return moved.withColumn(out, F.zip_with(centred, deviations, lambda x, d: F.when(d == 0, 0.0).otherwise(x / d))).drop("_s")
 
 
-def truncated_svd(entries: DataFrame, row: str, codes: DataFrame, k: int) -> DataFrame:
-    """(row, vector): rows of a sparse matrix ``(row, term, value)`` on its k leading right singular
-    vectors. ``codes`` is ``(value, code)`` for the terms.
-
-    The decomposition runs on the distributed row matrix; the projection is a join of the entries
-    with the term vectors, summed per row, so the term table is never shipped whole.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = entries.sparkSession
-    coded = entries.join(codes.select(F.col("value").alias("term"), "code"), "term")
-    width = int(codes.agg(F.max("code") + 1).first()[0])
-    by_row = coded.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(F.col("code"), F.col("value").alias("x")))).alias("e"))
-    rows = stage(by_row).rdd.map(lambda r: Vectors.sparse(width, [(int(c["code"]), c["x"]) for c in r["e"]]))
-    right = RowMatrix(rows, numCols=width).computeSVD(min(k, width), computeU=False).V.toArray()
-    table = spark.createDataFrame(((i, [float(x) for x in v]) for i, v in enumerate(right)), "code long, v array<double>")
-    projected = coded.join(table, "code").groupBy(row).agg(
-        Summarizer.metrics("sum").summary(array_to_vector("v"), F.col("value")).alias("s")
-    )
-    return projected.select(row, vector_to_array("s.sum").alias("vector"))
-
-
 def pca_axes(centroids: DataFrame, cluster: str, num: str, standard: bool = False) -> DataFrame:
     """(cluster, x, y): first two principal axes of the centroids, scaled by the largest absolute
     value. The sign of an axis is arbitrary; the heavier side is turned to the positive."""

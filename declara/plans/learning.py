@@ -13,6 +13,7 @@ from declara.operators import evaluate as EV
 from declara.operators import features as X
 from declara.operators import lda as L
 from declara.operators import models as M
+from declara.operators import svd as SV
 from declara.plans import views as W
 from declara.plans.registry import Tables, query
 from declara.plans.views import r6
@@ -88,11 +89,11 @@ def _(t: Tables):
 
 @query("ft_svd")
 def _(t: Tables):
-    bow = X.doc2bow(_docs(t), "doc_id", F.col("words"))
-    terms = stage(X.top_terms(X.term_stats(bow), 2, 300))
-    entries = X.tfidf(bow, "doc_id", terms, t.documents.select(F.count("*")).scalar()).select("doc_id", "term", "value")
-    codes = terms.select(F.col("term").alias("value"), (F.col("rank") - 1).alias("code"))
-    return M.truncated_svd(stage(entries), "doc_id", codes, 8).select("doc_id", F.posexplode("vector").alias("axis", "x"))
+    bow = stage(X.doc2bow(_docs(t), "doc_id", F.col("words")))
+    terms = stage(X.term_stats(bow).where("df >= 2"))
+    entries = stage(X.tfidf(bow, "doc_id", terms, t.documents.select(F.count("*")).scalar()).select("doc_id", "term", "value"))
+    vectors, _ = SV.truncated_svd(entries, "doc_id", 8)
+    return vectors.select("doc_id", F.posexplode("vector").alias("axis", "x"))
 
 
 @query("ft_pca2")

@@ -53,9 +53,8 @@ def _(t: Tables):
 SELECT CAST(epoch(ts)::BIGINT // 604800 * 604800 AS BIGINT) AS week, event_type, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts, event_type FROM events) GROUP BY ALL""")
 def _(t: Tables):
     sink = new_path(t.spark, "weeks")
-    weeks = ST.weekly_counts(_events(t), "event_type", "ts").select(F.unix_timestamp("week").alias("week"), "event_type", "n")
-    ST.write_updates(weeks, sink, new_path(t.spark, "progress")).awaitTermination()
-    return ST.latest(t.spark, sink, ["week", "event_type"], "n")
+    ST.count_weeks(_events(t), "event_type", "ts", sink, new_path(t.spark, "progress")).awaitTermination()
+    return ST.weekly_counts(t.spark, sink, "event_type").select(F.unix_timestamp("week").alias("week"), "event_type", "n")
 
 
 @query("st_score_novelty", f"""

@@ -36,26 +36,20 @@ def skip_seen(declarations: DataFrame, key: str, time: str, horizon: str) -> Dat
     return declarations.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def weekly_counts(assigned: DataFrame, cluster: str, time: str, late: str = "7 days") -> DataFrame:
-    """Declarations per week and cluster; rows later than ``late`` behind the newest are dropped."""
-    weeks = assigned.withWatermark(time, late).groupBy(F.window(time, "7 days"), cluster).agg(F.count("*").alias("n"))
-    return weeks.select(F.col("window.start").alias("week"), cluster, "n")
-
-
-def write_updates(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Changed rows of a running aggregate, one folder per batch. A repeated batch rewrites its own
-    folder, so the sink holds every update once."""
+def count_weeks(assigned: DataFrame, cluster: str, time: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Declarations per week and cluster, whatever order they arrive in. A batch writes what it adds to each week in a folder of
+    its own, which a repeated batch rewrites, so no event is lost, none counts twice, and no state grows with the weeks."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        weeks = batch.where(F.col(time).isNotNull()).groupBy(F.window(time, "7 days").start.alias("week"), cluster).agg(F.count("*").alias("n"))
+        weeks.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return df.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return assigned.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, sink: str, keys: list[str], value: str) -> DataFrame:
-    """The newest state of every key written by ``write_updates``."""
-    return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+def weekly_counts(spark: SparkSession, sink: str, cluster: str) -> DataFrame:
+    """(week, cluster, n) after all batches that ``count_weeks`` has written."""
+    return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").groupBy("week", cluster).agg(F.sum("n").alias("n"))
 
 
 def score_novelty(

@@ -99,6 +99,28 @@ def test_padding(spark):
 # -- quantiles, ranks, skew -------------------------------------------------------------------
 
 
+def test_quantile_brackets_shrink(spark, monkeypatch):
+    """Skewed values, ties and infinities, with brackets of at most 12 rows and cuts into 4 parts."""
+    monkeypatch.setattr(Q, "SMALL", 12)
+    monkeypatch.setattr(Q, "PARTS", 4)
+    draw = np.random.default_rng(7)
+    groups = {
+        "skew": np.exp(draw.normal(size=400) * 6), "ties": draw.integers(0, 3, 300).astype(float), "one": np.array([5.0]), "same": np.full(200, -1.5),
+        "ends": np.concatenate([draw.normal(size=150), [np.inf, -np.inf, 1e300, -1e300, 5e-324]]), "two": np.array([0.0] * 100 + [1e9] * 100),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None)]
+    qs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {(r["g"], r["q"]): r["quantile"] for r in Q.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v", qs).collect()}
+    assert len(got) == len(groups) * len(qs)
+    for g, vs in groups.items():
+        ordered = np.sort(vs)
+        for q in qs:
+            position = q * (len(vs) - 1)
+            low, high = ordered[int(np.floor(position))], ordered[int(np.ceil(position))]
+            want = low if low == high else low + (high - low) * (position - np.floor(position))
+            assert got[g, q] == want or np.isclose(got[g, q], want, rtol=1e-12), (g, q)
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(0)
     values = {"ties": np.repeat([1.0, 2.0, 5.0], 9000), "wide": rng.normal(size=25_000), "two": np.array([1.0, 4.0])}
@@ -559,3 +581,30 @@ def test_package_is_sent_once(spark):
     ship_package(spark)
     ship_package(spark)
     assert len([f for f in spark.sparkContext.listFiles if f.endswith("declara.zip")]) == 1
+
+
+def test_weekly_counts_keep_late_events(spark, tmp_path):
+    """Files in no order, one per trigger, a year late: every event counts once, also after a second run."""
+    from datetime import datetime, timedelta
+
+    from declara.streaming import jobs as ST
+
+    draw = random.Random(12)
+    start = datetime(2024, 1, 4)
+    events = [(i, start + timedelta(days=draw.randrange(400), seconds=draw.randrange(86400)), draw.choice("ab")) for i in range(600)]
+    inbox, sink, checkpoint = (str(tmp_path / n) for n in ("inbox", "sink", "checkpoint"))
+    schema = "id long, ts timestamp, kind string"
+    for part in range(6):
+        if part == 4:
+            _run_weeks(spark, ST, inbox, sink, checkpoint, schema)
+        spark.createDataFrame(events[part * 100 : part * 100 + 100], schema).coalesce(2).write.mode("append").parquet(inbox)
+    _run_weeks(spark, ST, inbox, sink, checkpoint, schema)
+    _run_weeks(spark, ST, inbox, sink, checkpoint, schema)
+    want = Counter((int(ts.timestamp()) // 604800, kind) for _, ts, kind in spark.createDataFrame(events, schema).select("id", "ts", "kind").collect())
+    got = {(int(r["s"]) // 604800, r["kind"]): r["n"] for r in ST.weekly_counts(spark, sink, "kind").select(F.unix_timestamp("week").alias("s"), "kind", "n").collect()}
+    assert got == want and sum(got.values()) == 600
+
+
+def _run_weeks(spark, ST, inbox, sink, checkpoint, schema):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    ST.count_weeks(stream, "kind", "ts", sink, checkpoint).awaitTermination()
