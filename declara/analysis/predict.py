@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from declara.operators import clusters as C
 from declara.operators import predictions as P
+from declara.operators import topics as TP
 from declara.operators.joins import family_name
 from declara.operators.projections import text_concat
 
@@ -37,6 +39,24 @@ def severity(table: DataFrame) -> DataFrame:
     return table.where(F.col("model").isin("gravité_ordinale", "gravité_binaire"))
 
 
+def clustering(documents: DataFrame, file: str, num: Column, cat: Column, model, names: DataFrame, k: int = 3, m: float = 2.0) -> DataFrame:
+    """(file, model, rank, class, class_name, proba): the k clusters with the largest memberships, which sum to 1.
+    ``names`` is ``(cluster, title)``."""
+    best = C.best_members(C.with_memberships(documents.select(file, num.alias("num"), cat.alias("cat")), model, F.col("num"), F.col("cat"), m, k=k), file)
+    named = best.join(names, "cluster", "left")
+    return named.select(
+        F.col(file).alias("file"), F.lit("cluster").alias("model"), F.col("rank").cast("long").alias("rank"), F.col("cluster").cast("string").alias("class"),
+        F.coalesce("title", F.lit("")).alias("class_name"), "proba")
+
+
+def topics(weights: DataFrame, file: str, names: DataFrame, k: int = 5) -> DataFrame:
+    """The same columns for the k heaviest topics of long ``weights`` (file, topic, weight). ``names`` is ``(topic, title)``."""
+    best = TP.document_topics(weights, file, k).join(names, "topic", "left")
+    return best.select(
+        F.col(file).alias("file"), F.lit("topics").alias("model"), F.col("rank").cast("long").alias("rank"), F.col("topic").cast("string").alias("class"),
+        F.coalesce("title", F.lit("")).alias("class_name"), F.col("weight").alias("proba"))
+
+
 def performances(df: DataFrame, truth: str, predicted: str, declarant: str) -> DataFrame:
     """Scores over all declarations and per declarant group."""
     from declara.operators.evaluate import group_scores

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from declara.functions import scores as S
 from declara.operators.aggregations import top_k
-from declara.runtime import with_global_rank
+from declara.runtime import draw, with_global_rank
 
 
 def top_k_sparse(matrix: DataFrame, k: int) -> DataFrame:
@@ -20,7 +20,7 @@ def project(label_vectors: DataFrame, dims: int, seed: int) -> DataFrame:
     entries are functions of their position, so every task sees the same matrix."""
     d = F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("d")
     rows = label_vectors.select("label", "feat", "v", d)
-    sign = F.when(F.pmod(F.xxhash64("feat", "d", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sign = F.when(F.substring(draw(seed, "feat", "d"), 1, 1).isin(list("02468ace")), 1.0).otherwise(-1.0)
     return rows.groupBy("label", "d").agg(F.sum(F.col("v") * sign).alias("z"))
 
 
@@ -46,7 +46,7 @@ def _radix(binned: DataFrame, bins: int) -> DataFrame:
 
 
 def random_codes(labels: DataFrame, codes: int, seed: int) -> DataFrame:
-    return labels.select("label", F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(codes)).alias("code"))
+    return labels.select("label", (F.conv(F.substring(draw(seed, "label"), 1, 8), 16, 10).cast("long") % codes).alias("code"))
 
 
 def count_model(instance_codes: DataFrame, given: DataFrame, k: int) -> DataFrame:

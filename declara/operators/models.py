@@ -93,13 +93,13 @@ def k_means(df: DataFrame, row: str, num: str, k: int, seed: int = 1029) -> Data
     return KMeans(k=k, seed=seed).fit(features).transform(features).select(row, num, F.col("prediction").alias("cluster"))
 
 
-def mixture_sweep(df: DataFrame, num: str, ks: list[int], seed: int = 1029) -> DataFrame:
+def mixture_sweep(df: DataFrame, num: str, ks: list[int], seed: int = 1029, max_iter: int = 100) -> DataFrame:
     """Log-likelihood, BIC and AIC of Gaussian mixtures of several sizes."""
     features = df.select(array_to_vector(F.col(num)).alias("features"))
     n, d = df.select(F.count("*"), F.max(F.size(num))).first()
     out = []
     for k in ks:
-        likelihood = float(GaussianMixture(k=k, seed=seed, maxIter=5).fit(features).summary.logLikelihood)
+        likelihood = float(GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(features).summary.logLikelihood)
         free = k * d + k * d * (d + 1) / 2 + k - 1
         out.append((k, likelihood, _log(n) * free - 2 * likelihood, 2 * free - 2 * likelihood))
     return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double, aic double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "textual", "clustering", "scoring", "forms", "learning", "streams", "questions"]
+MODULES = ["relational", "textual", "clustering", "scoring", "predicting", "forms", "learning", "streams", "questions"]
 
 
 def load() -> None:

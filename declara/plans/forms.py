@@ -36,6 +36,21 @@ def _(t: Tables):
     return FM.to_wide(FM.last_answers(_rows(t)), ["user", "assistant", "system"])
 
 
+@query("src_form_csv_files", f"""
+WITH {ANSWERS_SQL}
+SELECT file, max(value) FILTER (key = 'user') AS "user", max(value) FILTER (key = 'assistant') AS assistant, max(value) FILTER (key = 'system') AS system
+FROM answers GROUP BY file""")
+def _(t: Tables):
+    """The same forms, each from a key/value CSV file of its own."""
+    path = new_path(t.spark, "forms")
+    rows = _rows(t).repartition("file").sortWithinPartitions("file", "seq").select("file", F.col("key").alias("Column0"), F.col("value").alias("Column1"))
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy("file").csv(path)
+    answers = FM.last_answers(R.form_csv(t.spark, path))
+    named = answers.withColumn("file", F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("long"))
+    return FM.to_wide(named, ["user", "assistant", "system"])
+
+
 def _mapping(t: Tables):
     """Field mapping derived from the roles that occur: every field lists its questions in order."""
     entries = {"DESCRIPTION": ["user", "assistant"], "ETAT": ["system", "user"], "NOTE": ["system"]}

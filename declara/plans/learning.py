@@ -113,8 +113,7 @@ def _(t: Tables):
 
 @query("ml_gmm")
 def _(t: Tables):
-    axes = W.vectors(t).withColumn("num", F.slice("num", 1, 4))
-    return M.mixture_sweep(axes, "num", [2, 3, 4])
+    return M.mixture_sweep(W.vectors(t), "num", [2, 3, 4])
 
 
 @query("ml_dbscan", """

@@ -151,6 +151,37 @@ def _(t: Tables):
     return _corpus(t).topic_topwords().select(F.col("topic").cast("long").alias("topic"), "term", "rank")
 
 
+TOPIC_DOCS_SQL = TOPIC_MASS_SQL + """,
+sized AS (SELECT row_id, len(words) AS n_words FROM docs),
+kept AS (SELECT topic, row_id, weight FROM topic_rows JOIN sized ON row_id = vec_id WHERE n_words > (SELECT quantile_cont(n_words, 0.25) FROM sized)),
+cut AS (SELECT topic, quantile_cont(weight, 0.75) AS cut FROM kept GROUP BY topic),
+topic_docs AS (SELECT topic, 'R' || row_id AS declaration, row_id, weight FROM kept JOIN cut USING (topic) WHERE weight >= cut),
+bag AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(words) AS term FROM docs) GROUP BY ALL),
+freq AS (SELECT topic, term, sum(tf * weight) AS freq FROM bag JOIN topic_rows ON vec_id = row_id GROUP BY ALL),
+cloud AS (SELECT topic, term, freq, freq / total AS lift, row_number() OVER (PARTITION BY topic ORDER BY round(freq, 9) DESC, term) AS rank
+  FROM freq JOIN (SELECT term, sum(tf) AS total FROM bag GROUP BY term) USING (term) QUALIFY rank <= 30)"""
+
+
+@query("api_topic_documents", f"WITH {TOPIC_DOCS_SQL} SELECT topic, declaration, row_id, round(weight, 6) AS weight FROM topic_docs")
+def _(t: Tables):
+    return _corpus(t).topic_documents().select(F.col("topic").cast("long").alias("topic"), "declaration", "row_id", r6("weight").alias("weight"))
+
+
+@query("api_topic_wordcloud", f"WITH {TOPIC_DOCS_SQL} SELECT topic, term, round(freq, 6) AS freq, round(lift, 6) AS lift, rank FROM cloud")
+def _(t: Tables):
+    cloud = _corpus(t).topic_wordcloud()
+    return cloud.select(F.col("topic").cast("long").alias("topic"), "term", r6("freq").alias("freq"), r6("lift").alias("lift"), "rank")
+
+
+@query("api_topic_complete", f"""
+WITH {TOPIC_DOCS_SQL}, r AS (
+  SELECT 'weight' AS section, display::VARCHAR AS key, weight AS value, topic FROM (SELECT topic, weight, row_number() OVER (ORDER BY weight DESC, topic) AS display FROM topic_weight)
+  UNION ALL SELECT 'document', row_id::VARCHAR, weight, topic FROM topic_docs UNION ALL SELECT 'word', term, freq, topic FROM cloud)
+SELECT section, key, round(value, 6) AS value FROM r WHERE topic = 5""")
+def _(t: Tables):
+    return _sections(_corpus(t).topic_complete(5))
+
+
 @query("api_topic_model", f"""
 WITH {TOPIC_MODEL_SQL}, r AS (
   SELECT 'nb_topics' AS section, 'topics' AS key, count(*)::DOUBLE AS value FROM topic_weight

@@ -459,12 +459,15 @@ def _(t: Tables):
     return L.optimal_codes(labels, codes, 2).select("i", "code", r6("w").alias("w"))
 
 
-DIMS_SQL = "z AS (SELECT vec_id AS label, unnest([0, 1, 2, 3]) AS d, unnest(embedding[1:4])::DOUBLE AS z FROM embeddings)"
+DIMS_SQL = """
+z AS (SELECT label, d, round(sum(CASE WHEN substr(md5('1:' || feat || ':' || d), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN v ELSE -v END), 9) AS z
+  FROM (SELECT vec_id AS label, unnest(range(len(embedding))) AS feat, unnest(embedding)::DOUBLE AS v FROM embeddings), (SELECT unnest([0, 1, 2, 3]) AS d) GROUP BY label, d)"""
 
 
 def _dims(t: Tables):
-    """The first four coordinates of every vector stand for an already projected label embedding."""
-    return t.embeddings.select(F.col("vec_id").alias("label"), F.posexplode(F.slice("embedding", 1, 4)).alias("d", "z")).withColumn("z", F.col("z").cast("double"))
+    """All coordinates of every vector, projected on four axes."""
+    entries = t.embeddings.select(F.col("vec_id").alias("label"), F.posexplode("embedding").alias("feat", "v"))
+    return L.project(entries.withColumn("v", F.col("v").cast("double")), 4, 1).withColumn("z", F.round("z", 9))
 
 
 @query("ml_label_codes", f"""
@@ -482,10 +485,18 @@ def _(t: Tables):
     return L.uniform_codes(_dims(t), 8)
 
 
-@query("ml_label_codes_random")
+@query("ml_label_codes_random", f"""
+WITH {COORD_SQL}, w AS (SELECT i, 1 / sqrt(count(*)) AS w FROM il GROUP BY i),
+s AS (SELECT label, feat, sum(w * v) AS s FROM il JOIN w USING (i) JOIN f USING (i) GROUP BY label, feat),
+u AS (SELECT label, feat, s / sqrt(sum(s * s) OVER (PARTITION BY label)) AS v FROM s),
+z AS (SELECT label, d, round(sum(CASE WHEN substr(md5('1:' || feat || ':' || d), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN v ELSE -v END), 9) AS z
+  FROM u, (SELECT unnest([0, 1, 2, 3]) AS d) GROUP BY label, d),
+e AS (SELECT d, min(z) AS lo, max(z) AS hi FROM z GROUP BY d)
+SELECT label, CAST(sum(CASE WHEN z >= hi THEN 7 ELSE floor((z - lo) / ((hi - lo) / 7)) END * pow(8, d)) AS BIGINT) AS code,
+  ('0x' || substr(md5('1:' || label), 1, 8))::BIGINT % 16 AS drawn FROM z JOIN e USING (d) GROUP BY label""")
 def _(t: Tables):
     vectors = A.label_embeddings(_instance_labels(t), _instance_features(t))
-    projected = L.project(vectors, 4, 1)
+    projected = L.project(vectors, 4, 1).withColumn("z", F.round("z", 9))
     drawn = L.random_codes(projected.select("label").distinct(), 16, 1)
     return L.uniform_codes(projected, 8).join(drawn.withColumnRenamed("code", "drawn"), "label")
 
