@@ -300,3 +300,46 @@ def distances(num: Column, cat: Column, model: DataFrame | Model, gamma: float =
 def numbered(distances: Column, model: Model) -> Column:
     """An array in the order of the cluster numbers as ``(cluster, d)`` pairs."""
     return F.zip_with(F.lit(model.numbers.tolist()), distances, lambda c, d: F.struct(c.cast("int").alias("cluster"), d.alias("d")))
+
+
+def cosines(num: Column, model: DataFrame | Model) -> Column:
+    """Cosines of a vector with all centroids, in the order of the cluster numbers; null with a zero vector."""
+    model = prepared(model)
+
+    @F.arrow_udf("array<double>")
+    def score(num: pa.Array) -> pa.Array:
+        pieces, k = list(model.pieces()), len(model.numbers)
+        x = _matrix(num, pieces[0].centres.shape[1], float)
+        out = np.empty((len(x), k))
+        for piece in pieces:
+            size = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((piece.centres**2).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[:, piece.places] = np.where(size > 0, (x @ piece.centres.T) / size, np.nan)
+        flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k, dtype=np.int32)), flat, mask=_missing(num))
+
+    return score(num)
+
+
+def worst_overlap(num: Column, spread: Column, cluster: Column, model: Model, spreads: np.ndarray) -> Column:
+    """Largest (spread + spread of another cluster) / distance of the centres over all other clusters. ``spreads`` comes in the order
+    of the cluster numbers; only the extreme leaves a task."""
+
+    @F.arrow_udf("double")
+    def worst(num: pa.Array, spread: pa.Array, cluster: pa.Array) -> pa.Array:
+        pieces = list(model.pieces())
+        x = _matrix(num, pieces[0].centres.shape[1], float)
+        own, name, best = spread.to_numpy(zero_copy_only=False), cluster.to_numpy(zero_copy_only=False), np.full(len(x), -np.inf)
+        none = np.zeros((len(x), piece_width(pieces)), np.int64)
+        for piece in pieces:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = (own[:, None] + spreads[piece.places]) / np.sqrt(mixed(x, none, piece, 0.0))
+            ratio[name[:, None] == piece.numbers] = -np.inf
+            best = np.maximum(best, ratio.max(axis=1))
+        return pa.array(best, mask=~np.isfinite(best))
+
+    return worst(num, spread, cluster)
+
+
+def piece_width(pieces: list[Piece]) -> int:
+    return pieces[0].codes.shape[1]

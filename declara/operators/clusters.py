@@ -175,15 +175,17 @@ def nearest_by_cosine(num: Column, model: DataFrame) -> Column:
 
 
 def centroid_pairs(model: DataFrame, kind: str = "mixed", gamma: float = 1.0) -> DataFrame:
-    """Distance of every pair of centroids (k x k by definition): mixed, or cosine distance."""
-    dims = model.select(F.col("cluster").alias("b"), F.col("num").alias("_nb"), F.col("cat").alias("_cb"))
-    table = dims.agg(F.array_sort(F.collect_list(F.struct("b", "_nb", "_cb"))).alias("t")).scalar()
-    pairs = model.select(F.col("cluster").alias("a"), "num", "cat", F.inline(table))
+    """Distance of every pair of centroids (k x k by definition): mixed, or cosine distance. The table is multiplied block by block."""
+    table = stage(model.select("cluster", "num", "cat"))
+    ready = prepared(table)
+    if not len(ready.numbers):
+        return table.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.lit(0.0).alias("dist"))
     if kind == "cosine":
-        dist = 1 - V.cosine(F.col("num"), F.col("_nb"))
+        row = F.transform(assignment.cosines(F.col("num"), ready), lambda c: 1 - c)
     else:
-        dist = V.mixed_distance(F.col("num"), F.col("_nb"), F.col("cat"), F.col("_cb"), gamma)
-    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(dist).alias("dist"))
+        row = distances(F.col("num"), F.col("cat"), ready, gamma)
+    pairs = table.select(F.col("cluster").alias("a"), F.inline(numbered(row, ready)).alias("b", "dist"))
+    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("dist")).alias("dist"))
 
 
 def extreme_pairs(pairs: DataFrame) -> DataFrame:
@@ -235,12 +237,11 @@ def calinski_davies(df: DataFrame, cluster: str, num: str) -> DataFrame:
     ).agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("within").alias("w"), F.sum("between").alias("b")
     )
-    other = m.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("cluster").alias("o"), F.col("num").alias("o_num"), F.col("spread").alias("o_spread")
-    ))).alias("t")).scalar()
-    pairs = m.select("cluster", "num", "spread", F.inline(other)).where(F.col("cluster") != F.col("o"))
-    ratio = (F.col("spread") + F.col("o_spread")) / F.sqrt(V.squared_distance(F.col("num"), F.col("o_num")))
-    worst = pairs.select("cluster", ratio.alias("r")).groupBy("cluster").agg(F.max("r").alias("r"))
+    spreads = {r["cluster"]: r["spread"] for r in m.select("cluster", "spread").collect()}  # a number per cluster
+    ready = prepared(m.select(F.col("cluster"), "num", no_categories().alias("cat")))
+    worst = assignment.worst_overlap(
+        F.col("num"), F.col("spread"), F.col("cluster"), ready, np.array([spreads[c] for c in ready.numbers.tolist()]))
+    worst = m.select("cluster", worst.alias("r"))
     return total.select(
         ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"),
         worst.select(F.avg("r")).scalar().alias("davies_bouldin"),

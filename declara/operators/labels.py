@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from declara.functions import scores as S
 from declara.operators.aggregations import top_k
-from declara.runtime import draw, with_global_rank
+from declara.runtime import draw, stage, with_global_rank
 
 
 def top_k_sparse(matrix: DataFrame, k: int) -> DataFrame:
@@ -51,7 +51,7 @@ def random_codes(labels: DataFrame, codes: int, seed: int) -> DataFrame:
 
 def count_model(instance_codes: DataFrame, given: DataFrame, k: int) -> DataFrame:
     """Labels of every instance from its codes ``(i, code, w)`` by P(label | code), the k best."""
-    summed = instance_codes.join(given.select("code", "label", "p"), "code").groupBy("i", "label").agg(
+    summed = instance_codes.join(stage(given.select("code", "label", "p")), "code").groupBy("i", "label").agg(
         F.sum(F.col("w") * F.col("p")).alias("score")
     )
     return top_k(summed, ["i"], [F.col("score").desc(), F.col("label")], k)
@@ -67,10 +67,10 @@ def optimal_codes(instance_labels: DataFrame, label_codes: DataFrame, k: int) ->
 def beam_level(beam: DataFrame, children: DataFrame, node_scores: DataFrame, width: int, how: str = "mul") -> DataFrame:
     """One level of a top-down search: children ``(parent, node)`` of the kept nodes, scored by
     ``(i, node, v)`` through a sigmoid and combined with the parent's score; the best ``width`` stay."""
-    opened = beam.select("i", F.col("node").alias("parent"), F.col("score").alias("above")).join(children, "parent")
-    scored = opened.join(node_scores, ["i", "node"]).select(
-        "i", "node", S.combine(F.col("above"), S.sigmoid(F.col("v")), how).alias("score")
-    )
+    # every scored node finds its parent first, so the children of a node, the root's too, are never multiplied by its instances
+    placed = node_scores.join(stage(children), "node").select("i", "node", "parent", "v")
+    opened = beam.select("i", F.col("node").alias("parent"), F.col("score").alias("above"))
+    scored = placed.join(opened, ["i", "parent"]).select("i", "node", S.combine(F.col("above"), S.sigmoid(F.col("v")), how).alias("score"))
     return top_k(scored, ["i"], [F.col("score").desc(), F.col("node")], width).drop("rank")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Word2Vec
@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from declara.functions import vectors as V
@@ -177,28 +178,41 @@ def one_vs_rest_labels(train: DataFrame, df: DataFrame, row: str, labels: str, n
 
 
 def classifier_chains(
-    train: DataFrame, df: DataFrame, row: str, labels: str, num: str, chains: int = 10, seed: int = 1029, depth: int = 3, rounds: int = 5
+    train: DataFrame, df: DataFrame, row: str, labels: str, num: str, chains: int = 10, seed: int = 1029, passes: int = 60
 ) -> DataFrame:
-    """(row, label, score): mean vote of chains of boosted trees; in a chain every model also sees
-    the labels before it, true ones in training and predicted ones in use."""
+    """(row, label, score): mean vote of chains of logistic regressions in random orders; in a chain every model also sees the labels
+    before it, true ones in training and predicted ones in use. Since the true labels are known in training, all models
+    of all chains are columns of one fit, in which a column's weights on later labels stay 0."""
     from random import Random
 
-    names = [r[0] for r in train.select(F.explode(labels).alias("l")).distinct().orderBy("l").collect()]
-    votes = []
-    for c in range(chains):
-        order = Random(seed + c).sample(names, len(names))
-        fit, use = train.withColumn("_x", V.doubles(F.col(num))), df.select(row, V.doubles(F.col(num)).alias("_x"))
-        for i, name in enumerate(order):
-            flag = F.array_contains(labels, name).cast("double")
-            learner = GBTClassifier(labelCol="y", featuresCol="_f", maxDepth=depth, maxIter=rounds, seed=seed, predictionCol="_p")
-            model = learner.fit(fit.select(array_to_vector("_x").alias("_f"), flag.alias("y")))
-            fit = fit.withColumn("_x", F.concat("_x", F.array(flag)))
-            use = model.transform(use.withColumn("_f", array_to_vector("_x"))).withColumn(f"v{i}", F.col("_p"))
-            use = use.withColumn("_x", F.concat("_x", F.array("_p"))).drop("_f", "_p", "rawPrediction", "probability")
-        use = stage(use)
-        answers = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"v{i}").alias("vote")) for i, n in enumerate(order)])
-        votes.append(use.select(row, F.inline(answers)))
-    return reduce(DataFrame.unionByName, votes).groupBy(row, "label").agg((F.sum("vote") / chains).alias("score"))
+    names = L.class_list(train, F.explode(labels))
+    kind, element = df.schema[row].dataType, train.schema[labels].dataType.elementType
+    k, orders = len(names), [Random(seed + c).sample(range(len(names)), len(names)) for c in range(chains)]
+    seen = F.array(*[F.coalesce(F.array_contains(labels, F.lit(n)), F.lit(False)).cast("double") for n in names]) if names else F.array().cast("array<double>")
+    data = stage(L.prepared(train.withColumn("_x", F.concat(V.doubles(F.col(num)), seen)), row, "_x", labels, names))
+    width = (data.agg(F.max(F.size("x"))).first()[0] or k) - k
+    mask = np.ones((width + k + 1, chains * k))
+    for c, order in enumerate(orders):
+        for place, label in enumerate(order):
+            mask[width + np.array(order[place:], int), c * k + label] = 0.0
+    model = L.fit(data, names, chains, "logistic", passes=passes, held=False, mask=mask)
+
+    def vote(batches):
+        listed = pa.array(names, to_arrow_type(element))
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            votes = np.zeros((len(x), k))
+            for c, order in enumerate(orders):
+                w, said = model.of_fold(c), np.zeros((len(x), k))
+                for label in order:
+                    said[:, label] = x @ w[:width, label] + said @ w[width:-1, label] + w[-1, label] > 0
+                votes += said
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(len(x)), k))), listed.take(pa.array(np.tile(np.arange(k), len(x)))), pa.array((votes / chains).ravel())],
+                names=[row, "label", "score"])
+
+    rows = df.select(row, V.doubles(F.col(num)).alias("x")).where("x IS NOT NULL")
+    return rows.mapInArrow(vote, f"`{row}` {kind.simpleString()}, label {element.simpleString()}, score double")
 
 
 def compare_baselines(df: DataFrame, row: str, label: str, num: str, folds: int = 3) -> DataFrame:

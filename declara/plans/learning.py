@@ -14,6 +14,7 @@ from declara.operators import features as X
 from declara.operators import lda as L
 from declara.operators import models as M
 from declara.operators import svd as SV
+from declara.operators import sweeps as SW
 from declara.plans import views as W
 from declara.plans.registry import Tables, query
 from declara.plans.views import r6
@@ -189,7 +190,7 @@ def _(t: Tables):
 
 
 def _label_sets(t: Tables):
-    flags = F.filter(F.array(*[F.when(F.col("num")[i] > 0, f"L{i}") for i in range(3)]), lambda x: x.isNotNull())
+    flags = F.filter(F.array(*[F.when(F.col("num")[i] > 0, f"L{i}") for i in range(7)]), lambda x: x.isNotNull())
     return W.vectors(t).withColumn("labels", flags)
 
 
@@ -202,10 +203,26 @@ def _(t: Tables):
 @query("ml_classifier_chain")
 def _(t: Tables):
     train, test = M.split_rows(_label_sets(t), "vec_id")
-    return M.classifier_chains(train, test, "vec_id", "labels", "num", chains=2, rounds=2)
+    return M.classifier_chains(train, test, "vec_id", "labels", "num")
 
 
 @query("tune_param_sweep")
 def _(t: Tables):
     return M.parameter_sweep(W.vectors(t), "label", "num", [0.0, 0.1], [3, 6])
 
+
+@query("tune_topics")
+def _(t: Tables):
+    tokens = T.tokens(F.col("text"))
+    columns = {"words": tokens, "distinct words": F.array_distinct(tokens), "word pairs": X.word_grams(tokens, 2, 2)}
+    return SW.topic_sweep(t.texts, "doc_id", columns, [20, 50, 150])
+
+
+@query("tune_clusters")
+def _(t: Tables):
+    return SW.cluster_sweep(_mixed(t), "vec_id", "label", [2, 4, 6, 8, 10])
+
+
+@query("tune_tfidf")
+def _(t: Tables):
+    return SW.tfidf_sweep(t.texts, "doc_id", T.tokens(F.col("text")), "lang", [50, 500, 5000])

@@ -134,3 +134,23 @@ def test_label_sets(spark):
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([], "row long, num array<double>, label string")
     assert M.svm_scores(df, df, "row", "label", "num").count() == 0
+
+
+def test_chains_use_the_labels_before(spark):
+    """L2 is L0 and L1, which no plane through the vectors tells; chains that come to it last see both."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 2))
+    bits = np.column_stack([x[:, 0] > 0, x[:, 1] > 0, np.zeros(400, bool)])
+    bits[:, 2] = bits[:, 0] & bits[:, 1]
+    rows = [(i, v.tolist(), [f"L{j}" for j in range(3) if bits[i, j]]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row long, num array<double>, labels array<string>")
+    out = M.classifier_chains(df, df, "row", "labels", "num", chains=10, passes=80).collect()
+    score = np.zeros((400, 3))
+    for r in out:
+        score[r["row"], int(r["label"][1])] = r["score"]
+    assert len(out) == 1200 and set(np.round(score.ravel() * 10) / 10) <= {i / 10 for i in range(11)}
+    right = ((score >= 0.5) == bits).mean(axis=0)
+    alone = M.one_vs_rest_labels(df, df, "row", "labels", "num").where("label = 'L2'").collect()
+    assert right[:2].min() > 0.95 and right[2] > np.mean([(r["score"] > 0) == bits[r["row"], 2] for r in alone])
+    one = M.classifier_chains(df, df.limit(5), "row", "labels", "num", chains=1).collect()
+    assert {r["score"] for r in one} <= {0.0, 1.0}

@@ -55,4 +55,27 @@ def test_sweeps_and_baselines(spark):
 
 def test_multilabel_models_score_every_label(spark):
     for name in ("ml_ovr_multilabel", "ml_classifier_chain"):
-        assert rows(spark, name).groupBy("vec_id").count().where("count <> 3").isEmpty()
+        assert rows(spark, name).groupBy("vec_id").count().where("count <> 7").isEmpty()
+
+
+def test_sweeps_answer_every_point(spark):
+    topics = rows(spark, "tune_topics").collect()
+    assert len(topics) == 9 and all(r["coherence"] <= 0.7 and r["terms"] > 0 for r in topics) and len({r["terms"] for r in topics}) >= 2
+    clusters = sorted(rows(spark, "tune_clusters").collect())
+    assert [r["clusters"] for r in clusters] == [2, 4, 6, 8, 10] and all(0 < r["used"] <= r["clusters"] for r in clusters)
+    assert clusters[0]["inertia"] > clusters[-1]["inertia"]
+    sizes = sorted(rows(spark, "tune_tfidf").collect())
+    assert [r["size"] for r in sizes] == [50, 500, 5000] and sizes[-1]["accuracy"] > 0.9 and sizes[0]["terms"] <= 50
+
+
+def test_sweep_failures_are_raised(spark):
+    from declara.operators.sweeps import grid
+
+    def job(point):
+        if point["a"] == 2:
+            raise ValueError("two")
+        return {"b": float(spark.range(point["a"]).count())}
+
+    assert sorted(tuple(r) for r in grid(spark, [{"a": 1}, {"a": 3}], job, "a int, b double").collect()) == [(1, 1.0), (3, 3.0)]
+    with pytest.raises(ValueError):
+        grid(spark, [{"a": 1}, {"a": 2}], job, "a int, b double")
