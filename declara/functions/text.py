@@ -167,6 +167,38 @@ def head_tail(words: Column, budget: int) -> Column:
     return let(words, cut)
 
 
+def trim_fields(short: Column, one: Column, two: Column, budget: int = 290, limits: tuple[int, int, int] = (30, 128, 128)) -> Column:
+    """Struct (short, one, two) of three word lists that fit a budget of words and four marks. The short list keeps its head; what it leaves
+    goes to the long ones by halves, and what one of them leaves to the other; a long list that is still too long keeps head and tail."""
+    a, b, c = limits
+
+    def sizes(s, n, m):
+        kept = F.least(s, F.lit(a))
+        spare = a - kept
+        most_one, most_two = b + F.ceil(spare / 2).cast("int"), c + F.floor(spare / 2).cast("int")
+        first = F.when(most_two > m, most_one + most_two - m).when(most_one > n, n).otherwise(most_one)
+        second = F.when(most_two > m, m).when(most_one > n, most_two + most_one - n).otherwise(most_two)
+        fits = s + n + m + 4 <= budget
+        return F.struct(F.when(fits, s).otherwise(kept).alias("s"), F.when(fits, n).otherwise(first).alias("n"), F.when(fits, m).otherwise(second).alias("m"))
+
+    def ends(words, size):
+        head = F.bround(size / 2).cast("int")
+        tail = F.least(size - head, F.size(words))
+        whole = F.concat(F.slice(words, 1, head), F.slice(words, F.size(words) - tail + 1, tail))
+        return F.when(F.size(words) <= size, words).otherwise(whole)
+
+    size = lambda w: F.greatest(F.size(w), F.lit(0))
+    return let(sizes(size(short), size(one), size(two)), lambda k: F.struct(
+        F.slice(short, 1, k["s"]).alias("short"), ends(one, k["n"]).alias("one"), ends(two, k["m"]).alias("two")))
+
+
+def segments(short: Column, one: Column, two: Column, length: int) -> Column:
+    """0 for the start mark, the short and the first long list with their end marks, 1 for the second with its mark, 0 beyond."""
+    first = F.least(F.size(short) + F.size(one) + 3, F.lit(length))
+    second = F.least(F.size(two) + 1, length - first)
+    return F.concat(F.array_repeat(F.lit(0), first), F.array_repeat(F.lit(1), second), F.array_repeat(F.lit(0), length - first - second))
+
+
 def pad_right(ids: Column, length: int, fill: int = 0) -> Column:
     return let(ids, lambda a: F.concat(
         F.slice(a, 1, length), F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length - F.size(a)))

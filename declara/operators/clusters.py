@@ -259,9 +259,10 @@ def simplified_silhouette(df: DataFrame, cluster: str, num: str) -> float:
 # -- prediction mix and updates ---------------------------------------------------
 
 
-def hypotheses(predictions: DataFrame, file: str = "file") -> DataFrame:
-    """Prior of every combination of each file's best two effects, dysfunctions and consequences
-    and its best family (best two when the best one has no name).
+def hypotheses(predictions: DataFrame, file: str = "file", variant: str = "double") -> DataFrame:
+    """Prior of every combination of a file's best classes. "double": its best two effects, dysfunctions and consequences
+    and its best family (best two when the best one has no name); "family first": the best family only; "direct": the
+    best class of every model; "all double": the best two of every model.
 
     Input is the ranked prediction table; every file contributes at most 16 combinations, built
     inside its own row.
@@ -275,7 +276,12 @@ def hypotheses(predictions: DataFrame, file: str = "file") -> DataFrame:
     best = wanted.groupBy(file).agg(
         of("DCO").alias("dco"), of("effet").alias("tef"), of("dysfonctionnement").alias("tdy"), of("consequence").alias("cdy")
     )
-    families = F.when(F.get("dco", F.lit(0))["n"] == "", F.col("dco")).otherwise(F.slice("dco", 1, 1))
+    one = F.slice("dco", 1, 1)
+    families = {
+        "double": F.when(F.get("dco", F.lit(0))["n"] == "", F.col("dco")).otherwise(one), "family first": one, "direct": one, "all double": F.col("dco")
+    }[variant]
+    if variant == "direct":
+        best = best.withColumns({c: F.slice(c, 1, 1) for c in ("tef", "tdy", "cdy")})
 
     def combine(d, e, t, k):
         return F.struct(

@@ -86,6 +86,24 @@ def anomalies(train: DataFrame, df: DataFrame, row: str, num: str, k: int, q: fl
     return reconstruction_error(train, df, row, num, k).withColumn("is_anomaly", F.col("error") > cut)
 
 
+def reconstruction_cosine(train: DataFrame, df: DataFrame, row: str, num: str, k: int) -> DataFrame:
+    """(row, cosine) of a vector and its reconstruction from the k leading axes of ``train``: low for unusual rows."""
+    vectors = train.select(array_to_vector(F.col(num)).alias("features"))
+    mean = np.array(vectors.agg(Summarizer.metrics("mean").summary(F.col("features")).alias("s")).select(vector_to_array("s.mean")).first()[0])
+    axes = PCA(k=k, inputCol="features", outputCol="p").fit(vectors).pc.toArray()  # dimensions x k
+
+    @F.arrow_udf("double")
+    def cosine(column: pa.Array) -> pa.Array:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
+        back = mean + (x - mean) @ axes @ axes.T if len(x) else x
+        out = np.full(len(known), np.nan)
+        out[known] = (x * back).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) + 1e-6) / (np.sqrt((back * back).sum(axis=1)) + 1e-6)
+        return pa.array(out, mask=~known)
+
+    return df.select(row, cosine(V.doubles(F.col(num))).alias("cosine"))
+
+
 # -- clusters ----------------------------------------------------------------------------------
 
 

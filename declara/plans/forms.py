@@ -231,15 +231,16 @@ def _(t: Tables):
 
 
 @query("src_libsvm", """
-SELECT label::DOUBLE AS label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS first_sum FROM embeddings GROUP BY label""")
+SELECT label::DOUBLE AS label, i, count(*) AS n, round(sum(x), 4) AS total
+FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i""")
 def _(t: Tables):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     path = new_path(t.spark, "libsvm")
     rows = t.embeddings.select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     rows.write.format("libsvm").save(path)
-    read = R.libsvm(t.spark, path, 64).withColumn("x", vector_to_array("features")[0])
-    return read.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("first_sum"))
+    read = R.libsvm(t.spark, path, 64).select("label", F.posexplode(vector_to_array("features")).alias("i", "x"))
+    return read.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
 @query("snk_csv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -249,12 +250,12 @@ def _(t: Tables):
     return t.spark.read.schema("s_suppkey long, s_name string, s_acctbal double").option("header", True).csv(path)
 
 
-@query("snk_json", "SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+@query("snk_json", "SELECT vec_id, label, unnest(range(len(embedding))) AS i, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings")
 def _(t: Tables):
     path = new_path(t.spark, "json")
     S.json(t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")), path)
     read = t.spark.read.schema("vec_id long, label int, embedding array<double>").json(path)
-    return read.select("vec_id", "label", r6(F.col("embedding")[0]).alias("first"))
+    return read.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
 @query("snk_parquet", "SELECT doc_id, text, lang, source FROM documents")
@@ -264,14 +265,20 @@ def _(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@query("snk_train_test", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+@query("snk_train_test", """
+SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(DISTINCT text) AS texts, 0::BIGINT AS straddling, TRUE AS a_fifth FROM documents""")
 def _(t: Tables):
     from declara.operators.encode import split_by_text
 
     path = new_path(t.spark, "split")
     S.train_test(split_by_text(t.documents.select("doc_id", "text", "source"), "text").drop("text"), "is_test", path)
-    both = [t.spark.read.schema("doc_id long, source string").option("header", True).option("sep", "|").csv(f"{path}/{side}") for side in ("train", "test")]
-    return both[0].unionByName(both[1]).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    both = [t.spark.read.schema("doc_id long, source string").option("header", True).option("sep", "|").csv(f"{path}/{side}").withColumn("test", F.lit(i))
+            for i, side in enumerate(("train", "test"))]
+    rows = both[0].unionByName(both[1]).join(t.documents.select("doc_id", F.md5("text").alias("text")), "doc_id")
+    texts = rows.groupBy("text").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("test").alias("sides"), F.max("test").alias("test"))
+    return texts.agg(
+        F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.count("*").alias("texts"), F.count_if(F.col("sides") > 1).alias("straddling"),
+        F.avg("test").between(0.1, 0.3).alias("a_fifth"))
 
 
 @query("snk_versioned_append", """

@@ -166,6 +166,14 @@ def _(t: Tables):
     return M.anomalies(df, df, "vec_id", "num", 8, 0.95)
 
 
+@query("ml_anomaly_auc")
+def _(t: Tables):
+    """AUC and average precision of the reconstruction cosine, two labels being the unusual ones."""
+    df = W.vectors(t)
+    scored = M.reconstruction_cosine(df.where("label < 8"), df, "vec_id", "num", 8).join(df.select("vec_id", (F.col("label") >= 8).cast("int").alias("y")), "vec_id")
+    return EV.auc_ap(scored.withColumn("s", -F.col("cosine")), "s", "y")
+
+
 @query("ml_svm_calibrated")
 def _(t: Tables):
     train, test = M.split_rows(W.vectors(t), "vec_id")

@@ -215,9 +215,9 @@ combos AS (SELECT d.file, d.class AS dco, e.class AS tef, y.class AS tdy, c.clas
 hypotheses AS (SELECT file, dco, tef, tdy, cdy, p / sum(p) OVER (PARTITION BY file) AS prior FROM combos)"""
 
 
-def _hypotheses(t: Tables):
+def _hypotheses(t: Tables, variant: str = "double"):
     name = F.when((F.col("model") == "DCO") & (F.col("class").try_cast("int") % 7 == 0), "").otherwise(F.col("class_name"))
-    return C.hypotheses(W.ranked(t, 2).withColumn("class_name", name))
+    return C.hypotheses(W.ranked(t, 2).withColumn("class_name", name), variant=variant)
 
 
 @query("jn_hypotheses", f"WITH {HYPO_SQL} SELECT file, dco, tef, tdy, cdy, round(prior, 10) AS prior FROM hypotheses")
@@ -225,6 +225,27 @@ def _(t: Tables):
     return _hypotheses(t).select("file", "dco", "tef", "tdy", "cdy", F.round("prior", 10).alias("prior"))
 
 
+def _variant_sql(family: str, others: str) -> str:
+    kept = HYPO_SQL.replace("AND (d.rank = 1 OR f.name = '')", f"AND {family} AND {others}")
+    assert kept != HYPO_SQL
+    return f"WITH {kept} SELECT file, dco, tef, tdy, cdy, round(prior, 6) AS prior FROM hypotheses"
+
+
+@query("jn_hypotheses_direct", _variant_sql("d.rank = 1", "e.rank = 1 AND y.rank = 1 AND c.rank = 1"))
+def _(t: Tables):
+    return _hypotheses(t, "direct").select("file", "dco", "tef", "tdy", "cdy", r6("prior").alias("prior"))
+
+
+@query("jn_hypotheses_family_first", _variant_sql("d.rank = 1", "true"))
+def _(t: Tables):
+    return _hypotheses(t, "family first").select("file", "dco", "tef", "tdy", "cdy", r6("prior").alias("prior"))
+
+
+@query("jn_hypotheses_all_double", _variant_sql("true", "true"))
+def _(t: Tables):
+    return _hypotheses(t, "all double").select("file", "dco", "tef", "tdy", "cdy", r6("prior").alias("prior"))
+
+
 @query("ml_hypothesis_mix", f"""
 WITH {HYPO_SQL}, {W.CENTRES.strip()},
 cats AS (SELECT label, unnest([0, 1, 2, 3]) AS a, unnest([vec_id % 5, vec_id % 2, vec_id % 4, vec_id % 3]) AS code FROM embeddings),

@@ -209,9 +209,9 @@ def _(t: Tables):
     return t.supplier.select("s_suppkey", F.array_join(T.parse_terms(text), ",").alias("terms"))
 
 
-@query("fn_pos_to_lemma", "SELECT p_partkey, p_name AS lemmas FROM part")
+@query("fn_pos_to_lemma", "SELECT p_partkey, p_name AS lemmas FROM part")  # the tags leave, whatever they are
 def _(t: Tables):
-    tagged = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(w, F.lit("_NOUN"))), " ")
+    tagged = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(w, F.lit("_"), F.upper(F.reverse(w)), F.lit("_x"))), " ")
     return t.part.select("p_partkey", F.array_join(T.pos_to_lemma(tagged), " ").alias("lemmas"))
 
 
@@ -238,6 +238,28 @@ def _(t: Tables):
     return t.texts.select("doc_id", F.array_join(T.head_tail(F.split("text", " "), 25), " ").alias("words"))
 
 
+@query("fn_trim_fields", f"""
+WITH w AS (SELECT doc_id, {PIECES_SQL}[1:45] AS a, {PIECES_SQL}[46:205] AS b, {PIECES_SQL}[206:] AS c FROM documents),
+k AS (SELECT *, len(a) + len(b) + len(c) + 4 <= 290 AS fits, least(len(a), 30) AS s, 128 + CAST(ceil((30 - least(len(a), 30)) / 2) AS BIGINT) AS mb,
+  128 + CAST(floor((30 - least(len(a), 30)) / 2) AS BIGINT) AS mc FROM w),
+z AS (SELECT doc_id, a, b, c, CASE WHEN fits THEN len(a) ELSE s END AS s,
+  CASE WHEN fits THEN len(b) WHEN mc > len(c) THEN mb + mc - len(c) WHEN mb > len(b) THEN len(b) ELSE mb END AS n,
+  CASE WHEN fits THEN len(c) WHEN mc > len(c) THEN len(c) WHEN mb > len(b) THEN mc + mb - len(b) ELSE mc END AS m FROM k),
+t AS (SELECT doc_id, a[1:s] AS a, CASE WHEN len(b) <= n THEN b ELSE list_concat(b[1:CAST(round_even(n / 2, 0) AS BIGINT)], b[len(b) - (n - CAST(round_even(n / 2, 0) AS BIGINT)) + 1:]) END AS b,
+  CASE WHEN len(c) <= m THEN c ELSE list_concat(c[1:CAST(round_even(m / 2, 0) AS BIGINT)], c[len(c) - (m - CAST(round_even(m / 2, 0) AS BIGINT)) + 1:]) END AS c FROM z)
+SELECT doc_id, array_to_string(a, ' ') AS short, array_to_string(b, ' ') AS one, array_to_string(c, ' ') AS two,
+  len(a) + len(b) + 3 AS zeros, len(c) + 1 AS ones, 290 - len(a) - len(b) - len(c) - 4 AS padding FROM t""")
+def _(t: Tables):
+    """Three fields in one budget, and the segment array of the sequence they make."""
+    w = t.texts.select("doc_id", F.split("text", " ").alias("w"))
+    fields = w.select("doc_id", T.trim_fields(F.slice("w", 1, 45), F.slice("w", 46, 160), F.slice("w", 206, 1 << 30)).alias("f")).select("doc_id", "f.*")
+    marked = fields.withColumn("seg", T.segments(F.col("short"), F.col("one"), F.col("two"), 290))
+    ones = F.aggregate("seg", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    zeros = F.array_position("seg", 1) - 1
+    return marked.select(
+        "doc_id", *[F.array_join(c, " ").alias(c) for c in ("short", "one", "two")], zeros.alias("zeros"), ones.alias("ones"), (F.size("seg") - zeros - ones).alias("padding"))
+
+
 @query("fn_pad_mask", f"""
 WITH n AS (SELECT doc_id, list_transform({PIECES_SQL}, lambda w: length(w)) AS ids FROM documents)
 SELECT doc_id, array_to_string(list_concat(ids[1:40], list_transform(range(greatest(0, 40 - len(ids))), lambda i: 0)), ' ') AS ids,
@@ -251,17 +273,19 @@ def _(t: Tables):
 
 
 @query("fn_score_transform", """
-WITH s AS (SELECT vec_id, embedding[1]::DOUBLE * 10 AS v, embedding[2]::DOUBLE * 10 AS w FROM embeddings),
+WITH s AS (SELECT vec_id, i, embedding[i]::DOUBLE * 10 AS v, embedding[i + 1]::DOUBLE * 10 AS w FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding))) AS i FROM embeddings)),
 p AS (SELECT *, 1 / (1 + exp(-v)) AS a, 1 / (1 + exp(-w)) AS b FROM s)
-SELECT vec_id, round(a, 6) AS sigmoid, round(ln(a), 6) AS log_sigmoid, round(exp(-pow(greatest(1 - v, 0), 2)), 6) AS l2_hinge,
+SELECT vec_id, i, round(a, 6) AS sigmoid, round(ln(a), 6) AS log_sigmoid, round(exp(-pow(greatest(1 - v, 0), 2)), 6) AS l2_hinge,
   round(a + b, 6) AS added, round(a * b, 6) AS multiplied, round(greatest(a, b), 6) AS larger, round(1 - (1 - a) * (1 - b), 6) AS noisy_or FROM p""")
 def _(t: Tables):
     from declara.functions import scores as S
 
-    s = t.embeddings.select("vec_id", (F.col("embedding")[0].cast("double") * 10).alias("v"), (F.col("embedding")[1].cast("double") * 10).alias("w"))
+    pairs = F.inline(F.transform(F.sequence(F.lit(1), F.size("embedding") - 1), lambda i: F.struct(
+        i.cast("long").alias("i"), (F.get("embedding", i - 1).cast("double") * 10).alias("v"), (F.get("embedding", i).cast("double") * 10).alias("w"))))
+    s = t.embeddings.select("vec_id", pairs)
     a, b = S.sigmoid(F.col("v")), S.sigmoid(F.col("w"))
     return s.select(
-        "vec_id", r6(a).alias("sigmoid"), r6(S.log_sigmoid(F.col("v"))).alias("log_sigmoid"), r6(S.hinge(F.col("v"), 2)).alias("l2_hinge"),
+        "vec_id", "i", r6(a).alias("sigmoid"), r6(S.log_sigmoid(F.col("v"))).alias("log_sigmoid"), r6(S.hinge(F.col("v"), 2)).alias("l2_hinge"),
         *[r6(S.combine(a, b, how)).alias(n) for how, n in (("add", "added"), ("mul", "multiplied"), ("max", "larger"), ("noisy_or", "noisy_or"))],
     )
 
@@ -522,11 +546,12 @@ def _(t: Tables):
     return E.indicator_rows(sets, "l_orderkey", "labels", E.label_codes(t.lineitem, "l_suppkey"))
 
 
-@query("spl_group_shuffle", "SELECT count(*) AS texts, 0::BIGINT AS straddling FROM (SELECT DISTINCT text FROM documents)")
+@query("spl_group_shuffle", "SELECT count(*) AS texts, 0::BIGINT AS straddling, TRUE AS a_fifth FROM (SELECT DISTINCT text FROM documents)")
 def _(t: Tables):
     split = E.split_by_text(t.documents.select("text"), "text")
-    sides = split.groupBy("text").agg(F.count_distinct("is_test").alias("sides"))
-    return sides.agg(F.count("*").alias("texts"), F.count_if(F.col("sides") > 1).alias("straddling"))
+    sides = split.groupBy("text").agg(F.count_distinct("is_test").alias("sides"), F.max("is_test").alias("test"))
+    return sides.agg(
+        F.count("*").alias("texts"), F.count_if(F.col("sides") > 1).alias("straddling"), F.avg(F.col("test").cast("int")).between(0.1, 0.3).alias("a_fifth"))
 
 
 @query("spl_multilabel_stratified", """

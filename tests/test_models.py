@@ -79,3 +79,19 @@ def test_sweep_failures_are_raised(spark):
     assert sorted(tuple(r) for r in grid(spark, [{"a": 1}, {"a": 3}], job, "a int, b double").collect()) == [(1, 1.0), (3, 3.0)]
     with pytest.raises(ValueError):
         grid(spark, [{"a": 1}, {"a": 2}], job, "a int, b double")
+
+
+def test_reconstruction_cosine(spark):
+    import numpy as np
+
+    from declara.operators import models as M
+
+    x = np.random.default_rng(3).normal(size=(60, 6)) * [5, 3, 2, 1, 1, 1] + 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "row long, num array<double>")
+    train = df.where("row < 40")
+    got = {r["row"]: r["cosine"] for r in M.reconstruction_cosine(train, df, "row", "num", 3).collect()}
+    mean = x[:40].mean(axis=0)
+    axes = np.linalg.svd(x[:40] - mean, full_matrices=False)[2][:3].T
+    back = mean + (x - mean) @ axes @ axes.T
+    want = (x * back).sum(axis=1) / (np.linalg.norm(x, axis=1) + 1e-6) / (np.linalg.norm(back, axis=1) + 1e-6)
+    assert np.allclose([got[i] for i in range(60)], want, rtol=1e-9) and got[99] is None
