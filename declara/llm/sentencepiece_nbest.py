@@ -149,10 +149,17 @@ class Pieces:
                 back[end] = piece
             elif total > second[end]:
                 second[end] = total
-        pieces, place = [], len(part)
+        place = len(part)
+        if place <= LISTED_PART:
+            ids = ()
+            while place:
+                length, _, piece = back[place]
+                ids, place = piece + ids, place - length
+            return first[-1], ids, first[-1] - second[-1]
+        pieces = []
         while place:
-            length, _, ids = back[place]
-            pieces.append(ids)
+            length, _, piece = back[place]
+            pieces.append(piece)
             place -= length
         return first[-1], tuple(chain.from_iterable(reversed(pieces))), first[-1] - second[-1]
 
