@@ -11,7 +11,8 @@ The counts are combined per task into at most languages x buckets rows; the mode
 tasks has bits x buckets numbers. Long texts are read in blocks of bounded size.
 
 Null texts and texts without a letter are ``und`` with score 0; without learning documents all
-are ``und``. Case and everything but letters are ignored.
+are ``und``. Case and everything but letters are ignored. Up to six languages have the exhaustive code, more of them a fixed
+pseudo-random one. Of tied codewords the first language in order wins, and the text is ambiguous; repeated rows get equal answers.
 """
 
 from __future__ import annotations

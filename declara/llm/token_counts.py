@@ -4,8 +4,8 @@ A document is cut into segments at places that are boundaries between pre-tokens
 around them: before a space that follows a non-space and precedes a letter. Segments are encoded on
 their own, and their lengths and token counts are the leaves of a segment tree of sums. An edit is
 located by descending the tree; the segments it touches and one segment of context on either side are
-cut and encoded anew, and only the sums above them change. The count always equals that of encoding
-the whole edited text.
+cut and encoded anew, and the sums above them change; where an edit changes the number of segments, the sums - not the
+segments - are formed anew. The count always equals that of encoding the whole edited text.
 
 One scan; a document's tree lives only while its row is worked on, and its texts are never
 concatenated but for the touched region. Null texts are empty; edits beyond the end are clipped, null
