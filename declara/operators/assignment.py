@@ -341,5 +341,30 @@ def worst_overlap(num: Column, spread: Column, cluster: Column, model: Model, sp
     return worst(num, spread, cluster)
 
 
+def silhouette(num: Column, cluster: Column, model: Model, sizes: np.ndarray, squares: np.ndarray) -> Column:
+    """Silhouette of a document by mean squared distances: to a cluster it is the squared distance of the centre plus the
+    cluster's mean square less the centre's. ``sizes`` and ``squares`` come in the order of the cluster numbers."""
+
+    @F.arrow_udf("double")
+    def score(num: pa.Array, cluster: pa.Array) -> pa.Array:
+        pieces = list(model.pieces())
+        x, name = _matrix(num, pieces[0].centres.shape[1], float), cluster.to_numpy(zero_copy_only=False)
+        none = np.zeros((len(x), piece_width(pieces)), np.int64)
+        own, other, alone = np.zeros(len(x)), np.full(len(x), np.inf), np.zeros(len(x), bool)
+        for piece in pieces:
+            n = sizes[piece.places]
+            d = mixed(x, none, piece, 0.0) + squares[piece.places] - (piece.centres**2).sum(axis=1)
+            i, j = np.nonzero(name[:, None] == piece.numbers)
+            own[i], alone[i] = d[i, j] * n[j] / np.maximum(n[j] - 1, 1), n[j] == 1
+            d[i, j] = np.inf
+            other = np.minimum(other, d.min(axis=1))
+        most = np.maximum(own, other)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.where(alone | ~np.isfinite(other) | (most <= 0), 0.0, (other - own) / most)
+        return pa.array(s, mask=num.is_null().to_numpy(zero_copy_only=False))
+
+    return score(num, cluster)
+
+
 def piece_width(pieces: list[Piece]) -> int:
     return pieces[0].codes.shape[1]

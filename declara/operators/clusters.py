@@ -248,12 +248,17 @@ def calinski_davies(df: DataFrame, cluster: str, num: str) -> DataFrame:
     )
 
 
-def simplified_silhouette(df: DataFrame, cluster: str, num: str) -> float:
-    """Mean silhouette with squared Euclidean distance, from cluster statistics instead of pairs."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    features = df.select(F.col(cluster).cast("int").alias("prediction"), array_to_vector(F.col(num)).alias("features"))
-    return ClusteringEvaluator().evaluate(features)
+def simplified_silhouette(df: DataFrame, cluster: str, num: str) -> DataFrame:
+    """(silhouette): mean silhouette with squared Euclidean distance, from cluster statistics instead of pairs. A document that is a
+    cluster by itself counts 0, and so do all documents of a single cluster."""
+    rows = df.select(F.col(cluster).alias("cluster"), V.doubles(F.col(num)).alias("num"))
+    square = F.sum(V.dot(F.col("num"), F.col("num")))
+    table = stage(numeric_centres(rows, "cluster", "num").join(rows.groupBy("cluster").agg(square.alias("square")), "cluster"))
+    around = {r["cluster"]: (r["n"], r["square"] / r["n"]) for r in table.select("cluster", "n", "square").collect()}  # two numbers per cluster
+    ready = prepared(table.select("cluster", "num", no_categories().alias("cat")))
+    sizes, squares = (np.array([around[c][i] for c in ready.numbers.tolist()], dtype=float) for i in (0, 1))
+    value = assignment.silhouette(F.col("num"), F.col("cluster"), ready, sizes, squares) if len(ready.numbers) else F.lit(None).cast("double")
+    return rows.select(value.alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
 # -- prediction mix and updates ---------------------------------------------------

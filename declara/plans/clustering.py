@@ -284,8 +284,7 @@ d AS (SELECT o.vec_id, o.label, dots.cluster, o.sq + (psi - 2 * dot) / n AS avg_
 s AS (SELECT vec_id, max(CASE WHEN label = cluster THEN avg_d * n / (n - 1) END) AS a, min(CASE WHEN label <> cluster THEN avg_d END) AS b FROM d GROUP BY vec_id)
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
 def _(t: Tables):
-    value = C.simplified_silhouette(W.vectors(t), "label", "num")
-    return t.embeddings.agg(r6(F.lit(value)).alias("silhouette")).limit(1)
+    return C.simplified_silhouette(W.vectors(t), "label", "num").select(r6("silhouette").alias("silhouette"))
 
 
 @query("ev_group_scores", f"""

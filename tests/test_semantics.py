@@ -608,3 +608,23 @@ def test_weekly_counts_keep_late_events(spark, tmp_path):
 def _run_weeks(spark, ST, inbox, sink, checkpoint, schema):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     ST.count_weeks(stream, "kind", "ts", sink, checkpoint).awaitTermination()
+
+
+def test_silhouette_from_statistics(spark, monkeypatch):
+    from declara.operators import clusters as C
+
+    monkeypatch.setattr(C.assignment, "PIECE", 2)
+    draw = np.random.default_rng(4)
+    x, label = draw.normal(size=(60, 3)), np.append(draw.integers(0, 4, 59) * 3, 50)  # numbers with gaps, one document alone
+    df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(label, x)], "c int, num array<double>")
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    want = []
+    for i, c in enumerate(label):
+        mine = label == c
+        if mine.sum() == 1:
+            want.append(0.0)
+            continue
+        a, b = d[i, mine].sum() / (mine.sum() - 1), min(d[i, label == o].mean() for o in set(label) - {c})
+        want.append((b - a) / max(a, b))
+    assert abs(C.simplified_silhouette(df, "c", "num").first()[0] - np.mean(want)) < 1e-9
+    assert C.simplified_silhouette(df.where("c = 3"), "c", "num").first()[0] == 0.0
