@@ -9,7 +9,7 @@ costs time in proportion to its length even where all scores are tied, as in a l
 N best are then merged from its parts: each alternative is worth its loss against the part's best,
 and a best-first search over the parts whose second best loses least yields the least total losses.
 
-Scores are whole multiples of 2^-30, so that sums are exact and ties are ties. Of several best segmentations
+Scores are counted in whole units, 2^-30 or coarser, so that sums are exact and ties are ties. Of several best segmentations
 the one with the longer piece, looking from the end of a part, comes first; later ties come in the order of the search,
 which depends on the part alone. Characters without a piece are encoded as their
 bytes, each of which scores below every piece of the vocabulary.
@@ -59,7 +59,7 @@ class Pieces:
         self.unit = 1  # scores are kept as whole numbers of 1 / unit
         while self.unit < UNIT and any((x * self.unit) % 1 for x in scores):
             self.unit *= 2
-        self.score = [round(x * self.unit) for x in scores]
+        self.score = [float(round(x * self.unit)) for x in scores]  # whole doubles, whose sums are exact below 2^53
         self.byte_score = min(self.score[i] for i in self.id.values()) - BELOW * self.unit
         lengths = sorted({len(t) for t in self.id} | {1}, reverse=True)
         self.lengths = [[n for n in lengths if n <= end] for end in range(lengths[0] + 1)]  # of pieces that may end there
@@ -79,7 +79,7 @@ class Pieces:
         self.listed: dict[tuple[str, int], list] = {}
         self.held = 0
 
-    def spelled(self, character: str) -> tuple[int, int, tuple[int, ...]]:
+    def spelled(self, character: str) -> tuple[int, float, tuple[int, ...]]:
         """A character without a piece as its bytes."""
         ids = tuple(self.byte[b] for b in character.encode("utf-8", "surrogatepass"))
         return 1, self.byte_score * len(ids), ids
@@ -107,14 +107,14 @@ class Pieces:
 
     def nbest(self, part: str, n: int):
         """The ``n`` best segmentations (score, ids) of a part, best first."""
-        forward: list = [0, *[-math.inf] * len(part)]
+        forward = [0.0, *[-math.inf] * len(part)]
         plain = self.single.issuperset(part)
         for last, (length, x, _) in self.ends.iter(part) if plain else self.arcs_with_bytes(part):
             total = forward[last + 1 - length] + x
             if total > forward[last + 1]:
                 forward[last + 1] = total
         push, pop = heapq.heappush, heapq.heappop
-        heap, made, popped = [(-forward[-1], len(part), 0, 0, None)], 0, {}
+        heap, made, popped = [(-forward[-1], len(part), 0, 0.0, None)], 0, {}
         while heap:
             total, place, _, behind, path = pop(heap)
             if place == 0:
@@ -132,16 +132,17 @@ class Pieces:
                 start = place - length
                 push(heap, (-(forward[start] + x + behind), start, made, behind + x, (piece, path)))
 
-    def margin(self, part: str) -> tuple[int, tuple[int, ...], float]:
+    def margin(self, part: str) -> tuple[float, tuple[int, ...], float]:
         """The best score of a part, its ids, and what the second best loses (infinite without one), from
         one forward pass for the two best scores up to every place."""
-        first, second, back = [0, *[-math.inf] * len(part)], [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
+        first, second, back = [0.0, *[-math.inf] * len(part)], [-math.inf] * (len(part) + 1), [None] * (len(part) + 1)
         plain = self.single.issuperset(part)
         for last, piece in self.ends.iter(part) if plain else self.arcs_with_bytes(part):
             length, x, _ = piece
             end = last + 1
             start = end - length
-            total, best = first[start] + x, first[end]
+            total = first[start] + x
+            best = first[end]
             if total > best:
                 other = second[start] + x
                 second[end] = other if other > best else best
@@ -163,7 +164,7 @@ class Pieces:
             place -= length
         return first[-1], tuple(chain.from_iterable(reversed(pieces))), first[-1] - second[-1]
 
-    def best(self, part: str) -> tuple[int, tuple[int, ...], float]:
+    def best(self, part: str) -> tuple[float, tuple[int, ...], float]:
         """``margin`` of a part, from the table of known ones if it is there."""
         found = self.known.get(part)
         if found is None:
@@ -174,7 +175,7 @@ class Pieces:
             found = self.known[part] = self.margin(part)
         return found
 
-    def alternatives(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+    def alternatives(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """``nbest`` of a part as a list, from the table of known ones if it is there."""
         found = self.listed.get((part, n))
         if found is None:
@@ -207,7 +208,7 @@ class Pieces:
             listed = self.alternatives(parts[i], n)
             options.append([(listed[0][0] - s, found) for s, found in listed])
         out = []
-        heap = [(0, (0,) * len(options))]
+        heap = [(0.0, (0,) * len(options))]
         met = {heap[0][1]}
         while heap and len(out) < n:
             loss, choice = heapq.heappop(heap)
