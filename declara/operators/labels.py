@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from declara.functions import scores as S
 from declara.operators.aggregations import top_k
-from declara.runtime import draw, stage, with_global_rank
+from declara.runtime import MODEL_BLOCK_VALUES, draw, stage, with_global_rank
 
 
 def top_k_sparse(matrix: DataFrame, k: int) -> DataFrame:
@@ -49,12 +52,87 @@ def random_codes(labels: DataFrame, codes: int, seed: int) -> DataFrame:
     return labels.select("label", (F.conv(F.substring(draw(seed, "label"), 1, 8), 16, 10).cast("long") % codes).alias("code"))
 
 
+CELLS = 1 << 20  # scores held at once
+
+
 def count_model(instance_codes: DataFrame, given: DataFrame, k: int) -> DataFrame:
-    """Labels of every instance from its codes ``(i, code, w)`` by P(label | code), the k best."""
-    summed = instance_codes.join(stage(given.select("code", "label", "p")), "code").groupBy("i", "label").agg(
-        F.sum(F.col("w") * F.col("p")).alias("score")
-    )
-    return top_k(summed, ["i"], [F.col("score").desc(), F.col("label")], k)
+    """Labels of every instance from its codes ``(i, code, w)`` by P(label | code), the k best. Scores are compared on
+    12 decimals, ties by label.
+
+    Instances with the same codes have the same labels, so every set of codes is scored once. A set is multiplied with the
+    model in the task, block of labels by block, and only its k best leave: instances x labels is never a table. The model
+    goes out in blocks of at most MODEL_BLOCK_VALUES entries, as many as it needs.
+    """
+    summed = instance_codes.where("code IS NOT NULL").groupBy("i", "code").agg(F.sum("w").alias("w"))
+    owned = stage(summed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("code", "w"))).alias("codes")))
+    sets = owned.select("codes").distinct()
+    best = sets.mapInArrow(_best_labels(given, k), f"codes {owned.schema['codes'].dataType.simpleString()}, label {given.schema['label'].dataType.simpleString()}, score double, rank long")
+    return owned.join(best, "codes").select("i", "label", "score", "rank")
+
+
+def _best_labels(given: DataFrame, k: int):
+    """A function of batches (codes) to rows (codes, label, score, rank)."""
+    table = stage(given.where("code IS NOT NULL").groupBy("code", "label").agg(F.sum("p").alias("p"), F.count("p").alias("n")))
+    found = table.orderBy(F.col("label").asc_nulls_first(), "code").toArrow()
+    context = given.sparkSession.sparkContext
+    label = found.column("label").combine_chunks()
+    number = np.zeros(len(label), np.int64)  # labels are numbered in their order, so the smaller number wins a tie
+    if len(label):
+        number[1:] = np.cumsum(pc.fill_null(pc.not_equal(label[1:], label[:-1]), True).to_numpy(zero_copy_only=False))
+        number -= np.maximum(0, np.minimum(np.arange(len(label)), label.null_count - 1))  # null is one label, and the first
+    codes = {c: j for j, c in enumerate(found.column("code").unique().to_pylist())}
+    place = np.array([codes[c] for c in found.column("code").to_pylist()], np.int64)
+    p = found.column("p").fill_null(0.0).to_numpy()
+    n_labels = int(number[-1]) + 1 if len(number) else 0
+    first = np.searchsorted(number, np.arange(n_labels + 1))
+    wide = max(1, MODEL_BLOCK_VALUES // max(1, len(codes)))
+    shared = []
+    for at in range(0, n_labels, wide):  # codes x labels of the block, absent ones as nan
+        end = min(n_labels, at + wide)
+        rows = slice(first[at], first[end])
+        block = np.full((len(codes), end - at), np.nan)
+        block[place[rows], number[rows] - at] = p[rows]
+        shared.append(context.broadcast((block, label.take(pa.array(first[at:end])))))
+
+    def of(codes_of):
+        scores, labels = np.zeros(0), []
+        parts = [(codes[c], w or 0.0) for c, w in codes_of if c in codes]
+        for block in shared if parts else ():
+            values, names = block.value
+            for at in range(0, values.shape[1], CELLS):
+                score, seen = np.zeros(min(CELLS, values.shape[1] - at)), False
+                for j, w in parts:
+                    column = values[j, at : at + CELLS]
+                    there = ~np.isnan(column)
+                    score += np.where(there, w * column, 0.0)
+                    seen = seen | there
+                score = np.where(seen, score, np.nan)
+                kept = np.flatnonzero(seen)
+                if not len(kept):
+                    continue
+                if len(kept) > k:  # all that tie with the k-th stay
+                    least = -np.partition(-np.round(score[kept], 12), k - 1)[k - 1]
+                    kept = kept[np.round(score[kept], 12) >= least]
+                kept = kept[np.argsort(-np.round(score[kept], 12), kind="stable")[:k]]
+                scores = np.append(scores, score[kept])
+                labels += names.take(pa.array(at + kept)).to_pylist()
+        order = np.argsort(-np.round(scores, 12), kind="stable")[:k]
+        return [(labels[o], float(scores[o]), r + 1) for r, o in enumerate(order.tolist())]
+
+    kind = label.type
+
+    def score(batches):
+        for b in batches:
+            sets, out = [], []
+            for at, x in enumerate(b.column(0).to_pylist()):
+                rows = of([(c["code"], c["w"]) for c in x])
+                sets += [at] * len(rows)
+                out += rows
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).take(pa.array(sets, pa.int64())), pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], pa.float64()),
+                pa.array([o[2] for o in out], pa.int64())], names=["codes", "label", "score", "rank"])
+
+    return score
 
 
 def optimal_codes(instance_labels: DataFrame, label_codes: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from declara.operators import features as X
+from declara.operators import labels as L
 
 
 def plan_of(df) -> str:
@@ -19,3 +20,12 @@ def test_keyphrases_in_the_row(spark):
     assert got == {(1, "alpha beta"): 3.5, (1, "gamma"): 1.0, (1, "alpha"): 1.5, (3, "alpha beta"): 8.0, (None, "delta"): 1.5, (None, "delta beta"): 3.5}
     alone = X.keyphrases(df.where("id = 1"), "id", F.col("text"), ["the"])
     assert "MapInArrow" in plan_of(alone)
+
+
+def test_count_model_scores_sets_of_codes(spark):
+    codes = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 1, 0.5), (2, 0, 0.5), (3, 2, 0.5), (4, 9, 0.5), (None, 1, 0.5), (5, None, 0.5), (6, 1, 0.5), (6, 1, 0.5)], "i long, code long, w double")
+    given = spark.createDataFrame([(0, 7, 0.1), (0, 8, 0.2), (1, 7, 0.2), (1, 8, 0.1), (1, 9, 0.7), (2, 9, 1.0), (0, None, 0.15), (1, None, 0.1)], "code long, label long, p double")
+    out = L.count_model(codes, given, 2)
+    got = sorted(((r["i"] or 0, r["rank"], r["label"], round(r["score"], 6)) for r in out.collect()))
+    assert got == [(0, 1, 9, 0.35), (0, 2, 7, 0.1), (1, 1, 9, 0.35), (1, 2, 7, 0.15), (2, 1, 9, 0.35), (2, 2, 7, 0.15), (3, 1, 9, 0.5), (6, 1, 9, 0.7), (6, 2, 7, 0.2)]
+    assert "Window" not in plan_of(out)  # no table of instances x labels is ranked
