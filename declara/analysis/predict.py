@@ -10,6 +10,7 @@ from declara.operators import predictions as P
 from declara.operators import topics as TP
 from declara.operators.joins import family_name
 from declara.operators.projections import text_concat
+from declara.runtime import skew_safe_lookup
 
 
 def all_models(
@@ -19,10 +20,10 @@ def all_models(
 
     ``scores`` is ``(file, model, class, proba)``, ``names`` ``(model, class, class_name)``, ``forms`` the
     declaration rows with a ``file`` column, ``devices`` the reference table (DCO_ID, LIBELLE).
-    Retired dysfunctions leave; the reference-table, death and virology rules follow.
+    Retired dysfunctions leave; the reference-table, death and virology rules follow. The predictions are dealt out by file once;
+    ranks and rules read them where they are.
     """
-    named = P.rank_predictions(scores.join(names, ["model", "class"], "left").where(
-        F.coalesce("class_name", F.lit("")) != "INACTIF"), ["file", "model"])
+    named = P.rank_predictions(_named(scores, names).where(F.coalesce("class_name", F.lit("")) != "INACTIF").repartition("file"), ["file", "model"])
     listed = P.family_override(forms, "file", "TYPE_DECLARANT", "LIBELLE_COMMERCIAL", "DM", devices, "DCO_ID", "LIBELLE")
     decided = family_name(listed, "class", devices, "DCO_ID", "LIBELLE", "class_name").withColumn("class", F.col("class").cast("string"))
     with_family = P.apply_override(named, ["DCO"], decided)
@@ -30,6 +31,14 @@ def all_models(
     return P.virology_override(P.death_override(with_family, forms, "file", text))
 
 
+def _named(scores: DataFrame, names: DataFrame) -> DataFrame:
+    """Scores with ``class_name``. A class is taken to hold an even share of its model's rows: those of models with few classes are
+    looked up map-side, the others by class."""
+    of_model = names.groupBy("model").agg((1 / F.count("*")).alias("_share"))
+    shared = names.join(of_model, "model").select("model", "class", "class_name", "_share")
+    return skew_safe_lookup(scores.select("file", "model", "class", "proba"), shared, ["model", "class"], "_share", F.xxhash64("file"), inner=False).drop("_share")
+
+
 def one_model(table: DataFrame, model: str, k: int = 10) -> DataFrame:
     """The k best classes of one model with percentages."""
     return P.as_percentages(table.where((F.col("model") == model) & (F.col("rank") <= k)))

@@ -103,15 +103,18 @@ def family_override(
 
 def apply_override(ranked: DataFrame, model: list[str], decided: DataFrame) -> DataFrame:
     """Replace all predictions of the given models by the decided class of a file.
-    ``decided`` is ``(file, class, class_name, proba)``."""
-    touched = ranked.join(decided.select("file"), "file", "left_anti").where(F.col("model").isin(model))
-    others = ranked.where(~F.col("model").isin(model))
-    fixed = decided.select(
+    ``decided`` is ``(file, class, class_name, proba)``. The predictions are read once and stay where they are."""
+    columns = ["file", "model", "rank", "class", "class_name", "proba"]
+    mark = decided.select("file", F.lit(True).alias("_decided")).where("file IS NOT NULL").distinct()
+    kept = ranked.join(mark, "file", "left").where(~F.col("model").isin(model) | (F.col("model").isin(model) & F.col("_decided").isNull()))
+    fixed = decided.repartition("file").select(  # placed like predictions that lie by file, so that their union does too
         "file", F.explode(F.array(*[F.lit(m) for m in model])).alias("model"), F.lit(1).cast("long").alias("rank"),
         "class", "class_name", "proba",
     )
-    columns = ["file", "model", "rank", "class", "class_name", "proba"]
-    return others.select(*columns).unionByName(touched.select(*columns)).unionByName(fixed)
+    return kept.select(*columns).unionByName(fixed)
+
+
+SEVERITY_MODELS = ["gravité_ordinale", "gravité_binaire"]
 
 
 def critical(files: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def critical(files: DataFrame) -> DataFrame:
 def death_override(ranked: DataFrame, forms: DataFrame, file: str, text: Column) -> DataFrame:
     """Declarations that speak of a death are critical in both severity models."""
     deaths = forms.where(mentions_death(text) == 1).select(F.col(file).alias("file"))
-    return apply_override(ranked, ["gravité_ordinale", "gravité_binaire"], critical(deaths))
+    return apply_override(ranked, SEVERITY_MODELS, critical(deaths))
 
 
 def virology_files(ranked: DataFrame) -> DataFrame:
@@ -134,7 +137,22 @@ def virology_files(ranked: DataFrame) -> DataFrame:
 
 
 def virology_override(ranked: DataFrame) -> DataFrame:
-    return apply_override(ranked, ["gravité_ordinale", "gravité_binaire"], critical(virology_files(ranked)))
+    """Files that ``virology_files`` would list are critical in both severity models. A file is judged beside its rows and its
+    first row brings the critical ones, so the predictions are read once."""
+    columns = {"file": None, "model": "string", "rank": "long", "class": "string", "class_name": "string", "proba": "double"}
+    ranked = ranked.select(*[F.col(c).cast(kind) if kind else F.col(c) for c, kind in columns.items()])
+    order = Window.partitionBy("file").orderBy("rank")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    family, consequence = [F.max(F.when((F.col("rank") == 1) & (F.col("model") == m), F.lower("class_name"))).over(whole) for m in ("DCO", "consequence")]
+    found = F.coalesce(family.startswith("virologie") & (consequence == "faux negatif"), F.lit(False))
+    judged = ranked.withColumns({"_virology": found, "_row": F.row_number().over(order)})
+    severe = F.col("model").isin(SEVERITY_MODELS)
+    kept = F.when(~severe | (severe & (~F.col("_virology") | F.col("file").isNull())), F.array(F.struct(*columns)))
+    fixed = F.array(*[
+        F.struct("file", F.lit(m).alias("model"), F.lit(1).cast("long").alias("rank"), F.lit("CRITI").alias("class"), F.lit("CRITI").alias("class_name"),
+                 F.lit(1.0).alias("proba")) for m in SEVERITY_MODELS])
+    first = F.when(F.col("_virology") & (F.col("_row") == 1), fixed)
+    return judged.select(F.inline(F.when(first.isNull(), kept).when(kept.isNull(), first).otherwise(F.concat(kept, first))))
 
 
 def allowed_rerank(

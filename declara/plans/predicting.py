@@ -30,20 +30,26 @@ def _forms(t: Tables):
 
 
 def _scores(t: Tables):
+    severity = _severities(t).select("file", "model", "class", "proba")
+    return W.predictions(t).select("file", "model", "class", F.round("proba", 12).alias("proba")).unionByName(severity)
+
+
+def _severities(t: Tables):
     p = (F.col("o_custkey") % 97) / 97
-    severity = t.orders.select(F.col("o_orderkey").alias("file"), F.explode(F.array(*[
+    return t.orders.select(F.col("o_orderkey").alias("file"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(c).alias("class"), x.alias("proba")) for m in MODELS for c, x in (("NULLE", p), ("SEVER", 1 - p))
     ])).alias("x")).select("file", "x.*")
-    return W.predictions(t).select("file", "model", "class", F.round("proba", 12).alias("proba")).unionByName(severity)
 
 
 def _names(t: Tables):
-    """Labels of all classes: some families are virology, one consequence a false negative, some dysfunctions retired."""
+    """Labels of all classes: some families are virology, one consequence a false negative, some dysfunctions retired.
+    A line's classes are known before anything is summed."""
     number = F.regexp_extract("class", "([0-9]+)$", 1).try_cast("int")
     name = F.when((F.col("model") == "DCO") & (number % 3 == 0), F.concat(F.lit("Virologie : "), "class")).when(
         (F.col("model") == "consequence") & (F.col("class") == "C0"), "Faux negatif").when(
         (F.col("model") == "dysfonctionnement") & (number % 11 == 0), "INACTIF").otherwise(F.concat(F.lit("label "), "class"))
-    return stage(_scores(t).select("model", "class").distinct().select("model", "class", name.alias("class_name")))
+    classes = W.prediction_items(t, deal=False).select("model", "class").unionByName(_severities(t).select("model", "class"))
+    return stage(classes.distinct().select("model", "class", name.alias("class_name")))
 
 
 def _predicted(t: Tables):

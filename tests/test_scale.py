@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from declara.operators import features as X
 from declara.operators import labels as L
+from declara.operators import predictions as P
 
 
 def plan_of(df) -> str:
@@ -29,3 +30,18 @@ def test_count_model_scores_sets_of_codes(spark):
     got = sorted(((r["i"] or 0, r["rank"], r["label"], round(r["score"], 6)) for r in out.collect()))
     assert got == [(0, 1, 9, 0.35), (0, 2, 7, 0.1), (1, 1, 9, 0.35), (1, 2, 7, 0.15), (2, 1, 9, 0.35), (2, 2, 7, 0.15), (3, 1, 9, 0.5), (6, 1, 9, 0.7), (6, 2, 7, 0.2)]
     assert "Window" not in plan_of(out)  # no table of instances x labels is ranked
+
+
+def test_rules_read_the_predictions_once(spark):
+    rows = [("f", "DCO", 1, "1", "Virologie : x", .9), ("f", "consequence", 1, "C1", "Faux negatif", .8), ("f", "gravité_binaire", 1, "a", "a", .7),
+            ("g", "DCO", 1, "1", "Virologie : x", .9), ("g", "gravité_binaire", 1, "a", "a", .6), (None, "gravité_binaire", 1, "a", "a", .5),
+            ("h", "DCO", 1, "1", "x", .9), ("h", "consequence", 1, "C1", "Faux negatif", .8), ("h", None, 1, "a", "a", .1)]
+    ranked = spark.createDataFrame(rows, "file string, model string, rank long, class string, class_name string, proba double")
+    decided = spark.createDataFrame([("h", "9", "Virologie : y", 1.0), ("h", "9", "Virologie : y", 1.0), (None, "8", "z", 1.0)], "file string, class string, class_name string, proba double")
+    forms = spark.createDataFrame([("f", "patient decede"), ("g", "decede"), ("g", "decede"), ("k", "stable")], "file string, text string")
+    out = P.virology_override(P.death_override(P.apply_override(ranked, ["DCO"], decided), forms, "file", F.col("text")))
+    critical = [(m, "CRITI") for m in P.SEVERITY_MODELS]
+    assert sorted((r["file"] or "", r["model"], r["class"]) for r in out.collect()) == sorted(
+        [("", "DCO", "8"), ("", "gravité_binaire", "a"), ("f", "DCO", "1"), ("f", "consequence", "C1"), ("g", "DCO", "1"), ("h", "DCO", "9"), ("h", "DCO", "9"),
+         ("h", "consequence", "C1")] + [(f, *c) for f in "fggh" for c in critical])
+    assert plan_of(out).count("LogicalRDD") == 5  # the predictions once, decided and forms as marks and as rows
