@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from declara.operators import features as X
 from declara.operators import labels as L
+from declara.operators import lda as LD
 from declara.operators import predictions as P
+from declara.operators import sweeps as SW
 
 
 def plan_of(df) -> str:
@@ -45,3 +51,35 @@ def test_rules_read_the_predictions_once(spark):
         [("", "DCO", "8"), ("", "gravité_binaire", "a"), ("f", "DCO", "1"), ("f", "consequence", "C1"), ("g", "DCO", "1"), ("h", "DCO", "9"), ("h", "DCO", "9"),
          ("h", "consequence", "C1")] + [(f, *c) for f in "fggh" for c in critical])
     assert plan_of(out).count("LogicalRDD") == 5  # the predictions once, decided and forms as marks and as rows
+
+
+def test_words_are_counted_once(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "id long, text string")
+    bow = X.doc2bow(df, "id", F.split("text", " "))
+    assert sorted(map(tuple, bow.collect())) == [(1, "a", 1), (1, "b", 2), (3, "", 1)]
+    assert plan_of(bow).count("zip_with") == 1
+
+
+def test_large_models_of_a_sweep_wait(spark):
+    held, most = SW.Budget(10), []
+
+    def job(size):
+        with held.of(size):
+            most.append(held.used)
+            time.sleep(0.05)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(job, [4, 6, 5, 20, 3, 10]))
+    assert held.used == 0 and all(m <= 10 or m == 20 for m in most)
+
+
+def test_arrays_of_a_pass_do_not_grow_with_the_splits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 400, 1, 8 * cores).select("id", F.array(F.lit(0), F.lit(1)).alias("ix"), F.array(F.lit(1.0), F.lit(2.0)).alias("n"))
+    sent, added = [], LD.sums.added
+    LD.sums.added = lambda df, shape: sent.append(df.count()) or added(df, shape)
+    try:
+        total = LD.expected_counts(rows, LD.Topics(np.ones((2, 3)), 1 / 3), 5, 1e-3)
+    finally:
+        LD.sums.added = added
+    assert abs(total.sum() - 1200) < 1e-6 and sent[0] <= 2 * cores
