@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from declara.operators import labels as L
 from declara.operators import lda as LD
 from declara.operators import predictions as P
 from declara.operators import sweeps as SW
+from declara.plans import views as W
 
 
 def plan_of(df) -> str:
@@ -83,3 +85,12 @@ def test_arrays_of_a_pass_do_not_grow_with_the_splits(spark):
     finally:
         LD.sums.added = added
     assert abs(total.sum() - 1200) < 1e-6 and sent[0] <= 2 * cores
+
+
+def test_ranks_by_file_shuffle_the_lines_once(spark):
+    rows = [(1, 7, 3, "A", "O", 10.0, 1.0), (1, 8, 3, "B", "F", 30.0, 3.0), (2, 7, 4, "A", "F", 5.0, 2.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_linestatus string, l_extendedprice double, l_quantity double")
+    ranked = W.ranked(SimpleNamespace(lineitem=lines))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [(r["class"], r["rank"], r["proba"]) for r in ranked.where("file = 1 AND model = 'DCO'").orderBy("rank").collect()]
+    assert got == [("8", 1, 0.75), ("7", 2, 0.25)]
