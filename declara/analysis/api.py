@@ -13,7 +13,7 @@ Every answer is a DataFrame. An unknown id gives an empty one, or raises with ``
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +69,9 @@ class Corpus:
 
     # -- the topic model -------------------------------------------------------------------
 
-    def _bag(self) -> DataFrame:
-        return self.documents.select("row_id", F.explode("words").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    def _kept(self) -> Corpus:
+        """The same corpus, its documents' words found once for several questions about topics."""
+        return replace(self, documents=stage(self.documents.select("row_id", "declaration", "words", "n_words")))
 
     def topic_count(self) -> DataFrame:
         return self.weights.agg(F.count_distinct("topic").alias("topics"))
@@ -78,21 +79,25 @@ class Corpus:
     def topic_topwords(self, k: int = 20) -> DataFrame:
         return self.topic_wordcloud(k).select("topic", "term", "rank")
 
-    def topic_coherence(self, k: int = 20) -> DataFrame:
-        """Mean log conditional probability of the topics' k best words."""
-        out = TP.coherence_umass(self._bag(), "row_id", stage(self.topic_topwords(k)), "topic")
-        return out.select("topic", "coherence")
+    def topic_coherence(self, k: int = 20, top: DataFrame | None = None) -> DataFrame:
+        """Mean log conditional probability of the topics' k best words (``top``, if they are known)."""
+        top = stage(self.topic_topwords(k)) if top is None else top
+        words = self.documents.select("row_id", F.explode(F.array_distinct("words")).alias("term"))
+        bag = words.join(top.select("term").distinct(), "term", "left_semi").distinct()  # no other words take part
+        return TP.coherence_umass(bag, "row_id", top, "topic").select("topic", "coherence")
 
-    def topic_distances(self, k: int = 20) -> DataFrame:
-        return TP.topic_distance(stage(self.topic_topwords(k)), "topic")
+    def topic_distances(self, k: int = 20, top: DataFrame | None = None) -> DataFrame:
+        return TP.topic_distance(stage(self.topic_topwords(k)) if top is None else top, "topic")
 
     def topic_model_complete(self, k: int = 20) -> DataFrame:
         """Number, coherence, weights and distances of the topics as (section, key, value)."""
-        pairs = self.topic_distances(k).where("a < b").withColumn("pair", F.concat_ws("|", "a", "b"))
+        kept = self._kept()
+        top = stage(kept.topic_topwords(k))
+        pairs = self.topic_distances(k, top).where("a < b").withColumn("pair", F.concat_ws("|", "a", "b"))
         return (
             _section(self.topic_count().withColumn("key", F.lit("topics")), "nb_topics", "key", F.col("topics"))
-            .unionByName(_section(self.topic_coherence(k), "coherence", "topic", F.col("coherence")))
-            .unionByName(_section(self.topic_weights(), "weight", "topic", F.col("weight")))
+            .unionByName(_section(kept.topic_coherence(k, top), "coherence", "topic", F.col("coherence")))
+            .unionByName(_section(kept.topic_weights(), "weight", "topic", F.col("weight")))
             .unionByName(_section(pairs, "distance", "pair", F.col("dist")))
         )
 
@@ -111,13 +116,13 @@ class Corpus:
         vectors = self.weights.groupBy("row_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("topic", "weight"))), lambda s: s["weight"]).alias("w")
         )
-        freq = TP.expected_term_frequency(self._bag(), "row_id", vectors, "w").withColumn("by", F.round("freq", 9))
-        return TP.topic_words(freq, "topic", "by", k).drop("by")
+        return TP.expected_top_words(self.documents.select("row_id", "words").join(vectors, "row_id"), "words", "w", k)
 
     def topic_complete(self, topic: int, strict: bool = False) -> DataFrame:
-        weight = _found(self.topic_weights().where(F.col("topic") == topic), strict, f"topic {topic}")
-        docs = self.topic_documents().where(F.col("topic") == topic)
-        cloud = self.topic_wordcloud().where(F.col("topic") == topic)
+        kept = self._kept()
+        weight = _found(kept.topic_weights().where(F.col("topic") == topic), strict, f"topic {topic}")
+        docs = kept.topic_documents().where(F.col("topic") == topic)
+        cloud = kept.topic_wordcloud().where(F.col("topic") == topic)
         return _section(weight, "weight", "display", F.col("weight")).unionByName(
             _section(docs, "document", "row_id", F.col("weight"))).unionByName(_section(cloud, "word", "term", F.col("freq")))
 

@@ -9,7 +9,6 @@ from declara.functions import vectors as V
 from declara.operators import aggregations as A
 from declara.operators import clusters as C
 from declara.operators import evaluate as EV
-from declara.operators import features as X
 from declara.operators import quantiles as Q
 from declara.operators import topics as TP
 from declara.plans import views as W
@@ -89,10 +88,10 @@ tot AS (SELECT term, sum(tf) AS total FROM bow WHERE doc_id IN (SELECT vec_id FR
 SELECT topic, term, round(freq, 6) AS freq, round(freq / total, 6) AS lift,
   row_number() OVER (PARTITION BY topic ORDER BY round(freq, 9) DESC, term) AS rank FROM f JOIN tot USING (term) QUALIFY rank <= 30""")
 def _(t: Tables):
-    bow = X.doc2bow(t.texts, "doc_id", T.tokens(F.col("text")))
-    weights = W.doc_topics(t).withColumnRenamed("vec_id", "doc_id")
-    freq = TP.expected_term_frequency(bow, "doc_id", weights, "weights").withColumn("by", F.round("freq", 9))
-    return TP.topic_words(freq, "topic", "by").select(_long("topic"), "term", r6("freq").alias("freq"), r6("lift").alias("lift"), "rank")
+    docs = t.texts.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    weights = W.doc_topics(t).select(F.col("vec_id").alias("doc_id"), "weights")
+    best = TP.expected_top_words(docs.join(weights, "doc_id"), "words", "weights", 30)
+    return best.select(_long("topic"), "term", r6("freq").alias("freq"), r6("lift").alias("lift"), "rank")
 
 
 # -- centroids and distances ----------------------------------------------------------------

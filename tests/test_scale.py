@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from declara.operators import features as X
@@ -14,6 +16,7 @@ from declara.operators import labels as L
 from declara.operators import lda as LD
 from declara.operators import predictions as P
 from declara.operators import sweeps as SW
+from declara.operators import topics as TP
 from declara.plans import views as W
 
 
@@ -94,3 +97,42 @@ def test_ranks_by_file_shuffle_the_lines_once(spark):
     assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = [(r["class"], r["rank"], r["proba"]) for r in ranked.where("file = 1 AND model = 'DCO'").orderBy("rank").collect()]
     assert got == [("8", 1, 0.75), ("7", 2, 0.25)]
+
+
+def test_expected_words_are_added_up_in_the_task(spark, monkeypatch):
+    monkeypatch.setattr(TP, "STEP", 2)
+    rows = [(1, ["a", "b", "a"], [0.25, 0.75]), (2, ["b"], [1.0, 0.0]), (3, None, [0.5, 0.5]), (4, [], [0.5, 0.5]), (5, ["c"], None), (6, ["c", "d"], [0.1, 0.2])]
+    docs = spark.createDataFrame(rows, "id long, words array<string>, w array<double>")
+    bow = X.doc2bow(docs, "id", F.col("words"))
+    freq = TP.expected_term_frequency(bow, "id", docs.where("w IS NOT NULL").select("id", "w"), "w").withColumn("by", F.round("freq", 9))
+    want = TP.topic_words(freq, "topic", "by", 3)
+    best = TP.expected_top_words(docs, "words", "w", 3)
+    both = [sorted((r["topic"], r["rank"], r["term"], round(r["freq"], 9), round(r["lift"], 9), r["total"]) for r in df.collect()) for df in (want, best)]
+    assert both[0] == both[1] and len(both[0]) == 6
+    assert "posexplode" not in plan_of(best) and "Generate" not in plan_of(best)  # terms x topics are not spelt out
+
+
+def test_sums_of_a_task_are_sent_in_parts():
+    words = pa.array([["a", "b"], ["b", "c"], ["d"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([words, pa.array([[1.0, 2.0]] * 3, pa.list_(pa.float64()))], names=["words", "w"])
+    step, most, TP.STEP, TP.SUMS = TP.STEP, TP.SUMS, 2, 3
+    try:
+        sent = [r for b in TP._summed_words([batch]) for r in b.to_pylist()]
+    finally:
+        TP.STEP, TP.SUMS = step, most
+    assert [(r["term"], r["v"], r["total"]) for r in sent] == [("a", [1, 2], 1), ("b", [1, 2], 1), ("b", [1, 2], 1), ("c", [1, 2], 1), ("d", [1, 2], 1)]
+
+
+def test_topic_documents_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda n: seen.add(1) or n, "long")
+    docs = spark.range(40).select("id", F.concat(F.lit("R"), "id").alias("name"), note(F.col("id") + 5).alias("n"), F.array(*[F.lit(x) for x in (0.2, 0.8)]).alias("w"))
+    long = docs.select("id", "name", "n", F.posexplode("w").alias("topic", "weight"))
+    assert TP.topic_documents(long, "id", "name", "n").count() == 2 * 30 and seen.value == 40
+
+
+def test_topics_need_one_weight_each():
+    for weights in ([[1.0, 2.0], [1.0, 2.0, 1.0, 2.0]], [[1.0, None], [1.0, 2.0]]):
+        batch = pa.RecordBatch.from_arrays([pa.array([["a"], ["b"]], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], names=["words", "w"])
+        with pytest.raises(ValueError):
+            list(TP._summed_words([batch]))
