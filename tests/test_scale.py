@@ -131,6 +131,15 @@ def test_topic_documents_read_their_rows_once(spark):
     assert TP.topic_documents(long, "id", "name", "n").count() == 2 * 30 and seen.value == 40
 
 
+def test_pairs_that_cannot_be_phrases_are_only_counted(spark, monkeypatch):
+    kept, real = [], X.stage
+    monkeypatch.setattr(X, "stage", lambda df: kept.append(real(df)) or kept[-1])
+    docs = spark.createDataFrame([("a b c d",), ("a b e f",), ("g h i j k l m n",)], "text string")
+    out = X.phrases(docs, F.split("text", " "))
+    assert [(r["a"], r["b"], r["n_ab"], r["score"]) for r in out.collect()] == [("a", "b", 2, (14 + 12) / 4)]
+    assert [df.count() for df in kept if "n_ab" in df.columns] == [1]
+
+
 def test_topics_need_one_weight_each():
     for weights in ([[1.0, 2.0], [1.0, 2.0, 1.0, 2.0]], [[1.0, None], [1.0, 2.0]]):
         batch = pa.RecordBatch.from_arrays([pa.array([["a"], ["b"]], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], names=["words", "w"])
