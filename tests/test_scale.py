@@ -11,13 +11,16 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from declara.functions import text as T
 from declara.operators import features as X
 from declara.operators import labels as L
 from declara.operators import lda as LD
 from declara.operators import predictions as P
 from declara.operators import sweeps as SW
 from declara.operators import topics as TP
+from declara.plans import textual  # noqa: F401 - registers queries
 from declara.plans import views as W
+from declara.plans.registry import QUERIES
 
 
 def plan_of(df) -> str:
@@ -140,6 +143,21 @@ def test_pairs_that_cannot_be_phrases_are_only_counted(spark, monkeypatch):
     assert [df.count() for df in kept if "n_ab" in df.columns] == [1]
 
 
+def test_tokens_cut_words_at_digits(spark):
+    texts = [("Les2mots de l'été, 12abc34de5fgh le2 pour",), (None,), ("",), ("123 4567",)]
+    got = [r[0] for r in spark.createDataFrame(texts, "text string").coalesce(1).select(T.tokens(F.col("text"))).collect()]
+    assert got == [["les", "mots", "ete", "abc", "fgh"], None, [], []]
+
+
+def test_texts_are_cut_into_words_once(spark):
+    rows = [(1, "alpha chats chat", "x"), (2, "chat alpha beta", "y"), (3, None, "y")]
+    for name, found in (("fn_lemma_lookup", 5), ("ml_coherence_umass", 2)):
+        seen = spark.sparkContext.accumulator(0)
+        note = F.udf(lambda s: seen.add(1) or s).asNondeterministic()
+        texts = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", note("text").alias("text"), "source")
+        assert len(QUERIES[name](SimpleNamespace(texts=texts)).collect()) == found and seen.value == 3
+
+
 def test_topics_need_one_weight_each():
     for weights in ([[1.0, 2.0], [1.0, 2.0, 1.0, 2.0]], [[1.0, None], [1.0, 2.0]]):
         batch = pa.RecordBatch.from_arrays([pa.array([["a"], ["b"]], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], names=["words", "w"])
