@@ -5,6 +5,7 @@ from checks import DATA
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from declara.operators import models as M
 
 FOLDER = f"{DATA}/sf0.001"
 QUERIES = entry.queries()
@@ -95,3 +96,18 @@ def test_reconstruction_cosine(spark):
     back = mean + (x - mean) @ axes @ axes.T
     want = (x * back).sum(axis=1) / (np.linalg.norm(x, axis=1) + 1e-6) / (np.linalg.norm(back, axis=1) + 1e-6)
     assert np.allclose([got[i] for i in range(60)], want, rtol=1e-9) and got[99] is None
+
+
+def test_word_vectors_read_the_words_once(spark):
+    """The vocabulary, the learning and the means share one reading of the texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        seen.add(1)
+        return text.split()
+
+    frame = spark.createDataFrame([(i, "one two three") for i in range(6)], "row long, text string")
+    out = M.word_vectors(frame.select("row", split("text").alias("words")), "row", "words", 4).collect()
+    assert seen.value == 6 and sorted(r["row"] for r in out) == [*range(6)]
+    assert len({tuple(r["vector"]) for r in out}) == 1 and len(out[0]["vector"]) == 4
