@@ -163,3 +163,9 @@ def test_topics_need_one_weight_each():
         batch = pa.RecordBatch.from_arrays([pa.array([["a"], ["b"]], pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], names=["words", "w"])
         with pytest.raises(ValueError):
             list(TP._summed_words([batch]))
+
+
+def test_ngram_apply_merges_trigrams(spark):
+    texts = spark.createDataFrame([(i, "alpha beta gamma " + " ".join(f"w{c}{'xyz'[i % 3]}{'klmn'[i // 3]}" for c in "abcd")) for i in range(12)] + [(99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["words"].split(" ") for r in QUERIES["fn_ngram_apply"](SimpleNamespace(texts=texts)).collect()}
+    assert len(got) == 12 and all(words[0] == "alpha_beta_gamma" and len(words) == 5 for words in got.values())
