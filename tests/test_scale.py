@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
@@ -169,3 +170,15 @@ def test_ngram_apply_merges_trigrams(spark):
     texts = spark.createDataFrame([(i, "alpha beta gamma " + " ".join(f"w{c}{'xyz'[i % 3]}{'klmn'[i // 3]}" for c in "abcd")) for i in range(12)] + [(99, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["words"].split(" ") for r in QUERIES["fn_ngram_apply"](SimpleNamespace(texts=texts)).collect()}
     assert len(got) == 12 and all(words[0] == "alpha_beta_gamma" and len(words) == 5 for words in got.values())
+
+
+def test_merging_twice_leaves_only_what_is_still_read(spark, monkeypatch):
+    kept, real = [], X.stage
+    monkeypatch.setattr(X, "stage", lambda df: kept.append(real(df)) or kept[-1])
+    rows = [(i, ["a", "b", "c"] + [f"{x}{i % 3}{i // 3}" for x in "wxyz"]) for i in range(12)] + [(99, None), (3, ["a"])]
+    out = X.merged_twice(spark.createDataFrame(rows, "id long, w array<string>"), "id", F.col("w"))
+    there = [t for t in kept if os.path.exists(t._staged.removeprefix("file:"))]
+    assert len(kept) >= 10 and len(there) == 2  # the second phrases and the texts they are merged in
+    got = {r["id"]: (r["bigrams"], r["trigrams"]) for r in out.where("id NOT IN (3, 99)").collect()}
+    assert len(got) == 11 and all(b[0] == "a_b" and t[0] == "a_b_c" for b, t in got.values())
+    assert out.where("id = 99 AND trigrams IS NULL").count() == 1 and out.where("id = 3").count() == 2
